@@ -55,7 +55,8 @@ def _d1_sql() -> str:
                  f"min({x}) AS {n}_min", f"max({x}) AS {n}_max", f"median({x}) AS {n}_median",
                  f"coalesce(sum({x}), 0.0) AS {n}_sum"]
     body = f"SELECT subject_id, lifelog_date, {', '.join(cols)} FROM d GROUP BY subject_id, lifelog_date"
-    return S.rounded(S.with_views(_v1_sql_days(), body), ["subject_id", "lifelog_date"])
+    return S.rounded(S.with_views(_v1_sql_days(), body),
+                     ["subject_id", "lifelog_date"] + [f"v1_{v}_count" for v in V1_VALUES])
 
 
 @register("daily_stats", _d1_sql())

@@ -76,7 +76,8 @@ def with_views(views: str, body: str) -> str:
 
 
 def rounded(body: str, keep: list[str], digits: int = 6) -> str:
-    """Round every column except ``keep`` to ``digits`` places (same as the Spark side)."""
-    excl = ", ".join(keep)
-    return (f"SELECT {excl}, round(COLUMNS(* EXCLUDE ({excl})), {digits})\nFROM (\n{body}\n) q"
-            if keep else f"SELECT round(COLUMNS(*), {digits}) FROM (\n{body}\n) q")
+    """Round every column except ``keep`` (the non-double ones) like ``round_doubles``."""
+    r = f"round(COLUMNS(* EXCLUDE ({', '.join(keep)})) * 1.000000000001::DOUBLE, {digits})" if keep else \
+        f"round(COLUMNS(*) * 1.000000000001::DOUBLE, {digits})"
+    head = f"{', '.join(keep)}, " if keep else ""
+    return f"SELECT {head}CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END\nFROM (\n{body}\n) q"
