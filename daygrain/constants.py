@@ -79,4 +79,6 @@ def linspace(start: float, stop: float, count: int) -> list[float]:
     if count == 1:
         return [float(start)]
     step = (stop - start) / (count - 1)
-    return [start + i * step for i in range(count)]
+    vals = [i * step + start for i in range(count)]
+    vals[-1] = float(stop)
+    return vals

@@ -51,3 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="daygrain-ckpt-", dir=os.environ.get("DAYGRAIN_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of a reused intermediate table with a reliable checkpoint.
+
+    The data lands in the shared checkpoint folder (``checkpoint_dir``), so a lost
+    executor does not force recomputation from the sources and later plans stay small.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
