@@ -51,7 +51,8 @@ def blend_pred(oof: DataFrame, weights: DataFrame, by: list[str] | None = None,
     by = by or []
     keys = keys or ["key"]
     wt = weights.select("target", *by, "model", "weight")
-    j = oof.join(F.broadcast(wt), ["target", *by, "model"])
+    on = ["target", "model"] + [b for b in by if b in oof.columns]
+    j = oof.join(F.broadcast(wt), on)
     s = F.sum(F.col("weight") * F.col("pred"))
     out = j.groupBy("target", *by, *keys).agg((clip_proba(s) if clip else s).alias("model_pred"))
     return out
@@ -150,15 +151,16 @@ def seed_bagging(preds: DataFrame, keys: list[str]) -> DataFrame:
 # --- CV tuning end to end (G5 -> G6 -> G7 -> G8) ------------------------------------------------
 def tune(spark: SparkSession, oof: DataFrame, prior: DataFrame, *, power=MODEL_BLEND_POWER,
          ratio=WEAK_MODEL_LOSS_RATIO, by: list[str] | None = None, postprocess: bool = True,
-         checkpoint: bool = True) -> dict:
+         checkpoint: bool = True, weights: DataFrame | None = None, scores: DataFrame | None = None) -> dict:
     """Tune weights, alpha and calibration on out-of-fold rows.
 
     ``oof``: (target, *by, key, y, model, pred); ``prior``: (target, *by, key, prior).
     Returns DataFrames: scores, weights, model_pred, alphas, calibration, final.
     """
     by = by or []
-    scores = model_scores(oof, by)
-    weights = blend_weights(scores, power, ratio, by)
+    if weights is None:
+        scores = model_scores(oof, by)
+        weights = blend_weights(scores, power, ratio, by)
     mp = blend_pred(oof, weights, by, keys=["key", "y"])
     # the tuning rows are scanned by every grid below: materialise them once
     rows = materialize(mp.join(prior, ["target", *by, "key"])) if checkpoint else mp.join(prior, ["target", *by, "key"])

@@ -60,10 +60,11 @@ def _logit(p: str) -> str:
     return f"ln({q} / (1.0::DOUBLE - {q}))"
 
 
-def _prior_formula(s: float, r: float, w: float) -> str:
-    subj = f"(CASE WHEN hist_n > 0 THEN (CAST(hist_s AS DOUBLE) + {s!r}::DOUBLE * mu) / (CAST(hist_n AS DOUBLE) + {s!r}::DOUBLE) ELSE mu END)"
-    rec = f"(CASE WHEN coalesce(rec_n, 0) > 0 THEN (CAST(rec_s AS DOUBLE) + {r!r}::DOUBLE * mu) / (CAST(rec_n AS DOUBLE) + {r!r}::DOUBLE) ELSE {subj} END)"
-    return _clip(f"(1.0::DOUBLE - {w!r}::DOUBLE) * {subj} + {w!r}::DOUBLE * {rec}")
+def _prior_formula(s, r, w) -> str:
+    s, r, w = [x if isinstance(x, str) else f"{x!r}::DOUBLE" for x in (s, r, w)]
+    subj = f"(CASE WHEN hist_n > 0 THEN (CAST(hist_s AS DOUBLE) + {s} * mu) / (CAST(hist_n AS DOUBLE) + {s}) ELSE mu END)"
+    rec = f"(CASE WHEN coalesce(rec_n, 0) > 0 THEN (CAST(rec_s AS DOUBLE) + {r} * mu) / (CAST(rec_n AS DOUBLE) + {r}) ELSE {subj} END)"
+    return _clip(f"(1.0::DOUBLE - {w}) * {subj} + {w} * {rec}")
 
 
 def _grid_values(rows, cols):
