@@ -128,3 +128,35 @@ def relative_features(spark, sf_dir):
     out = relative.add_subject_relative_features(feats)
     keep = [c for c in out.columns if c.endswith(("_roll3_mean", "_roll7_mean", "_lag1"))]
     return out.select(*KEYS, "subject_row_order", *keep)
+
+
+# --- A10 ------------------------------------------------------------------------------
+QUICK_TRAIN, QUICK_PREDICT = 120, 80
+
+
+@register("limit_rows", S.with_views(S.V6, f"""(SELECT subject_id, lifelog_date, split FROM spine WHERE split = 'train'
+  ORDER BY subject_id, lifelog_date LIMIT {QUICK_TRAIN})
+UNION ALL
+(SELECT subject_id, lifelog_date, split FROM spine WHERE split = 'predict'
+  ORDER BY subject_id, lifelog_date LIMIT {QUICK_PREDICT})"""))
+def limit_rows(spark, sf_dir):
+    """A10 quick mode: the first 120 train and 80 predict keys in key order (the cap is the feature)."""
+    s = views.spine(spark, sf_dir).select("subject_id", "lifelog_date", "split")
+    tr = s.where(F.col("split") == "train").orderBy("subject_id", "lifelog_date").limit(QUICK_TRAIN)
+    pr = s.where(F.col("split") == "predict").orderBy("subject_id", "lifelog_date").limit(QUICK_PREDICT)
+    return tr.unionByName(pr)
+
+
+# --- flagship feature tables (rows-only: their column sets follow the data) ---------------------
+@register("daily_feature_table")
+def daily_feature_table(spark, sf_dir):
+    """Full daily feature build: spine, calendar, scalar roll-ups, relative features, B7."""
+    from daygrain.plans.features import daily_feature_table as build
+    return build(spark, sf_dir)
+
+
+@register("bucket_feature_table")
+def bucket_feature_table(spark, sf_dir):
+    """Full list-sensor feature build over (nation, month) buckets."""
+    from daygrain.plans.features import bucket_feature_table as build
+    return build(spark, sf_dir)
