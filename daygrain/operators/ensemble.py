@@ -91,6 +91,12 @@ def blend_with_prior(model_pred, prior, alpha) -> F.Column:
     return clip_proba(alpha * model_pred + (dlit(1.0) - alpha) * prior)
 
 
+def chosen_alpha(alphas: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The chosen alpha as the reference keeps it: the value of its two-decimal key (0.35, not 0.35000000000000003)."""
+    by = by or []
+    return alphas.where("chosen").select("target", *by, F.col("alpha_key").cast("double").alias("alpha"))
+
+
 # --- G6 --------------------------------------------------------------------------------
 def alpha_search(spark: SparkSession, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(target, *by, grid_order, alpha, alpha_key, loss, chosen) over rows (y, model_pred, prior).
@@ -165,7 +171,7 @@ def tune(spark: SparkSession, oof: DataFrame, prior: DataFrame, *, power=MODEL_B
     # the tuning rows are scanned by every grid below: materialise them once
     rows = materialize(mp.join(prior, ["target", *by, "key"])) if checkpoint else mp.join(prior, ["target", *by, "key"])
     alphas = alpha_search(spark, rows, by)
-    best = alphas.where("chosen").select("target", *by, "alpha")
+    best = chosen_alpha(alphas, by)
     final = (rows.join(F.broadcast(best), ["target", *by])
                  .withColumn("final_pred", blend_with_prior(F.col("model_pred"), F.col("prior"), F.col("alpha"))))
     if postprocess:
@@ -189,7 +195,7 @@ def final_blend(preds: DataFrame, prior: DataFrame, weights: DataFrame | None, a
     by = by or []
     mp = blend_pred(preds, weights, by, clip=False, keys=["key"])
     if alphas is not None:
-        a = alphas.where("chosen").select("target", *by, "alpha")
+        a = chosen_alpha(alphas, by)
     else:
         a = weights.select("target", *by).distinct().withColumn("alpha", dlit(FALLBACK_ALPHA))
     rows = (mp.join(prior, ["target", *by, "key"]).join(F.broadcast(a), ["target", *by])
@@ -217,7 +223,7 @@ def cv_report(t: dict, prior_col: str = "prior") -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "score")))).alias("model_scores"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "weight")))).alias("model_weights"))
     al = t["alphas"].groupBy("target").agg(
-        F.max(F.when(F.col("chosen"), F.col("alpha"))).alias("model_alpha"),
+        F.max(F.when(F.col("chosen"), F.col("alpha_key").cast("double"))).alias("model_alpha"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("alpha_key", "loss")))).alias("alpha_scores"))
     cal = t["calibration"].where("chosen").select(
         "target", F.struct("method", "value", F.col("loss").alias("logloss"), "target_mean").alias("postprocess"))

@@ -145,7 +145,7 @@ alphas AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(loss,
              FROM ar CROSS JOIN {_grid_values([(i, float(a), f"{a:.2f}") for i, a in enumerate(ens.alpha_values())], 'grid_order, alpha, alpha_key')}
              GROUP BY ar.target, g.grid_order, g.alpha, g.alpha_key)),
 fin AS (SELECT ar.*, {_clip('a.alpha * ar.model_pred + (1.0::DOUBLE - a.alpha) * ar.prior')} AS final_pred
-        FROM ar JOIN (SELECT target, alpha FROM alphas WHERE chosen) a USING (target)),
+        FROM ar JOIN (SELECT target, CAST(alpha_key AS DOUBLE) AS alpha FROM alphas WHERE chosen) a USING (target)),
 tmean AS (SELECT target, avg(CAST(y AS DOUBLE)) AS target_mean FROM fin GROUP BY target),
 cal AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(loss, 12), grid_order) = 1 AS chosen FROM (
           SELECT fin.target, g.grid_order, g.method, g.value, tmean.target_mean,
@@ -160,7 +160,7 @@ fmp AS (SELECT pp.target, pp.key, sum(weights.weight * pp.pred) AS model_pred
         FROM pp JOIN weights USING (target, model) GROUP BY pp.target, pp.key),
 ffin AS (SELECT fmp.target, fmp.key, fmp.model_pred, prior_predict.prior,
                 {_clip('a.alpha * fmp.model_pred + (1.0::DOUBLE - a.alpha) * prior_predict.prior')} AS final_pred
-         FROM fmp JOIN prior_predict USING (target, key) JOIN (SELECT target, alpha FROM alphas WHERE chosen) a USING (target)),
+         FROM fmp JOIN prior_predict USING (target, key) JOIN (SELECT target, CAST(alpha_key AS DOUBLE) AS alpha FROM alphas WHERE chosen) a USING (target)),
 final_blend AS (SELECT ffin.*, {_calibrate_sql('ffin.final_pred', 'c.method', 'c.value', 'c.target_mean')} AS calibrated
                 FROM ffin JOIN (SELECT * FROM cal WHERE chosen) c USING (target))"""
 
@@ -296,7 +296,7 @@ def final_blend(spark, sf_dir):
   avg({_ll('c.y', 'c.calibrated')}) AS oof_logloss,
   avg({_ll('c.y', 'c.model_pred')}) AS model_only_logloss,
   avg({_ll('c.y', 'c.prior')}) AS prior_only_logloss,
-  any_value(a.alpha) AS model_alpha, any_value(k.method) AS method, any_value(k.value) AS value,
+  any_value(CAST(a.alpha_key AS DOUBLE)) AS model_alpha, any_value(k.method) AS method, any_value(k.value) AS value,
   any_value(k.loss) AS post_logloss, any_value(k.target_mean) AS target_mean
 FROM calibrated c JOIN (SELECT * FROM alphas WHERE chosen) a USING (target)
 JOIN (SELECT * FROM cal WHERE chosen) k USING (target) GROUP BY c.target""", ["target", "method"]))

@@ -36,7 +36,8 @@ def _sweep(spark, sf_dir):
 
 def _sweep_sql() -> str:
     tv = _grid_values(sw.trial_params_py(_trials_py()), "trial_id, " + ", ".join(PARAM_COLS))
-    alpha_g = _grid_values([(i, float(a)) for i, a in enumerate(ens.alpha_values())], "grid_order, alpha")
+    alpha_g = _grid_values([(i, float(a), f"{a:.2f}") for i, a in enumerate(ens.alpha_values())],
+                           "grid_order, alpha, alpha_key")
     cal_g = _grid_values(ens.calibration_grid_rows(), "grid_order, method, value")
     prior = _prior_formula("tr.subject_smoothing", "tr.recent_smoothing", "tr.default_recent_weight")
     return CHAIN + f""",
@@ -54,11 +55,11 @@ mpt AS (SELECT w.trial_id, po.target, po.key, po.y, {_clip('sum(w.weight * po.pr
         FROM po JOIN wt w USING (target, model) GROUP BY w.trial_id, po.target, po.key, po.y),
 art AS (SELECT mpt.*, priort.prior FROM mpt JOIN priort USING (trial_id, target, key)),
 alt AS (SELECT *, row_number() OVER (PARTITION BY trial_id, target ORDER BY round(loss, 12), grid_order) = 1 AS chosen
-        FROM (SELECT art.trial_id, art.target, g.grid_order, g.alpha,
+        FROM (SELECT art.trial_id, art.target, g.grid_order, g.alpha, g.alpha_key,
                      avg({_ll('art.y', _clip('g.alpha * art.model_pred + (1.0::DOUBLE - g.alpha) * art.prior'))}) AS loss
-              FROM art CROSS JOIN {alpha_g} GROUP BY art.trial_id, art.target, g.grid_order, g.alpha)),
+              FROM art CROSS JOIN {alpha_g} GROUP BY art.trial_id, art.target, g.grid_order, g.alpha, g.alpha_key)),
 fint AS (SELECT art.*, {_clip('a.alpha * art.model_pred + (1.0::DOUBLE - a.alpha) * art.prior')} AS final_pred
-         FROM art JOIN (SELECT trial_id, target, alpha FROM alt WHERE chosen) a USING (trial_id, target)),
+         FROM art JOIN (SELECT trial_id, target, CAST(alpha_key AS DOUBLE) AS alpha FROM alt WHERE chosen) a USING (trial_id, target)),
 tmt AS (SELECT trial_id, target, avg(CAST(y AS DOUBLE)) AS target_mean FROM fint GROUP BY trial_id, target),
 calt AS (SELECT *, row_number() OVER (PARTITION BY trial_id, target ORDER BY round(loss, 12), grid_order) = 1 AS chosen
          FROM (SELECT fint.trial_id, fint.target, g.grid_order, g.method, g.value, tmt.target_mean,
