@@ -50,6 +50,15 @@ def profile(name: str, reference_sizes: bool = False, overrides: dict | None = N
     return p
 
 
+def seed_dependent(prof: dict) -> bool:
+    """Whether a fit changes with the seed (row or feature subsampling, bootstrap)."""
+    if prof["kind"] == "lr":
+        return False
+    if prof["kind"] == "gbt":
+        return prof.get("subsample", 1.0) < 1.0 or prof.get("features", "all") not in ("all", "1.0")
+    return True
+
+
 def build_pipeline(name: str, features: list[str], n_train: int, seed: int, prof: dict) -> Pipeline:
     imp = Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features])
     va = VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="features_raw")
@@ -90,79 +99,113 @@ def usable_features(train: DataFrame, features: list[str]) -> list[str]:
 def fit_predict(name: str, train: DataFrame, pred_rows: DataFrame, features: list[str], seed: int,
                 prof: dict, keys: list[str]) -> tuple[DataFrame, object]:
     """Fit one model and score ``pred_rows``; a single-class training set gives a constant."""
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k"),
-                      F.min("label").alias("y0")).first()
-    if stats["k"] <= 1:
-        const = float(stats["y0"]) if stats["y0"] is not None else 0.5
+    # one aggregate: size, classes (D20) and per-column value counts (B9 per fold)
+    stats = train.agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("label").alias("_k"),
+                      F.min("label").alias("_y0"), *[F.count(F.col(c)).alias(c) for c in features]).first()
+    if stats["_k"] <= 1:
+        const = float(stats["_y0"]) if stats["_y0"] is not None else 0.5
         return pred_rows.select(*keys, clip_proba(dlit(const)).alias("pred")), None
-    feats = usable_features(train, features)
+    feats = [c for c in features if stats[c] > 0]
     tr = with_class_weight(train) if prof["kind"] == "rf" else train
-    model = build_pipeline(name, feats, stats["n"], seed, prof).fit(tr)
+    model = build_pipeline(name, feats, stats["_n"], seed, prof).fit(tr)
     scored = model.transform(pred_rows)
     return scored.select(*keys, clip_proba(vector_to_array("probability")[1]).alias("pred")), model
 
 
-def cross_validated_oof(matrix: DataFrame, folds: DataFrame, features: list[str], models: list[str], *,
-                        seed: int = SEED, reference_sizes: bool = False, workers: int = 4,
-                        profile_overrides: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions of every (target, fold, model); fold seed = seed + fold."""
-    data = materialize(folds.select("target", "key", "fold", F.col("y").cast("double").alias("label"))
-                            .join(matrix, "key"))
-    plan = [(t, f) for t, f in data.select("target", "fold").distinct().orderBy("target", "fold").collect()]
-    jobs = [(t, f, m) for t, f in plan for m in models]
+def model_input(matrix: DataFrame, labels: DataFrame, folds: DataFrame | None) -> DataFrame:
+    """(target, key, split, fold, label, features...) materialised once for every fit."""
+    lab = labels.select("target", "key", "split", F.col("y").cast("double").alias("label"))
+    if folds is not None:
+        lab = lab.join(folds.select("target", "key", "fold"), ["target", "key"], "left")
+    else:
+        lab = lab.withColumn("fold", F.lit(None).cast("int"))
+    return materialize(lab.join(matrix, "key"))
+
+
+def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool = True, refit: bool = True,
+            seed: int = SEED, seeds: list[int] = FINAL_BAGGING_SEEDS, reference_sizes: bool = False,
+            workers: int = 8, insample: bool = False, importance_model: str = "lightgbm",
+            profile_overrides: dict | None = None) -> dict:
+    """G4 + G10 + D19 (+ G14) in one pool of concurrent fits.
+
+    CV jobs: every (target, fold, model), trained on the other folds with seed + fold,
+    scoring the held-out fold. Refit jobs: every (target, model, seed) on all training
+    rows, scoring prediction rows (and training rows when ``insample``). A profile that
+    does not depend on its seed is refit once: the mean of identical predictions is that
+    prediction. Each fit is a distributed MLlib job; the pool overlaps their latency.
+    """
+    tr_all = data.where(F.col("split") == "train")
+    plan = [(r[0], r[1]) for r in tr_all.select("target", "fold").distinct().orderBy("target", "fold").collect()] \
+        if cv else []
+    targets = sorted({t for t, _ in plan}) if cv else \
+        [r[0] for r in data.select("target").distinct().orderBy("target").collect()]
+    prof_of = {m: profile(m, reference_sizes, (profile_overrides or {}).get(m)) for m in models}
+    jobs = [("cv", t, f, m, seed + int(f)) for t, f in plan for m in models] if cv else []
+    if refit:
+        for t in targets:
+            for m in models:
+                for s in (seeds if seed_dependent(prof_of[m]) else seeds[:1]):
+                    jobs.append(("refit", t, None, m, s))
 
     def run(job):
-        t, f, m = job
-        tr = data.where((F.col("target") == t) & (F.col("fold") != f))
-        va = data.where((F.col("target") == t) & (F.col("fold") == f))
-        prof = profile(m, reference_sizes, (profile_overrides or {}).get(m))
-        pred, _ = fit_predict(m, tr, va, features, seed + int(f), prof, ["target", "key", "fold"])
-        return pred.withColumn("model", F.lit(m))
+        kind, t, f, m, s = job
+        if kind == "cv":
+            tr = tr_all.where((F.col("target") == t) & (F.col("fold") != f))
+            rows = tr_all.where((F.col("target") == t) & (F.col("fold") == f))
+            pred, _ = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key", "fold"])
+            return kind, pred.withColumn("model", F.lit(m)), None
+        tr = tr_all.where(F.col("target") == t)
+        rows = data.where(F.col("target") == t) if insample else \
+            data.where((F.col("target") == t) & (F.col("split") == "predict"))
+        pred, model = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key"])
+        imp = None
+        if m == importance_model and model is not None:
+            used = model.stages[1].getInputCols()
+            imp = [(c[:-3], float(v)) for c, v in zip(used, model.stages[-1].featureImportances.toArray())]
+        return kind, pred.withColumn("model", F.lit(m)).withColumn("seed", F.lit(s)), imp
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        parts = list(pool.map(run, jobs))
+        res = list(pool.map(run, jobs))
+    out = {}
+    cv_parts = [p for k, p, _ in res if k == "cv"]
+    if cv_parts:
+        out["oof"] = materialize(_union(cv_parts))
+    rf_parts = [p for k, p, _ in res if k == "refit"]
+    if rf_parts:
+        out["predictions"] = materialize(_union(rf_parts).groupBy("target", "key", "model")
+                                         .agg(clip_proba(F.avg("pred")).alias("pred")))
+        imp_rows = [r for k, _, imp in res if imp for r in imp]
+        imps = data.sparkSession.createDataFrame(imp_rows or [], "feature string, importance double")
+        out["importance"] = feature_importance(imps)
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(out)
+    return out
+
+
+def cross_validated_oof(matrix: DataFrame, folds: DataFrame, features: list[str], models: list[str], *,
+                        seed: int = SEED, reference_sizes: bool = False, workers: int = 8,
+                        profile_overrides: dict | None = None) -> DataFrame:
+    """Out-of-fold predictions of every (target, fold, model); fold seed = seed + fold."""
+    labels = folds.select("target", "key", "y").withColumn("split", F.lit("train"))
+    data = model_input(matrix, labels, folds)
+    return fit_all(data, features, models, refit=False, seed=seed, reference_sizes=reference_sizes,
+                   workers=workers, profile_overrides=profile_overrides)["oof"]
 
 
 def refit_predict(matrix: DataFrame, labels: DataFrame, features: list[str], models: list[str], *,
-                  seeds: list[int] = FINAL_BAGGING_SEEDS, reference_sizes: bool = False, workers: int = 4,
+                  seeds: list[int] = FINAL_BAGGING_SEEDS, reference_sizes: bool = False, workers: int = 8,
                   insample: bool = False, importance_model: str = "lightgbm",
                   profile_overrides: dict | None = None) -> dict:
-    """G10 + D19 (+ G14): refit on all training rows per (target, model, seed), score the prediction
-    rows (and the training rows when ``insample``), average over seeds; sum importances of one family."""
-    lab = labels.select("target", "key", "split", F.col("y").cast("double").alias("label")).join(matrix, "key")
-    lab = materialize(lab)
-    targets = [r[0] for r in lab.select("target").distinct().orderBy("target").collect()]
-    jobs = [(t, m, s) for t in targets for m in models for s in seeds]
-
-    def run(job):
-        t, m, s = job
-        tr = lab.where((F.col("target") == t) & (F.col("split") == "train"))
-        rows = lab.where(F.col("target") == t) if insample else \
-            lab.where((F.col("target") == t) & (F.col("split") == "predict"))
-        prof = profile(m, reference_sizes, (profile_overrides or {}).get(m))
-        pred, model = fit_predict(m, tr, rows, features, s, prof, ["target", "key"])
-        imp = None
-        if m == importance_model and model is not None:
-            fitted = model.stages[-1]
-            used = model.stages[1].getInputCols()
-            vec = fitted.featureImportances.toArray()
-            imp = [(c[:-3], float(v)) for c, v in zip(used, vec)]
-        return pred.withColumn("model", F.lit(m)).withColumn("seed", F.lit(s)), imp
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        res = list(pool.map(run, jobs))
-    preds = res[0][0]
-    for p, _ in res[1:]:
-        preds = preds.unionByName(p)
-    bagged = materialize(preds.groupBy("target", "key", "model").agg(clip_proba(F.avg("pred")).alias("pred")))
-    spark = matrix.sparkSession
-    imp_rows = [r for _, imp in res if imp for r in imp]
-    imps = spark.createDataFrame(imp_rows or [], "feature string, importance double")
-    return {"predictions": bagged, "importance": feature_importance(imps)}
+    """G10 + D19 (+ G14): seed-bagged refits on all training rows."""
+    data = model_input(matrix, labels, None)
+    return fit_all(data, features, models, cv=False, seeds=seeds, reference_sizes=reference_sizes,
+                   workers=workers, insample=insample, importance_model=importance_model,
+                   profile_overrides=profile_overrides)
 
 
 def feature_importance(rows: DataFrame) -> DataFrame:

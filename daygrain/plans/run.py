@@ -17,7 +17,7 @@ from daygrain.sources import views
 
 def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = None, n_splits: int = N_SPLITS,
              seed: int = SEED, power: float = MODEL_BLEND_POWER, ratio: float = WEAK_MODEL_LOSS_RATIO,
-             run_cv: bool = True, postprocess: bool = True, reference_sizes: bool = False, workers: int = 4,
+             run_cv: bool = True, postprocess: bool = True, reference_sizes: bool = False, workers: int = 8,
              prior_params: dict | None = None, profile_overrides: dict | None = None) -> dict:
     models = models or train.enabled_models()
     lab = materialize(views.labelled(spark, sf_dir).select("key", "subject_id", "ord", "target", "y", "split"))
@@ -27,20 +27,18 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
     settings = pr.prior_settings(spark, targets, **(prior_params or {}))
     out = {"labels": lab, "matrix": matrix, "features": features}
     weights = alphas = cal = None
+    folds = materialize(fo.stratified_folds(lab, n_splits, seed)) if run_cv else None
+    data = train.model_input(matrix, lab, folds)
+    fits = train.fit_all(data, features, models, cv=run_cv, seed=seed, reference_sizes=reference_sizes,
+                         workers=workers, insample=not run_cv, profile_overrides=profile_overrides)
     if run_cv:
-        folds = materialize(fo.stratified_folds(lab, n_splits, seed))
-        oof = train.cross_validated_oof(matrix, folds, features, models, seed=seed,
-                                        reference_sizes=reference_sizes, workers=workers,
-                                        profile_overrides=profile_overrides)
-        oof_y = oof.join(folds.select("target", "key", "y"), ["target", "key"])
+        oof_y = fits["oof"].join(folds.select("target", "key", "y"), ["target", "key"])
         prior = pr.prior_oof(lab, folds, settings).drop("fold")
         t = ens.tune(spark, oof_y.select("target", "key", "y", "model", "pred"), prior, power=power, ratio=ratio,
                      postprocess=postprocess)
         weights, alphas, cal = t["weights"], t["alphas"], (t["calibration"] if postprocess else None)
         out.update({"folds": folds, "oof": oof_y, "prior_oof": prior, "tuned": t, "report": ens.cv_report(t)})
-    refit = train.refit_predict(matrix, lab, features, models, reference_sizes=reference_sizes,
-                                workers=workers, insample=not run_cv, profile_overrides=profile_overrides)
-    preds = refit["predictions"]
+    preds = fits["predictions"]
     predict_keys = lab.where(F.col("split") == "predict").select("target", "key")
     pred_rows = preds.join(predict_keys, ["target", "key"])
     if not run_cv:
@@ -49,5 +47,5 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
         weights = ens.insample_weights(insample, power, ratio)
     prior_p = pr.prior_predict(lab, settings)
     final = ens.final_blend(pred_rows, prior_p, weights, alphas, cal)
-    out.update({"refit": preds, "importance": refit["importance"], "final": final, "weights": weights})
+    out.update({"refit": preds, "importance": fits["importance"], "final": final, "weights": weights})
     return out
