@@ -38,8 +38,8 @@ def agg_plan(plan: dict[str, list[str]], prefix: str) -> list[Column]:
 def list_row_stats(df: DataFrame, list_col: str, numeric_keys: list[str], keys: list[str],
                    prefix: str) -> DataFrame:
     """One output row per input row (``keys`` are carried through)."""
-    row = lists.list_key_row_stats(list_col, numeric_keys, prefix)
-    return df.select(*keys, *[e.alias(n) for n, e in row.items()])
+    out, cols = lists.add_list_key_stats(df, list_col, numeric_keys, prefix)
+    return out.select(*keys, *cols)
 
 
 def row_stat_plan(columns: list[str]) -> dict[str, list[str]]:
@@ -92,7 +92,8 @@ HR_PLAN = {
 
 def array_row_stats(df: DataFrame, arr_col: str, keys: list[str]) -> DataFrame:
     """N, sum, mean, population std, min, max, median of each row's list."""
-    return df.select(*keys, *[e.alias(n) for n, e in lists.numeric_array_row_stats(arr_col, "hr").items()])
+    out, cols = lists.add_numeric_array_stats(df, arr_col, "hr")
+    return out.select(*keys, *cols)
 
 
 def daily_array_stats(df: DataFrame, arr_col: str, keys: list[str], prefix: str = "w_hr") -> DataFrame:
@@ -113,7 +114,8 @@ USAGE_PLAN = {
 
 
 def usage_row_stats(df: DataFrame, items: str, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[e.alias(n) for n, e in lists.usage_row_stats(items).items()])
+    out, cols = lists.add_usage_stats(df, items)
+    return out.select(*keys, *cols)
 
 
 def daily_usage(df: DataFrame, items: str, keys: list[str], prefix: str = "m_usage") -> DataFrame:
@@ -170,7 +172,8 @@ AMBIENCE_PLAN = {
 
 def label_row_stats(df: DataFrame, items: str, keys: list[str]) -> DataFrame:
     """N, prob sum, top prob, entropy and top label of each row's label list."""
-    return df.select(*keys, *[e.alias(n) for n, e in lists.label_distribution_row_stats(items).items()])
+    out, cols = lists.add_label_distribution_stats(df, items)
+    return out.select(*keys, *cols)
 
 
 def daily_label_stats(df: DataFrame, items: str, keys: list[str], prefix: str = "m_ambience") -> DataFrame:

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygrain.constants import TOP_AMBIENCE, TOP_APPS
+from daygrain.functions import lists
 from daygrain.operators import daily, matrix as mx, nested, relative, spine as sp
+from daygrain.session import materialize
 from daygrain.sources import views
 
 KEYS = ["subject_id", "lifelog_date"]
@@ -34,18 +36,33 @@ def daily_feature_table(spark, sf_dir: str):
 
 
 def bucket_feature_table(spark, sf_dir: str, top_apps: int = TOP_APPS, top_labels: int = TOP_AMBIENCE):
-    v2 = views.sensor_nested(spark, sf_dir)
-    v3 = views.sensor_array(spark, sf_dir)
-    v4 = views.sensor_usage(spark, sf_dir)
-    v5 = views.sensor_labels(spark, sf_dir)
-    spine = v2.select(*GK).distinct()
+    """All list sensors from one materialised per-order view.
+
+    Row statistics of the four sensors are one ``select`` of higher-order functions;
+    their daily statistics (D6, D9, D10, D13) are one ``groupBy`` (one shuffle). The
+    distinct count (D7) and the two top-N pivots (D11, D14) are the only other
+    aggregates; all results leave hash-partitioned on the bucket key.
+    """
+    orders = materialize(views.sensor_orders(spark, sf_dir))
+    v2 = views.sensor_nested(spark, sf_dir, orders)
+    v4 = views.sensor_usage(spark, sf_dir, orders)
+    v5 = views.sensor_labels(spark, sf_dir, orders)
+    rows, c2 = lists.add_list_key_stats(orders, views.nested_items("items"), views.NESTED_KEYS, "v2")
+    rows, c3 = lists.add_numeric_array_stats(rows, views.price_readings("items"), "hr")
+    rows, c4 = lists.add_usage_stats(rows, views.usage_items("items"))
+    rows, c5 = lists.add_label_distribution_stats(rows, views.label_items("items"))
+    rows = rows.select(*GK, *c2, *c3, *c4, *[c for c in c5 if c != "ambience_top_label"])
+    v2_cols = c2
+    aggs = (nested.agg_plan(nested.row_stat_plan(v2_cols), "v2") + nested.agg_plan(nested.HR_PLAN, "w_hr")
+            + [F.try_divide(F.sum("hr_sum"), F.nullif(F.sum("hr_n"), F.lit(0.0))).alias("w_hr_daily_mean")]
+            + nested.agg_plan(nested.USAGE_PLAN, "m_usage") + nested.agg_plan(nested.AMBIENCE_PLAN, "m_ambience"))
+    stats = rows.groupBy(*GK).agg(*aggs)
     tables = [
-        nested.daily_nested_numeric_features(v2, "items", views.NESTED_KEYS, "v2", GK, unique_key="l_partkey"),
-        nested.daily_array_stats(v3, "readings", GK),
-        nested.daily_usage(v4, "items", GK),
+        stats,
+        nested.daily_nested_distinct(v2, "items", "l_partkey", GK, "v2"),
         nested.top_app_pivot(v4, "items", GK, top_apps),
-        nested.daily_label_stats(v5, "items", GK),
         nested.top_label_pivot(v5, "items", GK, top_labels),
     ]
+    spine = orders.select(*GK).distinct()
     feats = sp.join_daily(spine, tables, GK)
     return relative.add_subject_relative_features(feats, subject="subject_id", date="bucket")

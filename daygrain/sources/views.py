@@ -30,53 +30,62 @@ def sensor_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sensor_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: list-of-struct readings, items sorted by (linenumber, partkey, suppkey).
+ORDER_ITEM_FIELDS = ITEM_FIELDS + ["l_returnflag", "p_brand"]
 
-    Per-order item lists are bounded by an order's line count, so ``collect_list``
-    per order is safe at any scale.
+
+def sensor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All list sensors in one view: per order, every item field sorted by (linenumber, partkey, suppkey).
+
+    One lineitem (x part) scan, one ``groupBy(l_orderkey)`` and one orders x customer
+    join serve V2-V5, which are projections of this view. Per-order lists are bounded
+    by an order's line count, so ``collect_list`` per order is safe at any scale.
     """
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", *ITEM_FIELDS])
-    items = (li.groupBy("l_orderkey")
-               .agg(F.array_sort(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")))
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", *ITEM_FIELDS, "l_returnflag"])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    lp = li.join(part, li.l_partkey == part.p_partkey, "left")
+    items = (lp.groupBy("l_orderkey")
+               .agg(F.array_sort(F.collect_list(F.struct(*ORDER_ITEM_FIELDS))).alias("items")))
     return _attach_orders(spark, sf_dir, items)
 
 
-def sensor_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_items(items) -> F.Column:
+    return F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in ITEM_FIELDS]))
+
+
+def usage_items(items) -> F.Column:
+    return F.transform(items, lambda x: F.struct(x["p_brand"].alias("app_name"), x["l_quantity"].alias("total_time")))
+
+
+def label_items(items) -> F.Column:
+    return F.transform(items, lambda x: F.struct(x["l_returnflag"].alias("label"), x["l_discount"].alias("prob")))
+
+
+def price_readings(items) -> F.Column:
+    return F.transform(items, lambda x: x["l_extendedprice"])
+
+
+def sensor_nested(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """V2: list-of-struct readings, items sorted by (linenumber, partkey, suppkey)."""
+    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    return o.select("subject_id", "bucket", "row_id", nested_items("items").alias("items"))
+
+
+def sensor_array(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V3: list-of-double readings (extended prices in item order)."""
-    v2 = sensor_nested(spark, sf_dir)
-    return v2.select("subject_id", "bucket", "row_id",
-                     F.transform("items", lambda x: x["l_extendedprice"]).alias("readings"))
+    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    return o.select("subject_id", "bucket", "row_id", price_readings("items").alias("readings"))
 
 
-def sensor_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sensor_usage(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V4: app usage lists, app = part brand, time = quantity."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_quantity"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
-    lp = li.join(part, li.l_partkey == part.p_partkey, "left")
-    items = (lp.groupBy("l_orderkey")
-               .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey",
-                                                         F.col("p_brand").alias("app_name"),
-                                                         F.col("l_quantity").alias("total_time"))))
-                    .alias("items")))
-    items = items.select("l_orderkey", F.transform("items", lambda x: F.struct(
-        x["app_name"].alias("app_name"), x["total_time"].alias("total_time"))).alias("items"))
-    return _attach_orders(spark, sf_dir, items)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    return o.select("subject_id", "bucket", "row_id", usage_items("items").alias("items"))
 
 
-def sensor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sensor_labels(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V5: label/probability lists, label = return flag, prob = discount."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_returnflag", "l_discount"])
-    items = (li.groupBy("l_orderkey")
-               .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey",
-                                                         F.col("l_returnflag").alias("label"),
-                                                         F.col("l_discount").alias("prob"))))
-                    .alias("items")))
-    items = items.select("l_orderkey", F.transform("items", lambda x: F.struct(
-        x["label"].alias("label"), x["prob"].alias("prob"))).alias("items"))
-    return _attach_orders(spark, sf_dir, items)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    return o.select("subject_id", "bucket", "row_id", label_items("items").alias("items"))
 
 
 def _attach_orders(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:

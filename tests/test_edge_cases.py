@@ -25,13 +25,11 @@ def test_list_stats_null_empty_bad_values(spark):
 
 def test_unparseable_numbers_and_pairs(spark):
     df = spark.createDataFrame([(1, ["70", "x", None, "80"]), (2, None)], "id int, hr array<string>")
-    out = df.select("id", *[e.alias(n) for n, e in lists.numeric_array_row_stats("hr").items()]) \
-            .orderBy("id").collect()
+    out = nested.array_row_stats(df, "hr", ["id"]).orderBy("id").collect()
     assert out[0]["hr_n"] == 2.0 and out[0]["hr_median"] == 75.0
     assert out[1]["hr_n"] == 0.0 and out[1]["hr_sum"] == 0.0 and out[1]["hr_mean"] is None
     pairs = spark.createDataFrame([([["a", "0.2"], ["b", "oops"], ["c"]],)], "p array<array<string>>")
-    st = pairs.select(lists.pairs_to_label_struct("p").alias("s")).select(
-        *[e.alias(n) for n, e in lists.label_distribution_row_stats("s").items()]).first()
+    st = nested.label_row_stats(pairs.select(lists.pairs_to_label_struct("p").alias("s")), "s", []).first()
     assert st["ambience_n"] == 2.0 and st["ambience_prob_sum"] == 0.2 and st["ambience_top_label"] == "a"
 
 
