@@ -18,7 +18,8 @@ from daygrain.sources import views
 def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = None, n_splits: int = N_SPLITS,
              seed: int = SEED, power: float = MODEL_BLEND_POWER, ratio: float = WEAK_MODEL_LOSS_RATIO,
              run_cv: bool = True, postprocess: bool = True, reference_sizes: bool = False, workers: int = 8,
-             prior_params: dict | None = None, profile_overrides: dict | None = None) -> dict:
+             prior_params: dict | None = None, profile_overrides: dict | None = None,
+             refit: bool = True) -> dict:
     models = models or train.enabled_models()
     lab = materialize(views.labelled(spark, sf_dir).select("key", "subject_id", "ord", "target", "y", "split"))
     matrix = materialize(views.document_matrix(spark, sf_dir))
@@ -29,8 +30,9 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
     weights = alphas = cal = None
     folds = materialize(fo.stratified_folds(lab, n_splits, seed)) if run_cv else None
     data = train.model_input(matrix, lab, folds)
-    fits = train.fit_all(data, features, models, cv=run_cv, seed=seed, reference_sizes=reference_sizes,
-                         workers=workers, insample=not run_cv, profile_overrides=profile_overrides)
+    fits = train.fit_all(data, features, models, cv=run_cv, refit=refit or not run_cv, seed=seed,
+                         reference_sizes=reference_sizes, workers=workers, insample=not run_cv,
+                         profile_overrides=profile_overrides)
     if run_cv:
         oof_y = fits["oof"].join(folds.select("target", "key", "y"), ["target", "key"])
         prior = pr.prior_oof(lab, folds, settings).drop("fold")
@@ -38,6 +40,9 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
                      postprocess=postprocess)
         weights, alphas, cal = t["weights"], t["alphas"], (t["calibration"] if postprocess else None)
         out.update({"folds": folds, "oof": oof_y, "prior_oof": prior, "tuned": t, "report": ens.cv_report(t)})
+    out["settings"] = settings
+    if not refit and run_cv:
+        return out
     preds = fits["predictions"]
     predict_keys = lab.where(F.col("split") == "predict").select("target", "key")
     pred_rows = preds.join(predict_keys, ["target", "key"])
