@@ -89,11 +89,18 @@ def category_long(df: DataFrame, cat: str, keys: list[str] = DAY_KEYS) -> DataFr
 
 
 def category_vocabulary(df: DataFrame, cat: str, limit: int | None = None) -> list:
-    """Distinct non-null categories (small, bounded by ``limit`` when given), sorted."""
+    """Distinct non-null categories, sorted; one wide column each.
+
+    ``limit`` bounds what reaches the driver: more categories than that raise
+    (use the long form, ``category_long``) rather than silently losing columns.
+    """
     q = df.where(F.col(cat).isNotNull()).select(cat).distinct().orderBy(cat)
     if limit:
-        q = q.limit(limit)
-    return [r[0] for r in q.collect()]
+        q = q.limit(limit + 1)
+    vals = [r[0] for r in q.collect()]
+    if limit and len(vals) > limit:
+        raise ValueError(f"{cat} has more than {limit} categories; use category_long")
+    return vals
 
 
 # --- D3 ------------------------------------------------------------------------

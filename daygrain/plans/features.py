@@ -28,7 +28,8 @@ def daily_feature_table(spark, sf_dir: str):
     allv = daily.daily_numeric_features(v1, ["value", "k"], "v1", add_changes=True, categorical="category",
                                         vocab=vocab)
     err = daily.daily_numeric_features(v1.where(F.col("category") == "error"), ["value"], "v1err")
-    base = sp.add_calendar_features(views.spine(spark, sf_dir))
+    # the spine is the key set of the daily aggregate itself: Spark reuses that shuffle
+    base = sp.add_calendar_features(views.spine_from_days(allv.select(*KEYS)))
     feats = sp.join_daily(base, [allv, err], KEYS)
     feats = relative.add_subject_relative_features(feats)
     nums = [c for c in mx.numeric_columns(feats) if c not in ("subject_id",)]

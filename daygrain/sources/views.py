@@ -111,6 +111,11 @@ def spine(spark: SparkSession, sf_dir: str, train_share: float = TRAIN_SHARE) ->
     days = (sensor_scalar(spark, sf_dir)
             .select("subject_id", F.to_date("timestamp").alias("lifelog_date"))
             .distinct())
+    return spine_from_days(days, train_share)
+
+
+def spine_from_days(days: DataFrame, train_share: float = TRAIN_SHARE) -> DataFrame:
+    """V6 from any distinct (subject_id, lifelog_date) table, e.g. the keys of a daily aggregate."""
     rng = days.agg(F.min("lifelog_date").alias("d0"), F.max("lifelog_date").alias("d1"))
     n_days = F.datediff("d1", "d0") + 1
     cut = F.floor(n_days * dlit(train_share)).cast("int")
