@@ -44,7 +44,7 @@ def bucket_feature_table(spark, sf_dir: str, top_apps: int = TOP_APPS, top_label
     distinct count (D7) and the two top-N pivots (D11, D14) are the only other
     aggregates; all results leave hash-partitioned on the bucket key.
     """
-    orders = materialize(views.sensor_orders(spark, sf_dir))
+    orders = materialize(views.sensor_orders(spark, sf_dir), as_table=True)
     v2 = views.sensor_nested(spark, sf_dir, orders)
     v4 = views.sensor_usage(spark, sf_dir, orders)
     v5 = views.sensor_labels(spark, sf_dir, orders)

@@ -54,15 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df):
-    """Cut the lineage of a reused intermediate table: write it as parquet into the
-    shared checkpoint folder (``checkpoint_dir``) and read it back.
+def materialize(df, as_table: bool = False):
+    """Cut the lineage of a reused intermediate table in the shared checkpoint folder.
 
-    Columnar and compressed, so it is much cheaper than an RDD checkpoint of
-    serialised rows (nested lists especially); a lost executor re-reads the files
-    instead of recomputing from the sources, and later plans start from a scan.
+    Default: a reliable ``checkpoint()`` (cheapest for the many small jobs of model
+    fits that re-read it). ``as_table=True`` writes parquet there and reads it back,
+    the better choice for wide or nested tables (columnar, compressed). Either way a
+    lost executor re-reads files instead of recomputing from the sources.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    ckpt = checkpoint_dir(spark)
+    if not as_table:
+        return df.checkpoint(eager=True)
+    path = f"{ckpt.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
