@@ -150,7 +150,7 @@ def daily_changes(df: DataFrame, values: list[str], prefix: str, keys: list[str]
 def daily_numeric_features(df: DataFrame, values: list[str], prefix: str, *, keys: list[str] = DAY_KEYS,
                            add_changes: bool = False, categorical: str | None = None,
                            vocab: list | None = None, median: str = "exact",
-                           ts: str = "timestamp", tie: str | None = "row_id") -> DataFrame:
+                           ts: str = "timestamp", tie: str | None = "row_id", chunk: str = "hour") -> DataFrame:
     """All scalar-sensor daily features of one table: one grouped pass plus the change count."""
     df = with_date_keys(df, ts) if "lifelog_date" in keys and "lifelog_date" not in df.columns else df
     aggs: list[Column] = []
@@ -164,6 +164,6 @@ def daily_numeric_features(df: DataFrame, values: list[str], prefix: str, *, key
         aggs += category_exprs(categorical, vocab, prefix)
     out = df.groupBy(*keys).agg(*aggs)
     if add_changes:
-        ch = daily_changes(df, values, prefix, keys=keys, ts=ts, tie=tie)
+        ch = daily_changes(df, values, prefix, keys=keys, ts=ts, tie=tie, chunk=chunk)
         out = out.join(ch, list(keys), "left")
     return out

@@ -23,11 +23,15 @@ def _rows(n=3000, seed=11):
     return rows
 
 
-def test_hot_subject_day_exact(spark):
+import pytest
+
+
+@pytest.mark.parametrize("chunk", ["hour", "minute"])
+def test_hot_subject_day_exact(spark, chunk):
     rows = _rows()
     df = spark.createDataFrame(rows, "subject_id int, timestamp timestamp_ntz, row_id int, value double")
     got = {(r["subject_id"], r["lifelog_date"]): r for r in
-           daily.daily_numeric_features(df, ["value"], "s", add_changes=True).collect()}
+           daily.daily_numeric_features(df, ["value"], "s", add_changes=True, chunk=chunk).collect()}
     pdf = pd.DataFrame(rows, columns=["subject_id", "timestamp", "row_id", "value"])
     pdf["lifelog_date"] = pdf["timestamp"].dt.date
     pdf = pdf.sort_values(["subject_id", "lifelog_date", "timestamp", "row_id"])
