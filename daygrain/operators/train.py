@@ -90,12 +90,6 @@ def with_class_weight(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(w), "label")
 
 
-def usable_features(train: DataFrame, features: list[str]) -> list[str]:
-    """B9 per training fold: drop columns without a single value (Imputer cannot fit them)."""
-    row = train.agg(*[F.count(F.col(c)).alias(c) for c in features]).first()
-    return [c for c in features if row[c] > 0]
-
-
 def fit_predict(name: str, train: DataFrame, pred_rows: DataFrame, features: list[str], seed: int,
                 prof: dict, keys: list[str]) -> tuple[DataFrame, object]:
     """Fit one model and score ``pred_rows``; a single-class training set gives a constant."""
