@@ -20,6 +20,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # model fits are submitted from a thread pool: let their small jobs interleave
+    "spark.scheduler.mode": "FAIR",
 }
 
 
