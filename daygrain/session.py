@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Defaults for local runs and tests. On a cluster the submitter's settings win:
-# ``get_session`` only fills keys that are still unset.
+# ``get_session`` fills only keys that are still unset.
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -27,14 +29,29 @@ _LOCAL_DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "daygrain", extra: dict | None = None) -> SparkSession:
+    """Session with the defaults above for every key that is still unset.
+
+    An active session keeps all its settings. Otherwise the keys named by the submitter
+    (spark-submit, spark-defaults.conf) are read first and left as they are; only
+    ``extra``, ``master`` and ``shuffle_partitions``, which the caller asks for, override.
+    """
+    asked = dict(extra or {})
+    if shuffle_partitions:
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for k, v in asked.items():
+            if active.conf.isModifiable(k):
+                active.conf.set(k, v)
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    named = SparkConf()  # loads spark.* of the submitter
     for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+        if not named.contains(k):
+            builder = builder.config(k, v)
+    for k, v in asked.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,18 +59,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Root of the shared folder for lineage cuts.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it (Spark registers it as
-    the context's checkpoint folder at start-up). Only when it is unset, as in
-    local tests, a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` as the session names it. Only on a local master, as in
+    tests, is a scratch folder made where it is unset; on a cluster that is an error,
+    since a folder of one machine is not seen by the others. The context's own
+    checkpoint folder is registered once and never again (Spark makes a new
+    sub-folder on every registration).
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="daygrain-ckpt-", dir=os.environ.get("DAYGRAIN_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        root = sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="daygrain-ckpt-", dir=os.environ.get("DAYGRAIN_SCRATCH", "/tmp"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
 
 
 def materialize(df, as_table: bool = False):
@@ -65,9 +94,9 @@ def materialize(df, as_table: bool = False):
     lost executor re-reads files instead of recomputing from the sources.
     """
     spark = df.sparkSession
-    ckpt = checkpoint_dir(spark)
+    checkpoint_dir(spark)
     if not as_table:
         return df.checkpoint(eager=True)
-    path = f"{ckpt.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

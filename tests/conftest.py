@@ -14,8 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from daygrain.session import get_session
-    s = get_session("local[4]", 4, app_name="daygrain-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="daygrain-test-ckpt-", dir="/tmp"))
+    s = get_session("local[4]", 4, app_name="daygrain-tests",
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="daygrain-test-ckpt-", dir="/tmp")})
     yield s
 
 
