@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daygrain.session import materialize, scratch_path
@@ -35,5 +37,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["DataFrame", "LOWER", "NULL_ID", "SparkSession", "UPPER", "as_table", "ascii_lower", "fresh",
+class Shared:
+    """A broadcast value with a key under which a worker may keep what it builds from it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+__all__ = ["DataFrame", "LOWER", "NULL_ID", "Shared", "SparkSession", "UPPER", "as_table", "ascii_lower", "fresh",
            "materialize", "read_table", "scratch_path"]

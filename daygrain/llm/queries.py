@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from daygrain.llm import sentencepiece_codec
+from daygrain.llm.ann_postings import search
 from daygrain.llm.common import read_table
+from daygrain.llm.decontaminate import contamination
+from daygrain.llm.html_wrapper import extract_text
 from daygrain.llm.line_dedup import dedup_lines
+from daygrain.llm.quality_gbt import classify
+from daygrain.llm.secret_scan import BASE, find_secrets
+from daygrain.llm.simhash import near_duplicates
+from daygrain.llm.url_trie import judge_urls
+from daygrain.llm.warc_bundles import read_warc, write_warc
+
+# The contract's url rules (verdict, host, path).
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again: number and hash of its pieces, and whether it came back."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    vocabulary = sentencepiece_codec.share_vocabulary(spark)
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary=vocabulary), vocabulary=vocabulary)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +37,65 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains, with the fewest edits."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.errors")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; a third of the ids is never learnt from."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    scored = classify(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the base kinds counted and hashed, and all spans."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    spans, names = F.col("spans"), [r.kind for r in BASE]
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in names]
+    base = of(*names)
+    return find_secrets(docs).select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url's longest fitting rule and verdict."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back from its bundle."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return read_warc(write_warc(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector among all others."""
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return search(vectors, F.col("vec_id") % 100 == 0, k=10).select("query_id", "rank", "vec_id", "score")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document reachable over links of three bits."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = near_duplicates(docs, shingle_words=3, max_bits=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 SQL_LINE_DEDUP = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -34,9 +116,40 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {
-    "op2_line_dedup": op2_line_dedup,
-}
-ORACLES = {
-    "op2_line_dedup": SQL_LINE_DEDUP,
-}
+SQL_URL_FILTER = """
+WITH parts AS (
+  SELECT page_id,
+         CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fitting AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT split.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM split LEFT JOIN fitting ON split.page_id = fitting.page_id
+"""
+
+SQL_WARC = """
+WITH digests AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM digests GROUP BY payload)
+SELECT page_id, octet_length(encode(digests.payload))::BIGINT AS payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(bits, (i * 5 + 1)::BIGINT, 5))::BIGINT + 1, 1), '' ORDER BY i)
+        FROM (SELECT string_agg(lpad(bin(('0x' || substr(sha1(digests.payload), (j * 2 + 1)::BIGINT, 2))::BIGINT), 8, '0'), '' ORDER BY j) AS bits
+              FROM range(20) AS t(j)), range(32) AS u(i)) AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM digests JOIN firsts ON digests.payload = firsts.payload
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_line_dedup, op3_html_extraction, op4_decontamination, op5_quality_classifier,
+    op6_secret_scan, op7_url_filter, op8_warc, op9_nearest_neighbours, op10_simhash)}
+ORACLES = {"op2_line_dedup": SQL_LINE_DEDUP, "op7_url_filter": SQL_URL_FILTER, "op8_warc": SQL_WARC}
