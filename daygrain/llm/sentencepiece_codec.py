@@ -386,8 +386,9 @@ def decode_column(ids: Column, vocabulary) -> Column:
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
         codec = _codec(vocabulary)
-        return pa.array([codec.decode(x.values.to_pylist() if x.is_valid else []) for x in rows], pa.string())
-    return run(ids)
+        return pa.array([codec.decode(x.values.to_pylist()) for x in rows], pa.string())
+    # a Python function right on another one's result would make Spark run that one again inside it
+    return run(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def share_vocabulary(spark, model_path: str = MODEL_PATH) -> Shared:
