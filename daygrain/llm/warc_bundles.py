@@ -213,5 +213,7 @@ def read_warc(index: DataFrame) -> DataFrame:
     first = index.select("folder").first()
     if first is None:
         return index.sparkSession.createDataFrame([], RECORD)
-    places = index.drop("folder").repartition("bundle").sortWithinPartitions("bundle", "frame_offset", "record_offset")
+    # a stated number of tasks: the index is small, what it points to is not
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = index.drop("folder").repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame_offset", "record_offset")
     return places.select("bundle", "frame_offset", "frame_size", "record_offset", "record_size").mapInArrow(_reader(first["folder"]), RECORD)
