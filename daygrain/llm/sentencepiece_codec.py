@@ -28,8 +28,8 @@ from daygrain.llm.common import Shared
 MARK = "▁"  # stands for a space in the model's pieces; units keep the space
 #: Where the public tokenizers' model lies; callers may name another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 1_000_000
-CACHED_UNITS = 600_000
+BATCH_CHARS = 400_000
+CACHED_UNITS = 300_000
 PAIR_CACHE_BITS = 21
 
 
@@ -135,7 +135,9 @@ class Codec:
         usable = np.flatnonzero(v.valid)
         self.piece_ids = usable.astype(np.int64)
         self.piece_len = np.array([len(v.pieces[i]) for i in usable])
-        self.piece_chars = [np.array([ord(c) for c in v.pieces[i]]) for i in usable]
+        self.piece_chars = np.zeros((len(usable), int(self.piece_len.max(initial=1))), np.int64)
+        for row, i in enumerate(usable):
+            self.piece_chars[row, :len(v.pieces[i])] = [ord(c) for c in v.pieces[i]]
         self.length = np.ones(self.size + 1, np.int64)
         self.length[self.piece_ids] = self.piece_len
         pairs = {(self.ids[p[:k]], self.ids[p[k:]]): i for i, p in enumerate(v.pieces) if v.normal[i]
@@ -207,9 +209,9 @@ class Codec:
         bits = int(len(present) + 2).bit_length()
         per_key = 62 // bits
         inside = np.zeros(0x110000, bool)
-        inside[present] = True
-        usable = [k for k, c in enumerate(self.piece_chars) if inside[c].all()]
-        if not usable:
+        inside[present] = inside[0] = True
+        usable = np.flatnonzero(inside[self.piece_chars].all(axis=1))
+        if not len(usable):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         longest = int(self.piece_len[usable].max())
         n, levels = len(code), -(-longest // per_key)
@@ -228,9 +230,8 @@ class Codec:
         low, high = np.zeros((levels, len(usable)), np.int64), np.zeros((levels, len(usable)), np.int64)
         top = (1 << bits) - 1
         chars = np.zeros((len(usable), levels * per_key), np.int64)
-        for r, k in enumerate(usable):
-            c = self.piece_chars[k]
-            chars[r, :len(c)] = code_of[c]
+        code_of[0] = 0
+        chars[:, :longest] = code_of[self.piece_chars[usable, :longest]]
         for j in range(levels * per_key):
             low[j // per_key] = low[j // per_key] << bits | chars[:, j]
             high[j // per_key] = high[j // per_key] << bits | np.where(chars[:, j] > 0, chars[:, j], top)
