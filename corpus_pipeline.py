@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import sentencepiece_codec
 from daygrain.llm.common import as_table, read_table
 from daygrain.llm.decontaminate import contamination
 from daygrain.llm.line_dedup import dedup_lines
 from daygrain.llm.quality_gbt import classify
+from daygrain.llm.sentencepiece_codec import round_trip
 from daygrain.llm.simhash import first_of_each
 
 
@@ -44,8 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's piece ids, and whether they decode to its text."""
-    vocabulary = sentencepiece_codec.share_vocabulary(spark)
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary=vocabulary), vocabulary=vocabulary)
+    both = round_trip(docs)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from daygrain.llm import sentencepiece_codec
 from daygrain.llm.ann_postings import search
 from daygrain.llm.common import read_table
 from daygrain.llm.decontaminate import contamination
@@ -12,6 +11,7 @@ from daygrain.llm.html_wrapper import extract_text
 from daygrain.llm.line_dedup import dedup_lines
 from daygrain.llm.quality_gbt import classify
 from daygrain.llm.secret_scan import BASE, find_secrets
+from daygrain.llm.sentencepiece_codec import round_trip
 from daygrain.llm.simhash import near_duplicates
 from daygrain.llm.url_trie import judge_urls
 from daygrain.llm.warc_bundles import read_warc, write_warc
@@ -24,8 +24,7 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again: number and hash of its pieces, and whether it came back."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    vocabulary = sentencepiece_codec.share_vocabulary(spark)
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary=vocabulary), vocabulary=vocabulary)
+    both = round_trip(docs)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

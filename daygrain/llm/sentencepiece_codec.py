@@ -17,19 +17,20 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrain.llm.common import Shared
+from daygrain.llm.common import Shared, fresh
 
 MARK = "▁"  # stands for a space in the model's pieces; units keep the space
 #: Where the public tokenizers' model lies; callers may name another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 400_000
-CACHED_UNITS = 300_000
+CACHED_UNITS = 500_000
 PAIR_CACHE_BITS = 21
 
 
@@ -374,16 +375,32 @@ def _codec(shared: Shared) -> Codec:
     return _codecs[shared.key]
 
 
-def encode_column(text: Column, vocabulary) -> Column:
+#: A batch's texts are worked on in slices, so that no more than a slice is held as Python objects.
+SLICE_ROWS = 500
+
+
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    return (column.slice(i, SLICE_ROWS) for i in range(0, len(column), SLICE_ROWS))
+
+
+def _id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def encode_column(text: Column, vocabulary: Shared) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        ids = _codec(vocabulary).encode([t or "" for t in texts.to_pylist()])
-        offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
+        codec = _codec(vocabulary)
+        return _joined([_id_lists(codec.encode([t or "" for t in x.to_pylist()])) for x in _slices(texts)], pa.list_(pa.int32()))
     return run(text)
 
 
-def decode_column(ids: Column, vocabulary) -> Column:
+def decode_column(ids: Column, vocabulary: Shared) -> Column:
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
         codec = _codec(vocabulary)
@@ -392,6 +409,21 @@ def decode_column(ids: Column, vocabulary) -> Column:
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def both_column(text: Column, vocabulary: Shared) -> Column:
+    """Struct of the ids and of the text that they decode to, in one pass of one worker."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        codec, out = _codec(vocabulary), []
+        for x in _slices(texts):
+            ids = codec.encode([t or "" for t in x.to_pylist()])
+            decoded = pa.array([codec.decode(i.tolist()) for i in ids], pa.string())
+            out.append(pa.StructArray.from_arrays([_id_lists(ids), decoded], fields=list(kind)))
+        return _joined(out, kind)
+    return run(text)
+
+
 def share_vocabulary(spark, model_path: str = MODEL_PATH) -> Shared:
     """The model's vocabulary, broadcast (its size is the model's, whatever the corpus)."""
     return Shared(spark, load_vocabulary(model_path))
@@ -411,3 +443,10 @@ def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH,
     Decoding an encoded text gives it back, but for the mark U+2581 itself, which decodes as a space.
     """
     return rows.withColumn(out, decode_column(F.col(ids_col), vocabulary or share_vocabulary(rows.sparkSession, model_path)))
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``: ``encode`` and ``decode`` in one pass. These names replace columns of ``docs``."""
+    both = fresh(docs, "_both")
+    out = docs.withColumn(both, both_column(F.col(text_col), share_vocabulary(docs.sparkSession, model_path)))
+    return out.withColumns({"ids": F.col(f"{both}.ids"), "decoded": F.col(f"{both}.decoded")}).drop(both)
