@@ -50,6 +50,7 @@ SALTS = 64
 HOSTS_AT_ONCE = 1000
 WIDEST = 40
 GROUP = 4
+DEEPEST = 100  # elements below this depth only part blocks
 
 
 def label_of(tag: str, attributes: str) -> str:
@@ -61,10 +62,10 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 def events(page: str) -> Iterator[tuple]:
-    """("open", label, True if in a line) / ("close", label) of block elements and ("text", string, in a link), balanced."""
+    """("open", label) / ("close", tag) of block elements and ("text", string, in a link), balanced."""
     stack: list[str] = []  # open block tags
+    deeper: dict[str, int] = {}
     links = at = 0
-    raw_end = None
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -78,6 +79,9 @@ def events(page: str) -> Iterator[tuple]:
                 links = max(0, links - 1)
             elif close == "br" or close == "p" and "p" not in stack:
                 yield "text", " ", False
+            elif deeper.get(close):
+                deeper[close] -= 1
+                yield "text", " ", False
             elif close in stack:
                 while True:
                     top = stack.pop()
@@ -102,8 +106,12 @@ def events(page: str) -> Iterator[tuple]:
                 while stack and stack[-1] in closes:
                     yield "close", stack.pop()
                 links = 0
+                if len(stack) >= DEEPEST:
+                    deeper[tag] = deeper.get(tag, 0) + 1
+                    yield "text", " ", False
+                    continue
                 stack.append(tag)
-                yield "open", label_of(tag, attributes), attributes
+                yield "open", label_of(tag, attributes)
         elif page.startswith("<![CDATA[", m.start()):
             yield "text", " ", False
     if at < len(page):
@@ -209,7 +217,7 @@ def expression(node: list) -> str:
 # -- what is article text --------------------------------------------------------------------------------------------
 def _excluded(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in NEVER or tag == "header.page" or bool(NAMED.intersection(words))
+    return tag in NEVER or bool(NAMED.intersection(words))
 
 
 def _is_root(label: str) -> bool:
@@ -217,104 +225,134 @@ def _is_root(label: str) -> bool:
     return tag in ("article", "main") or bool(CONTENT.intersection(words))
 
 
-def decide(root: list) -> dict:
-    """{"roots": paths of the article's elements, "drop": paths below them that are left out}."""
-    roots: list[str] = []
-
-    def find(node: list, path: str) -> None:
-        for x in node[CHILDREN]:
-            if not _excluded(x[LABEL]) and x[LABEL].split(".")[0] != "header":
-                at = f"{path}>{x[LABEL]}"
-                roots.append(at) if _is_root(x[LABEL]) else find(x, at)
-
-    find(root, "")
-    if roots:
-        # an article inside main is found below it by the same walk only where main has no article of its own
-        return {"roots": sorted(set(_inner_articles(root, roots))), "drop": []}
-    drop: list[str] = []
-
-    def weigh(node: list, path: str) -> int:
-        """Characters of text that is neither constant over pages, nor links, nor excluded."""
-        total = 0 if node[TEXT].startswith("=") and path else max(0, node[CHARS] - 2 * node[LINKED])
-        for x in node[CHILDREN]:
-            at = f"{path}>{x[LABEL]}"
-            if _excluded(x[LABEL]) or x[LABEL].split(".")[0] == "header":
-                drop.append(at)
-                continue
-            n = weigh(x, at)
-            if not n:
-                drop.append(at)
-            total += n
-        mass[path] = mass.get(path, 0) + total
-        return total
-
-    mass: dict[str, int] = {}
-    whole = weigh(root, "") if root[PAGES] > 2 else 0
-    if not whole:  # a few pages, or copies of one: nothing is known to be constant
-        drop.clear(), mass.clear()
-        root = _as_slots(root)
-        whole = weigh(root, "")
-    node, path = root, ""
-    while True:
-        heavy = [x for x in node[CHILDREN] if mass.get(f"{path}>{x[LABEL]}", 0) >= 0.8 * whole and whole]
-        if not heavy or heavy[0][LABEL].split(".")[0] in ("p", "li"):
-            break
-        node, path = heavy[0], f"{path}>{heavy[0][LABEL]}"
-    return {"roots": [path], "drop": sorted({d for d in drop if d.startswith(path)})}
-
-
-def _as_slots(node: list) -> list:
-    return [node[LABEL], [_as_slots(x) for x in node[CHILDREN]], "*" if node[TEXT] else "", *node[CHARS:]]
-
-
-def _inner_articles(root: list, roots: list[str]) -> list[str]:
-    """Of a main element with articles inside, the articles; other roots as they are."""
-    out = []
-    for r in roots:
+KEEP, DROP = 1, 0
+
+
+def decide(root: list) -> list:
+    """The wrapper's marks: [label, KEEP / DROP / None (as above it), repeated, children]; KEEP starts the article."""
+    roots = _named_roots(root)
+    drops: list[list] = []
+    if not roots:
+        mass = _weigh(root, root[PAGES] > 2)
+        if not mass[id(root)]:  # nothing varies: copies of one page
+            mass = _weigh(root, False)
         node = root
-        for label in r.split(">")[1:]:
-            node = next(x for x in node[CHILDREN] if x[LABEL] == label)
-        inner: list[str] = []
-
-        def find(node: list, path: str) -> None:
-            for x in node[CHILDREN]:
-                if not _excluded(x[LABEL]):
-                    at = f"{path}>{x[LABEL]}"
-                    inner.append(at) if x[LABEL].split(".")[0] == "article" else find(x, at)
-
-        if r.rsplit(">", 1)[1].split(".")[0] != "article":
-            find(node, r)
-        out += inner or [r]
+        while mass[id(root)]:
+            heavy = [x for x in node[CHILDREN] if mass.get(id(x), 0) >= 0.8 * mass[id(root)]]
+            if not heavy or heavy[0][LABEL].split(".")[0] in ("p", "li"):
+                break
+            node = heavy[0]
+        roots = [node]
+        drops = _weightless(node, mass)
+    keep, drop = {id(x) for x in roots}, {id(x) for x in drops}
+
+    def marks(x: list) -> list:
+        return [x[LABEL], KEEP if id(x) in keep else DROP if id(x) in drop else None, x[REPEATED], [marks(y) for y in x[CHILDREN]]]
+
+    return marks(root)
+
+
+def _named_roots(node: list) -> list:
+    """The outermost article or main elements; of a main with articles in it, the articles."""
+    out = []
+    for x in node[CHILDREN]:
+        tag = x[LABEL].split(".")[0]
+        if _excluded(x[LABEL]) or tag == "header":
+            continue
+        inner = [] if tag == "article" else _named_roots(x)
+        out += inner or ([x] if _is_root(x[LABEL]) else [])
+    return out
+
+
+def _weigh(node: list, constants: bool) -> dict[int, int]:
+    """By node, the characters of text that is not linked, excluded or, if ``constants`` are known, the same on all pages."""
+    mass: dict[int, int] = {}
+
+    def total(x: list) -> int:
+        own = 0 if constants and x[TEXT] != "*" else max(0, x[CHARS] - 2 * x[LINKED])
+        left_out = _excluded(x[LABEL]) or x[LABEL].split(".")[0] == "header"
+        mass[id(x)] = 0 if left_out else own + sum(map(total, x[CHILDREN]))
+        return mass[id(x)]
+
+    total(node)
+    return mass
+
+
+def _weightless(node: list, mass: dict[int, int]) -> list:
+    return [y for x in node[CHILDREN] for y in ([x] if not mass.get(id(x)) else _weightless(x, mass))]
+
+
+def page_tree(page: str) -> list:
+    """[label, parts]; parts are strings and elements in page order."""
+    root: list = ["", []]
+    stack = [root]
+    for kind, said, *_ in events(page):
+        if kind == "text":
+            stack[-1][1].append(said)
+        elif kind == "open":
+            stack[-1][1].append([said, []])
+            stack.append(stack[-1][1][-1])
+        else:
+            stack.pop()
+    return root
+
+
+def _matched(elements: list, marks: list) -> list:
+    """The mark that each element of a level falls to: the longest alignment with the wrapper's level, in order."""
+    by_label: dict = {}
+    for m in marks:
+        by_label.setdefault(m[0], []).append(m)
+    if all(len(v) == 1 for v in by_label.values()):
+        return [by_label[e[0]][0] if e[0] in by_label else None for e in elements]
+    n, k = len(elements), len(marks)
+    best = [[0] * (k + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(k - 1, -1, -1):
+            same = elements[i][0] == marks[j][0]
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], 1 + best[i + 1][j if marks[j][2] else j + 1] if same else 0)
+    out, j = [], 0
+    for i, e in enumerate(elements):
+        while j < k and best[i][j] == best[i][j + 1]:
+            j += 1
+        if j < k and e[0] == marks[j][0] and best[i][j] == 1 + best[i + 1][j if marks[j][2] else j + 1]:
+            out.append(marks[j])
+            j += not marks[j][2]
+        else:
+            out.append(by_label.get(e[0], [None])[0])
     return out
 
 
-def extract(page: str, wrapper: dict | None) -> str:
+def extract(page: str, wrapper: list | None) -> str:
     """The article's text by a host's wrapper; by the page's own where the wrapper's elements are not in it."""
-    text = _read(page, wrapper) if wrapper else None
+    tree = page_tree(page)
+    text = _read(tree, wrapper) if wrapper else None
     if text is None:
-        text = _read(page, decide(page_wrapper(page)))
+        text = _read(tree, decide(page_wrapper(page)))
     return text or ""
 
 
-def _read(page: str, wrapper: dict) -> str | None:
-    """None if no root of the wrapper occurs."""
-    roots, drop = frozenset(wrapper["roots"]), frozenset(wrapper["drop"])
-    paths, inside, out = [""], ["" in roots], []
-    seen = inside[0]
-    for kind, *rest in events(page):
-        if kind == "open":
-            path = f"{paths[-1]}>{rest[0]}"
-            paths.append(path)
-            is_root = path in roots
-            seen |= is_root
-            inside.append((inside[-1] or is_root) and not _excluded(rest[0]) and path not in drop)
+def _read(tree: list, wrapper: list) -> str | None:
+    """None if no element that starts the article occurs."""
+    out: list[str] = []
+    seen = wrapper[1] == KEEP
+
+    def walk(node: list, mark: list | None, inside: bool) -> None:
+        nonlocal seen
+        elements = [x for x in node[1] if not isinstance(x, str)]
+        marks = iter(_matched(elements, mark[3]) if mark and elements else [None] * len(elements))
+        for x in node[1]:
+            if isinstance(x, str):
+                if inside:
+                    out.append(x)
+                continue
+            m = next(marks)
+            starts = m is not None and m[1] == KEEP
+            seen |= starts
             out.append(" ")
-        elif kind == "close":
-            paths.pop()
-            inside.pop()
+            walk(x, m, (inside or starts) and not _excluded(x[0]) and not (m is not None and m[1] == DROP))
             out.append(" ")
-        elif inside[-1]:
-            out.append(rest[0])
+
+    walk(tree, wrapper, seen)
     return " ".join(entities.unescape("".join(out)).split()) if seen else None
 
 
