@@ -14,13 +14,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrain.functions.exprs import col, dlit
+from daygrain.functions.exprs import col, dlit, finite
 
 
 def non_null_values(arr, field: str | None = None) -> Column:
     """Values of ``field`` (or the elements) cast to double, nulls and bad numbers dropped."""
     a = F.coalesce(col(arr), F.array())
-    vals = F.transform(a, (lambda x: x[field].try_cast("double")) if field else (lambda x: x.try_cast("double")))
+    vals = F.transform(a, (lambda x: finite(x[field].try_cast("double"))) if field else (lambda x: finite(x.try_cast("double"))))
     return F.filter(vals, lambda v: v.isNotNull())
 
 
@@ -88,7 +88,7 @@ def add_usage_stats(df: DataFrame, items, app_field: str = "app_name",
     """D10 per row: events, total time, max time (floor 0), distinct non-null apps; a bad time counts 0.0."""
     a = F.coalesce(col(items), F.array())
     df = df.withColumns({
-        "_ut": F.transform(a, lambda x: F.coalesce(x[time_field].try_cast("double"), dlit(0.0))),
+        "_ut": F.transform(a, lambda x: F.coalesce(finite(x[time_field].try_cast("double")), dlit(0.0))),
         "usage_events": F.size(a).cast("double"),
         "usage_unique_apps": F.size(F.array_distinct(F.filter(F.transform(a, lambda x: x[app_field].cast("string")),
                                                               lambda v: v.isNotNull()))).cast("double"),
@@ -108,7 +108,7 @@ def add_label_distribution_stats(df: DataFrame, items, label_field: str = "label
     an empty list gives the label ``missing``.
     """
     a = F.coalesce(col(items), F.array())
-    df = df.withColumns({"_la": a, "_lp": F.transform(a, lambda x: F.coalesce(x[prob_field].try_cast("double"),
+    df = df.withColumns({"_la": a, "_lp": F.transform(a, lambda x: F.coalesce(finite(x[prob_field].try_cast("double")),
                                                                                dlit(0.0)))})
     df = df.withColumns({"_ln": F.size("_lp"), "ambience_prob_sum": array_sum("_lp"), "_lmax": F.array_max("_lp")})
     has = F.col("_ln") > 0

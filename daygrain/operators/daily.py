@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.constants import MERGE_KEYS, TIME_BINS
-from daygrain.functions.exprs import date_key, dlit, safe_ratio, safe_token, time_bin
+from daygrain.functions.exprs import date_key, dlit, safe_ratio, time_bin, tokens
 
 DAY_KEYS = MERGE_KEYS
 
@@ -67,8 +67,7 @@ def category_exprs(cat: str, vocab: list, prefix: str) -> list[Column]:
     """
     total = F.count(F.col(cat))
     counts, ratios = [], []
-    for v in vocab:
-        tok = safe_token(v, 24)
+    for v, tok in zip(vocab, tokens(vocab, 24)):
         c = F.when(total > 0, F.count_if(F.col(cat) == F.lit(v)))
         counts.append(c.alias(f"{prefix}_{cat}_count_{tok}"))
         ratios.append(safe_ratio(c, total).alias(f"{prefix}_{cat}_ratio_{tok}"))

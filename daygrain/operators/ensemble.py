@@ -36,7 +36,8 @@ def blend_weights(scores: DataFrame, power=MODEL_BLEND_POWER, ratio=WEAK_MODEL_L
     rt = F.col(ratio) if isinstance(ratio, str) else dlit(ratio)
     w = Window.partitionBy("target", *by)
     best = F.min("score").over(w)
-    kept = F.col("score") <= best * rt
+    near = F.col("score") <= best * rt
+    kept = near | ~F.max(near).over(w)  # with a ratio below 1 none is near: all stay
     inv = F.when(kept, dlit(1.0) / F.pow(F.greatest(F.col("score"), dlit(EPS)), pw)).otherwise(dlit(0.0))
     with_inv = scores.withColumn("_inv", inv)
     return with_inv.withColumn("weight", F.col("_inv") / F.sum("_inv").over(w)).drop("_inv")

@@ -62,11 +62,3 @@ def fold_complement(folds: DataFrame, target: str = "target") -> DataFrame:
     vf = fold_table(folds, target)
     return folds.join(F.broadcast(vf), (folds[target] == vf[target]) & (folds["fold"] != vf["vf"]), "inner") \
                 .drop(vf[target])
-
-
-def single_class_folds(folds: DataFrame, target: str = "target", y: str = "y") -> DataFrame:
-    """(target, vf, n_classes, constant) of each training complement; constant set when one class."""
-    comp = fold_complement(folds, target)
-    return comp.groupBy(target, "vf").agg(
-        F.count_distinct(y).alias("n_classes"),
-        F.when(F.count_distinct(y) == 1, F.min(y).cast("double")).alias("constant"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from daygrain.functions.exprs import dlit, finite, make_unique_columns
+from daygrain.functions.exprs import dlit, finite, unique_names
 
 
 def numeric_columns(df: DataFrame, exclude: set[str] | list[str] = ()) -> list[str]:
@@ -60,7 +60,7 @@ def drop_all_missing(train: DataFrame, others: list[DataFrame], cols: list[str])
 def rename_unique(df: DataFrame, keep: list[str]) -> DataFrame:
     """Safe, unique feature names (keys untouched)."""
     feats = [c for c in df.columns if c not in keep]
-    names = make_unique_columns(feats)
+    names = unique_names(feats)
     return df.select(*keep, *[F.col(f"`{c}`").alias(n) for c, n in zip(feats, names)])
 
 

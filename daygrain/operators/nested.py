@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrain.constants import MISSING_LABEL, ROW_OTHER_STATS, ROW_SUM_STATS, TOP_AMBIENCE, TOP_APPS
 from daygrain.functions import lists
-from daygrain.functions.exprs import dlit, safe_ratio, safe_token
+from daygrain.functions.exprs import dlit, safe_ratio, tokens
 
 _AGG = {
     "sum": lambda c: F.coalesce(F.sum(c), dlit(0.0)),   # pandas: sum of all-missing is 0
@@ -157,8 +157,8 @@ def top_app_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_A
     long = top_app_long(df, items, keys, top_n)
     vocab = sorted(r[0] for r in top_values(app_records(df, items, keys), "app", F.col("time"), top_n).collect())
     wide = long.groupBy(*keys).pivot("app", vocab).agg(F.sum("app_time"))
-    return wide.select(*keys, *[F.coalesce(F.col(f"`{a}`"), dlit(0.0)).alias(f"{prefix}_{safe_token(a, 40)}")
-                                for a in vocab])
+    return wide.select(*keys, *[F.coalesce(F.col(f"`{a}`"), dlit(0.0)).alias(f"{prefix}_{t}")
+                                for a, t in zip(vocab, tokens(vocab, 40))])
 
 
 # --- D12 / D13 / D14 ---------------------------------------------------------------
@@ -196,7 +196,7 @@ def top_label_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP
     vocab = sorted(r[0] for r in top_values(rows, "ambience_top_label", None, top_n).collect())
     wide = long.groupBy(*keys).pivot("ambience_top_label", vocab).agg(F.sum("n"))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long")
-                                .alias(f"{prefix}_{safe_token(v, 40)}") for v in vocab])
+                                .alias(f"{prefix}_{t}") for v, t in zip(vocab, tokens(vocab, 40))])
 
 
 __all__ = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daygrain.constants import N_SPLITS, SEED, TARGET_PRIOR_SETTINGS
+from daygrain.constants import N_PARAMS_PER_TRIAL_MAX, N_PARAMS_PER_TRIAL_MIN, N_SPLITS, SEED, TARGET_PRIOR_SETTINGS
 from daygrain.operators import folds as fo, prior as pr, sweep as sw
 from daygrain.plans import views_sql as S
 from daygrain.plans.q_model import (CHAIN, TARGETS, _calibrate_sql, _clip, _grid_values, _labels, _ll,
@@ -16,8 +16,40 @@ N_TRIALS = 12
 PARAM_COLS = [c for c, _ in sw.FIT_FREE.values()]
 
 
-def _trials_py():
-    return sw.trials_py(N_TRIALS, space=sw.FIT_FREE_SPACE)
+def _uniform_sql(tag: str) -> str:
+    return f"(('0x' || substr(md5('{SEED}:' || trial_id || ':{tag}'), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _value_sql(kind: str, params, t: str) -> str:
+    """The value at quantile ``t`` of one entry of the search space."""
+    if kind == "uniform":
+        lo, hi = params
+        return f"round({lo}::DOUBLE + {t} * ({hi}::DOUBLE - {lo}::DOUBLE), 6)"
+    if kind == "loguniform":
+        lo, hi = params
+        return f"round(exp(ln({lo}::DOUBLE) + {t} * (ln({hi}::DOUBLE) - ln({lo}::DOUBLE))), 8)"
+    values = list(range(params[0], params[1] + 1, params[2])) if kind == "int" else list(params)
+    return f"[{', '.join(f'{float(v)}::DOUBLE' for v in values)}][(floor({t} * {len(values)})::BIGINT % {len(values)}) + 1]"
+
+
+def _trials_sql() -> str:
+    """Trial 1 is the baseline, trial 2 the low-discrepancy point, the others change a few entries at random."""
+    space = {path: (i, kind, params) for i, (path, kind, params) in enumerate(sw.FIT_FREE_SPACE)}
+    picks = "[" + ", ".join(_uniform_sql(f"pick:{p}") for p in space) + "]"
+    changed = (f"{N_PARAMS_PER_TRIAL_MIN} + floor({_uniform_sql('n_params')} * "
+               f"{N_PARAMS_PER_TRIAL_MAX - N_PARAMS_PER_TRIAL_MIN + 1})")
+    cols = []
+    for path, (col, default) in sw.FIT_FREE.items():
+        if path not in space:
+            cols.append(f"{float(default)}::DOUBLE AS {col}")
+            continue
+        i, kind, params = space[path]
+        base = i + 2
+        point = (f"list_sum([(floor((trial_id + 1) / pow({base}, k)) % {base}) / pow({base}, k + 1) for k in range(20)])")
+        cols.append(f"CASE WHEN trial_id = 1 THEN {float(default)}::DOUBLE WHEN trial_id = 2 THEN {_value_sql(kind, params, point)} "
+                    f"WHEN len([x for x in {picks} if x < {_uniform_sql(f'pick:{path}')}]) < {changed} "
+                    f"THEN {_value_sql(kind, params, _uniform_sql(f'value:{path}'))} ELSE {float(default)}::DOUBLE END AS {col}")
+    return f"SELECT trial_id::INTEGER AS trial_id, {', '.join(cols)} FROM range(1, {N_TRIALS + 1}) AS t(trial_id)"
 
 
 def _weight_overrides():
@@ -35,13 +67,12 @@ def _sweep(spark, sf_dir):
 
 
 def _sweep_sql() -> str:
-    tv = _grid_values(sw.trial_params_py(_trials_py()), "trial_id, " + ", ".join(PARAM_COLS))
     alpha_g = _grid_values([(i, float(a), f"{a:.2f}") for i, a in enumerate(ens.alpha_values())],
                            "grid_order, alpha, alpha_key")
     cal_g = _grid_values(ens.calibration_grid_rows(), "grid_order, method, value")
     prior = _prior_formula("tr.subject_smoothing", "tr.recent_smoothing", "tr.default_recent_weight")
     return CHAIN + f""",
-trials AS (SELECT * FROM {tv}),
+trials AS ({_trials_sql()}),
 comps AS (SELECT v.target, v.key, mu.mu, hist.hist_s, hist.hist_n, t.rec_s, t.rec_n
           FROM trf v JOIN mu USING (target, fold) JOIN hist USING (target, key, fold)
           LEFT JOIN tail t ON t.target = v.target AND t.vf = v.fold AND t.subject_id = v.subject_id),

@@ -47,9 +47,8 @@ def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, b
     start = int(last or 0) + 1
     best_params, best_loss = files.load_best(spark, best_path)
     # the trial table has ``n_trials`` rows (the search budget): collecting it is parameter-sized
-    trials = [(r["trial_id"], r["strategy"], dict(r["overrides"] or {}))
-              for r in sw.trials(spark, n_trials, strategy=strategy, seed=seed, incumbent=best_params,
-                                 space=space, start=start).orderBy("trial_id").collect()]
+    table = sw.trials(spark, n_trials, strategy=strategy, seed=seed, incumbent=best_params, space=space, start=start)
+    trials = [(r["trial_id"], r["strategy"], dict(r["overrides"] or {})) for r in table.orderBy("trial_id").collect()]
     groups: dict = {}
     for t in trials:
         groups.setdefault(fit_config(t[2]), []).append(t)
@@ -65,9 +64,7 @@ def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, b
             targets = [r[0] for r in run["labels"].select("target").distinct().collect()]
             overrides = {t: v["recent_weight"] for t, v in TARGET_PRIOR_SETTINGS.items()
                          if t in targets and "recent_weight" in v}
-            params = spark.createDataFrame(
-                sw.trial_params_py(members), "trial_id int, " + ", ".join(f"{c} double" for c, _ in
-                                                                          sw.FIT_FREE.values()))
+            params = sw.trial_params(table.where(F.col("trial_id").isin([t[0] for t in members])))
             scores = {r["trial_id"]: r["logloss"] for r in
                       sw.oof_sweep(spark, run["oof"].select("target", "key", "y", "model", "pred"), comps,
                                    overrides, params).collect()}

@@ -128,3 +128,22 @@ def test_two_class_fit_runs(spark):
         pred, model = train.fit_predict(m, tr, va, ["a", "b"], 3, train.profile(m), ["key"])
         vals = [r["pred"] for r in pred.collect()]
         assert len(vals) == 2 and all(1e-5 <= v <= 1 - 1e-5 for v in vals)
+
+
+def test_non_finite_numbers_inside_lists_are_missing(spark):
+    from daygrain.functions import lists
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([([(1.0, "a", 1.0), (nan, "b", nan), (inf, "c", 3.0)],)],
+                               "items array<struct<p: double, label: string, total_time: double>>")
+    row = lists.add_list_key_stats(df, "items", ["p"], "v")[0].first()
+    assert (row["v_row_p_mean"], row["v_row_p_sum"], row["v_row_p_max"]) == (1.0, 1.0, 1.0)
+    use = lists.add_usage_stats(df, "items", "label", "total_time")[0].first()
+    assert (use["usage_total_time"], use["usage_max_time"]) == (4.0, 3.0)
+    amb = lists.add_label_distribution_stats(df, "items", "label", "p")[0].first()
+    assert (amb["ambience_prob_sum"], amb["ambience_top_prob"], amb["ambience_top_label"]) == (1.0, 1.0, "a")
+
+
+def test_blend_keeps_all_models_when_none_is_near(spark):
+    from daygrain.operators.ensemble import blend_weights
+    scores = spark.createDataFrame([("t", "a", 0.5), ("t", "b", 0.5)], "target string, model string, score double")
+    assert [r["weight"] for r in blend_weights(scores, ratio=0.5).collect()] == [0.5, 0.5]

@@ -2,7 +2,7 @@
 
 import math
 
-from daygrain.functions.exprs import safe_token
+from daygrain.functions.exprs import tokens, unique_names
 from daygrain.operators import ensemble as ens, sweep as sw
 
 # Q1 block of the published CV report: model scores -> weights, alpha curve -> alpha.
@@ -39,13 +39,14 @@ def test_alpha_argmin_first_wins(spark):
     assert float(f"{alphas[best]:.2f}") == 0.35     # the chosen alpha is the key's value
 
 
-def test_macro_average_published():
-    assert abs(sum([0.652818093440523]) - 0.652818093440523) < 1e-15
-    assert abs(0.606865542224166 - sum(OOF_LOSSES) / 7) < 1e-6
+def test_macro_average_published(spark):
+    from daygrain.operators.metrics import macro_average
+    scores = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(OOF_LOSSES)], "target string, logloss double")
+    assert abs(macro_average(scores).first()[0] - 0.606865542224166) < 1e-6
 
 
-def test_low_discrepancy_trial_two():
-    ov = sw.vdc_trial_py(2)
+def test_low_discrepancy_trial_two(spark):
+    ov = dict(sw.trials(spark, 1, strategy="sobol", start=2).first()["overrides"])
     assert ov["training.model_blend_power"] == 4.125
     assert ov["training.weak_model_loss_ratio"] == 1.083333
     assert ov["training.prior.subject_smoothing"] == 15.75
@@ -56,19 +57,16 @@ def test_low_discrepancy_trial_two():
     assert ov["training.n_splits"] == 5
 
 
-def test_low_discrepancy_trial_two_in_spark(spark):
-    row = sw.trials(spark, 1, strategy="sobol", start=2).first()
-    assert dict(row["overrides"]) == {k: float(v) for k, v in sw.vdc_trial_py(2).items()}
-
-
 def test_best_trial_from_history(spark):
     hist = spark.createDataFrame([(t, l, None) for t, l, _ in HISTORY], "trial_id int, logloss double, error string")
     best = sw.trial_best(hist).first()
     assert best["trial_id"] == 3 and best["logloss"] == 0.606865542224166
 
 
-def test_safe_token_digit():
-    assert safe_token("0") == "f_0_cfcd2084"
+def test_token_digit_and_accents(spark):
+    assert tokens(["0"]) == ["f_0_cfcd2084"]
+    assert [t.rsplit("_", 1)[0] for t in tokens(["Café Noël", "漢", "  ", "ÀÉ-ß"])][0::3] == ["cafe_noel", "ae"]
+    assert unique_names(["a b", "a b", "c"])[1] == unique_names(["a b"])[0] + "_1"
 
 
 def test_calibration_grid_shape():
