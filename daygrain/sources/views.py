@@ -30,21 +30,24 @@ def sensor_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey"]
 ORDER_ITEM_FIELDS = ITEM_FIELDS + ["l_returnflag", "p_brand"]
 
 
-def sensor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All list sensors in one view: per order, every item field sorted by (linenumber, partkey, suppkey).
+def sensor_orders(spark: SparkSession, sf_dir: str, fields: list[str] = ORDER_ITEM_FIELDS) -> DataFrame:
+    """List sensors as one view: per order, the items sorted by (linenumber, partkey, suppkey).
 
-    One lineitem (x part) scan, one ``groupBy(l_orderkey)`` and one orders x customer
-    join serve V2-V5, which are projections of this view. Per-order lists are bounded
-    by an order's line count, so ``collect_list`` per order is safe at any scale.
+    Items hold the sort keys and ``fields``; only these are read and shuffled, and ``part``
+    is joined only for ``p_brand``. With all fields, V2-V5 are projections of one such view.
+    Per-order lists are bounded by an order's line count, so ``collect_list`` per order is
+    safe at any scale.
     """
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", *ITEM_FIELDS, "l_returnflag"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
-    lp = li.join(part, li.l_partkey == part.p_partkey, "left")
-    items = (lp.groupBy("l_orderkey")
-               .agg(F.array_sort(F.collect_list(F.struct(*ORDER_ITEM_FIELDS))).alias("items")))
+    cols = ORDER_KEYS + [c for c in fields if c not in ORDER_KEYS]
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", *[c for c in cols if c != "p_brand"]])
+    if "p_brand" in cols:
+        part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+        li = li.join(part, li.l_partkey == part.p_partkey, "left")
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))
     return _attach_orders(spark, sf_dir, items)
 
 
@@ -66,25 +69,25 @@ def price_readings(items) -> F.Column:
 
 def sensor_nested(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V2: list-of-struct readings, items sorted by (linenumber, partkey, suppkey)."""
-    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir, ITEM_FIELDS)
     return o.select("subject_id", "bucket", "row_id", nested_items("items").alias("items"))
 
 
 def sensor_array(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V3: list-of-double readings (extended prices in item order)."""
-    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir, ["l_extendedprice"])
     return o.select("subject_id", "bucket", "row_id", price_readings("items").alias("readings"))
 
 
 def sensor_usage(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V4: app usage lists, app = part brand, time = quantity."""
-    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir, ["l_quantity", "p_brand"])
     return o.select("subject_id", "bucket", "row_id", usage_items("items").alias("items"))
 
 
 def sensor_labels(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """V5: label/probability lists, label = return flag, prob = discount."""
-    o = orders if orders is not None else sensor_orders(spark, sf_dir)
+    o = orders if orders is not None else sensor_orders(spark, sf_dir, ["l_returnflag", "l_discount"])
     return o.select("subject_id", "bucket", "row_id", label_items("items").alias("items"))
 
 

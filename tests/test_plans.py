@@ -40,3 +40,12 @@ def test_fold_row_numbers_are_bucketed(spark):
     plan = _plan(fo.stratified_folds(views.labelled(spark, SF_SMALL)))
     rn = [l for l in plan.split("\n") if "row_number()" in l and "Window [" in l]
     assert rn and all("_bk" in l for l in rn)
+
+
+def test_list_sensors_read_only_their_fields(spark):
+    for name, absent in (("label_entropy", ["l_extendedprice", "l_quantity"]),
+                         ("array_row_stats", ["l_discount", "l_quantity", "l_returnflag"])):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "l_linenumber" in plan and "p_partkey" not in plan and "part.parquet" not in plan
+        assert not any(c in plan for c in absent), name
+    assert "p_brand" in _plan(E.queries()["daily_usage"](spark, SF_SMALL))
