@@ -45,6 +45,43 @@ FINAL_BAGGING_SEEDS = [42, 2025, 777]
 FALLBACK_ALPHA = 0.80
 MODEL_NAMES = ["lightgbm", "xgboost", "catboost", "extra_trees", "logistic"]
 
+# --- fixed values: daily statistics of each row value ---------------------------
+HR_PLAN = {
+    "hr_n": ["sum", "mean", "max"],
+    "hr_sum": ["sum", "mean", "max"],
+    "hr_mean": ["mean", "std", "min", "max"],
+    "hr_std": ["mean", "max"],
+    "hr_min": ["min", "mean"],
+    "hr_max": ["max", "mean"],
+    "hr_median": ["mean", "std"],
+}
+USAGE_PLAN = {
+    "usage_events": ["sum", "mean", "max"],
+    "usage_total_time": ["sum", "mean", "max"],
+    "usage_max_time": ["mean", "max"],
+    "usage_unique_apps": ["sum", "mean", "max"],
+}
+AMBIENCE_PLAN = {
+    "ambience_n": ["sum", "mean", "max"],
+    "ambience_prob_sum": ["sum", "mean", "max"],
+    "ambience_top_prob": ["mean", "std", "min", "max"],
+    "ambience_entropy": ["mean", "std", "min", "max"],
+}
+
+# --- fixed values: model profiles (trees, learning rate and regularisation as far as MLlib has them;
+# the forest has no depth limit there, 30 is the deepest that MLlib builds) -----------------
+MAX_TREE_DEPTH = 30
+MODEL_PROFILES = {
+    "lightgbm": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 12, "subsample": 0.85,
+                 "features": "0.82"},
+    "xgboost": {"kind": "gbt", "trees": 700, "step": 0.025, "depth": 3, "min_node": 4, "subsample": 0.85,
+                "features": "0.82"},
+    "catboost": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 1, "subsample": 1.0,
+                 "features": "all"},
+    "extra_trees": {"kind": "rf", "trees": 700, "depth": MAX_TREE_DEPTH, "min_node": 4, "features": "0.65"},
+    "logistic": {"kind": "lr", "C": 0.45, "max_iter": 4000},
+}
+
 # --- fixed values: search grids (start, stop, count; both ends included) ----
 ALPHA_GRID = (0.0, 1.0, 21)
 SHRINK_GRID = (0.0, 0.4, 41)

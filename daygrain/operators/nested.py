@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrain.constants import MISSING_LABEL, ROW_OTHER_STATS, ROW_SUM_STATS, TOP_AMBIENCE, TOP_APPS
+from daygrain.constants import AMBIENCE_PLAN, HR_PLAN, MISSING_LABEL, ROW_OTHER_STATS, ROW_SUM_STATS, TOP_AMBIENCE, \
+    TOP_APPS, USAGE_PLAN
 from daygrain.functions import lists
 from daygrain.functions.exprs import dlit, safe_ratio, tokens
 
@@ -79,17 +80,6 @@ def daily_nested_distinct(df: DataFrame, list_col: str, unique_key: str, keys: l
 
 
 # --- D8 / D9 ------------------------------------------------------------------------
-HR_PLAN = {
-    "hr_n": ["sum", "mean", "max"],
-    "hr_sum": ["sum", "mean", "max"],
-    "hr_mean": ["mean", "std", "min", "max"],
-    "hr_std": ["mean", "max"],
-    "hr_min": ["min", "mean"],
-    "hr_max": ["max", "mean"],
-    "hr_median": ["mean", "std"],
-}
-
-
 def array_row_stats(df: DataFrame, arr_col: str, keys: list[str]) -> DataFrame:
     """N, sum, mean, population std, min, max, median of each row's list."""
     out, cols = lists.add_numeric_array_stats(df, arr_col, "hr")
@@ -105,14 +95,6 @@ def daily_array_stats(df: DataFrame, arr_col: str, keys: list[str], prefix: str
 
 
 # --- D10 / D11 ----------------------------------------------------------------------
-USAGE_PLAN = {
-    "usage_events": ["sum", "mean", "max"],
-    "usage_total_time": ["sum", "mean", "max"],
-    "usage_max_time": ["mean", "max"],
-    "usage_unique_apps": ["sum", "mean", "max"],
-}
-
-
 def usage_row_stats(df: DataFrame, items: str, keys: list[str]) -> DataFrame:
     out, cols = lists.add_usage_stats(df, items)
     return out.select(*keys, *cols)
@@ -162,14 +144,6 @@ def top_app_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_A
 
 
 # --- D12 / D13 / D14 ---------------------------------------------------------------
-AMBIENCE_PLAN = {
-    "ambience_n": ["sum", "mean", "max"],
-    "ambience_prob_sum": ["sum", "mean", "max"],
-    "ambience_top_prob": ["mean", "std", "min", "max"],
-    "ambience_entropy": ["mean", "std", "min", "max"],
-}
-
-
 def label_row_stats(df: DataFrame, items: str, keys: list[str]) -> DataFrame:
     """N, prob sum, top prob, entropy and top label of each row's label list."""
     out, cols = lists.add_label_distribution_stats(df, items)

@@ -9,6 +9,7 @@ reaches the driver.
 
 from __future__ import annotations
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -17,24 +18,10 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from daygrain.constants import FINAL_BAGGING_SEEDS, MODEL_NAMES, SEED
+from daygrain.constants import FINAL_BAGGING_SEEDS, MODEL_NAMES, MODEL_PROFILES, QUICK_TREE_ESTIMATORS, SEED
 from daygrain.functions.exprs import clip_proba, dlit
 from daygrain.session import materialize
 
-# The reference's model profiles (trees, learning rate and regularisation as far as MLlib has them).
-REFERENCE_PROFILES = {
-    "lightgbm": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 12, "subsample": 0.85,
-                 "features": "0.82"},
-    "xgboost": {"kind": "gbt", "trees": 700, "step": 0.025, "depth": 3, "min_node": 4, "subsample": 0.85,
-                "features": "0.82"},
-    "catboost": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 1, "subsample": 1.0,
-                 "features": "all"},
-    "extra_trees": {"kind": "rf", "trees": 700, "depth": 12, "min_node": 4, "features": "0.65"},
-    "logistic": {"kind": "lr", "C": 0.45, "max_iter": 4000},
-}
-# Default sizes for Spark: each boosting round is a distributed job, so fewer, larger steps.
-FAST_SIZES = {"gbt": {"trees": 20, "step": 0.1}, "rf": {"trees": 50}}
-
 
 def enabled_models(config: dict | None = None) -> list[str]:
     """Model families switched on in ``config`` (all by default), in reference order."""
@@ -42,10 +29,11 @@ def enabled_models(config: dict | None = None) -> list[str]:
     return [m for m in MODEL_NAMES if config.get(m, {}).get("enabled", True)]
 
 
-def profile(name: str, reference_sizes: bool = False, overrides: dict | None = None) -> dict:
-    p = dict(REFERENCE_PROFILES[name])
-    if not reference_sizes and p["kind"] in FAST_SIZES:
-        p.update(FAST_SIZES[p["kind"]])
+def profile(name: str, quick: bool = False, overrides: dict | None = None) -> dict:
+    """A model's sizes: the full ones, or the documented quick mode's tree count; ``overrides`` win."""
+    p = dict(MODEL_PROFILES[name])
+    if quick and "trees" in p:
+        p["trees"] = QUICK_TREE_ESTIMATORS
     p.update(overrides or {})
     return p
 
@@ -117,7 +105,7 @@ def model_input(matrix: DataFrame, labels: DataFrame, folds: DataFrame | None) -
 
 
 def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool = True, refit: bool = True,
-            seed: int = SEED, seeds: list[int] = FINAL_BAGGING_SEEDS, reference_sizes: bool = False,
+            seed: int = SEED, seeds: list[int] = FINAL_BAGGING_SEEDS, quick: bool = False,
             workers: int = 8, insample: bool = False, importance_model: str = "lightgbm",
             profile_overrides: dict | None = None) -> dict:
     """G4 + G10 + D19 (+ G14) in one pool of concurrent fits.
@@ -133,7 +121,7 @@ def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool
         if cv else []
     targets = sorted({t for t, _ in plan}) if cv else \
         [r[0] for r in data.select("target").distinct().orderBy("target").collect()]
-    prof_of = {m: profile(m, reference_sizes, (profile_overrides or {}).get(m)) for m in models}
+    prof_of = {m: profile(m, quick, (profile_overrides or {}).get(m)) for m in models}
     jobs = [("cv", t, f, m, seed + int(f)) for t, f in plan for m in models] if cv else []
     if refit:
         for t in targets:
@@ -141,8 +129,12 @@ def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool
                 for s in (seeds if seed_dependent(prof_of[m]) else seeds[:1]):
                     jobs.append(("refit", t, None, m, s))
 
+    sc = data.sparkSession.sparkContext
+
     def run(job):
         kind, t, f, m, s = job
+        # a pool of its own: jobs of one pool run first in, first out, those of several pools take turns
+        sc.setLocalProperty("spark.scheduler.pool", f"fit-{threading.get_ident()}")
         if kind == "cv":
             tr = tr_all.where((F.col("target") == t) & (F.col("fold") != f))
             rows = tr_all.where((F.col("target") == t) & (F.col("fold") == f))
@@ -182,22 +174,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def cross_validated_oof(matrix: DataFrame, folds: DataFrame, features: list[str], models: list[str], *,
-                        seed: int = SEED, reference_sizes: bool = False, workers: int = 8,
+                        seed: int = SEED, quick: bool = False, workers: int = 8,
                         profile_overrides: dict | None = None) -> DataFrame:
     """Out-of-fold predictions of every (target, fold, model); fold seed = seed + fold."""
     labels = folds.select("target", "key", "y").withColumn("split", F.lit("train"))
     data = model_input(matrix, labels, folds)
-    return fit_all(data, features, models, refit=False, seed=seed, reference_sizes=reference_sizes,
+    return fit_all(data, features, models, refit=False, seed=seed, quick=quick,
                    workers=workers, profile_overrides=profile_overrides)["oof"]
 
 
 def refit_predict(matrix: DataFrame, labels: DataFrame, features: list[str], models: list[str], *,
-                  seeds: list[int] = FINAL_BAGGING_SEEDS, reference_sizes: bool = False, workers: int = 8,
+                  seeds: list[int] = FINAL_BAGGING_SEEDS, quick: bool = False, workers: int = 8,
                   insample: bool = False, importance_model: str = "lightgbm",
                   profile_overrides: dict | None = None) -> dict:
     """G10 + D19 (+ G14): seed-bagged refits on all training rows."""
     data = model_input(matrix, labels, None)
-    return fit_all(data, features, models, cv=False, seeds=seeds, reference_sizes=reference_sizes,
+    return fit_all(data, features, models, cv=False, seeds=seeds, quick=quick,
                    workers=workers, insample=insample, importance_model=importance_model,
                    profile_overrides=profile_overrides)
 

@@ -12,6 +12,16 @@ NKEYS = views.NESTED_KEYS
 TOP_N_APPS = 10      # a parameter of the operator (default 40); 10 of the 25 brands so the filter bites
 TOP_N_LABELS = 50
 
+# what the oracles aggregate, written out apart from the operators' plans
+SUMS, SPREAD = "sum mean max", "mean std min max"
+D6_STATS = {"v2_row_n": SUMS, **{f"v2_row_{k}_sum": SUMS for k in ("l_quantity", "l_extendedprice", "l_discount")},
+            **{f"v2_row_{k}_{s}": SPREAD for k in ("l_quantity", "l_extendedprice", "l_discount")
+               for s in ("mean", "std", "min", "max")}}
+D9_STATS = {"hr_n": SUMS, "hr_sum": SUMS, "hr_mean": SPREAD, "hr_std": "mean max", "hr_min": "min mean",
+            "hr_max": "max mean", "hr_median": "mean std"}
+D10_STATS = {"usage_events": SUMS, "usage_total_time": SUMS, "usage_max_time": "mean max", "usage_unique_apps": SUMS}
+D13_STATS = {"ambience_n": SUMS, "ambience_prob_sum": SUMS, "ambience_top_prob": SPREAD, "ambience_entropy": SPREAD}
+
 # --- DuckDB expression builders (independent SQL text) -------------------------------
 
 
@@ -43,10 +53,10 @@ def _d5_rows_sql(view: str = "sensor_nested") -> str:
     return f"SELECT {', '.join(cols)} FROM {view}"
 
 
-def _agg_sql(plan: dict, prefix: str) -> list[str]:
+def _agg_sql(plan: dict[str, str], prefix: str) -> list[str]:
     f = {"sum": "coalesce(sum({c}), 0.0)", "mean": "avg({c})", "max": "max({c})", "min": "min({c})",
          "std": "stddev_samp({c})"}
-    return [f[s].format(c=f"CAST({c} AS DOUBLE)") + f" AS {prefix}_{c}_{s}" for c, st in plan.items() for s in st]
+    return [f[s].format(c=f"CAST({c} AS DOUBLE)") + f" AS {prefix}_{c}_{s}" for c, st in plan.items() for s in st.split()]
 
 
 # --- D5 ------------------------------------------------------------------------------
@@ -60,9 +70,7 @@ def list_row_stats(spark, sf_dir):
 
 # --- D6 ------------------------------------------------------------------------------
 def _d6_sql() -> str:
-    cols = ["v2_row_n"] + [f"v2_row_{k}_{s}" for k in NKEYS for s in ["mean", "std", "min", "max", "sum"]]
-    plan = nested.row_stat_plan(cols)
-    body = (f"SELECT subject_id, bucket, {', '.join(_agg_sql(plan, 'v2'))} FROM ({_d5_rows_sql()}) r "
+    body = (f"SELECT subject_id, bucket, {', '.join(_agg_sql(D6_STATS, 'v2'))} FROM ({_d5_rows_sql()}) r "
             f"GROUP BY subject_id, bucket")
     return S.rounded(S.with_views(S.V2, body), GK)
 
@@ -80,7 +88,8 @@ FROM sensor_nested LEFT JOIN LATERAL (SELECT unnest(items) AS x) u ON TRUE
 GROUP BY subject_id, bucket"""))
 def daily_nested_distinct(spark, sf_dir):
     """Exact distinct nested keys per bucket (0 for buckets without items)."""
-    return nested.daily_nested_distinct(views.sensor_nested(spark, sf_dir), "items", "l_partkey", GK, "v2")
+    return nested.daily_nested_distinct(views.sensor_nested(spark, sf_dir, fields=["l_partkey"]), "items", "l_partkey", GK,
+                                        "v2")
 
 
 # --- D8 / D9 -------------------------------------------------------------------------
@@ -104,7 +113,7 @@ def array_row_stats(spark, sf_dir):
 
 
 def _d9_sql() -> str:
-    body = (f"SELECT subject_id, bucket, {', '.join(_agg_sql(nested.HR_PLAN, 'w_hr'))}, "
+    body = (f"SELECT subject_id, bucket, {', '.join(_agg_sql(D9_STATS, 'w_hr'))}, "
             f"CASE WHEN sum(hr_n) <> 0 THEN sum(hr_sum) / sum(hr_n) END AS w_hr_daily_mean "
             f"FROM ({_hr_rows_sql()}) r GROUP BY subject_id, bucket")
     return S.rounded(S.with_views(S.V3, body), GK)
@@ -126,7 +135,7 @@ FROM sensor_usage"""
 
 
 @register("daily_usage", S.rounded(S.with_views(S.V4, f"""SELECT subject_id, bucket,
-       {', '.join(_agg_sql(nested.USAGE_PLAN, 'm_usage'))}
+       {', '.join(_agg_sql(D10_STATS, 'm_usage'))}
 FROM ({_USAGE_ROWS}) r GROUP BY subject_id, bucket"""), GK))
 def daily_usage(spark, sf_dir):
     """Per-row usage counts and times, then daily sum/mean/max."""
@@ -150,6 +159,31 @@ def top_app_pivot(spark, sf_dir):
     return nested.top_app_long(views.sensor_usage(spark, sf_dir), "items", GK, TOP_N_APPS)
 
 
+def _token(v: str) -> str:
+    t = f"lower(regexp_replace(regexp_replace({v}, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g'))"
+    t = f"CASE WHEN {t} = '' THEN 'x_' || substr(md5({v}), 1, 8) ELSE {t} END"
+    t = f"CASE WHEN regexp_matches({t}, '^[0-9]') THEN 'f_' || {t} ELSE {t} END"
+    return f"(regexp_replace(substr({t}, 1, 40), '^_+|_+$', '', 'g') || '_' || substr(md5({v}), 1, 8))"
+
+
+def _melted(wide):
+    """A wide pivot as one row per (group, column)."""
+    return wide.unpivot(GK, [c for c in wide.columns if c not in GK], "feature", "feature_value")
+
+
+@register("top_app_wide", S.rounded(S.with_views(S.V4 + ",\n" + _APP_RECORDS.format(n=TOP_N_APPS) + """,
+app_sum AS (SELECT subject_id, bucket, app, sum(time) AS s FROM app_rec
+            WHERE app IN (SELECT app FROM top_apps) GROUP BY ALL),
+app_keys AS (SELECT DISTINCT subject_id, bucket FROM app_sum)""", f"""
+SELECT k.subject_id, k.bucket, 'm_usage_app_time_' || {_token('t.app')} AS feature, coalesce(a.s, 0.0::DOUBLE) AS feature_value
+FROM app_keys k CROSS JOIN top_apps t
+LEFT JOIN app_sum a ON a.subject_id = k.subject_id AND a.bucket = k.bucket AND a.app = t.app"""),
+    ["subject_id", "bucket", "feature"]))
+def top_app_wide(spark, sf_dir):
+    """D11 (wide form, melted): one zero-filled column per top app."""
+    return _melted(nested.top_app_pivot(views.sensor_usage(spark, sf_dir), "items", GK, TOP_N_APPS))
+
+
 # --- D12 / D13 / D14 -----------------------------------------------------------------
 def _label_rows_sql() -> str:
     probs = "list_transform(items, lambda x: coalesce(TRY_CAST(x.prob AS DOUBLE), 0.0::DOUBLE))"
@@ -183,7 +217,7 @@ def label_entropy(spark, sf_dir):
 
 
 @register("daily_label_stats", S.rounded(S.with_views(S.V5, f"""SELECT subject_id, bucket,
-       {', '.join(_agg_sql(nested.AMBIENCE_PLAN, 'm_ambience'))}
+       {', '.join(_agg_sql(D13_STATS, 'm_ambience'))}
 FROM ({_label_stats_sql()}) r GROUP BY subject_id, bucket"""), GK))
 def daily_label_stats(spark, sf_dir):
     """Daily re-aggregation of the D12 row stats."""
@@ -199,3 +233,18 @@ GROUP BY subject_id, bucket, ambience_top_label"""))
 def top_label_pivot(spark, sf_dir):
     """D14 (long form): per-bucket counts of rows whose top label is among the N most frequent."""
     return nested.top_label_long(views.sensor_labels(spark, sf_dir), "items", GK, TOP_N_LABELS)
+
+
+@register("top_label_wide", S.with_views(S.V5 + f""",
+ls AS ({_label_stats_sql()}),
+top_labels AS (SELECT ambience_top_label AS v FROM ls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {TOP_N_LABELS}),
+label_n AS (SELECT subject_id, bucket, ambience_top_label AS v, count(*) AS n FROM ls
+            WHERE ambience_top_label IN (SELECT v FROM top_labels) GROUP BY ALL),
+label_keys AS (SELECT DISTINCT subject_id, bucket FROM label_n)""", f"""
+SELECT k.subject_id, k.bucket, 'm_ambience_top_count_' || {_token('t.v')} AS feature,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS feature_value
+FROM label_keys k CROSS JOIN top_labels t
+LEFT JOIN label_n l ON l.subject_id = k.subject_id AND l.bucket = k.bucket AND l.v = t.v"""))
+def top_label_wide(spark, sf_dir):
+    """D14 (wide form, melted): one zero-filled count per frequent top label."""
+    return _melted(nested.top_label_pivot(views.sensor_labels(spark, sf_dir), "items", GK, TOP_N_LABELS))

@@ -9,18 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession, functions as F
 
-from daygrain.constants import MODEL_BLEND_POWER, N_SPLITS, SEED, WEAK_MODEL_LOSS_RATIO
+from daygrain.constants import MODEL_BLEND_POWER, N_SPLITS, QUICK_N_SPLITS, SEED, WEAK_MODEL_LOSS_RATIO
 from daygrain.operators import ensemble as ens, folds as fo, prior as pr, train
 from daygrain.session import materialize
 from daygrain.sources import views
 
 
-def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = None, n_splits: int = N_SPLITS,
+def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = None, n_splits: int | None = None,
              seed: int = SEED, power: float = MODEL_BLEND_POWER, ratio: float = WEAK_MODEL_LOSS_RATIO,
-             run_cv: bool = True, postprocess: bool = True, reference_sizes: bool = False, workers: int = 8,
+             run_cv: bool = True, postprocess: bool = True, quick: bool = False, workers: int = 8,
              prior_params: dict | None = None, profile_overrides: dict | None = None,
              refit: bool = True) -> dict:
+    """One trial. ``quick`` is the documented quick mode without its row caps: 120 trees a model, 3 folds."""
     models = models or train.enabled_models()
+    n_splits = n_splits or (QUICK_N_SPLITS if quick else N_SPLITS)
     lab = materialize(views.labelled(spark, sf_dir).select("key", "subject_id", "ord", "target", "y", "split"))
     matrix = materialize(views.document_matrix(spark, sf_dir))
     features = [c for c in matrix.columns if c != "key"]
@@ -31,7 +33,7 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
     folds = materialize(fo.stratified_folds(lab, n_splits, seed)) if run_cv else None
     data = train.model_input(matrix, lab, folds)
     fits = train.fit_all(data, features, models, cv=run_cv, refit=refit or not run_cv, seed=seed,
-                         reference_sizes=reference_sizes, workers=workers, insample=not run_cv,
+                         quick=quick, workers=workers, insample=not run_cv,
                          profile_overrides=profile_overrides)
     if run_cv:
         oof_y = fits["oof"].join(folds.select("target", "key", "y"), ["target", "key"])

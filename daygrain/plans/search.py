@@ -40,7 +40,7 @@ def fit_config(overrides: dict) -> tuple:
 
 def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, best_path: str, *,
            strategy: str = "mixed", seed: int = SEED, space=None, models: list[str] | None = None,
-           reference_sizes: bool = False, workers: int = 8) -> dict:
+           quick: bool = False, workers: int = 8) -> dict:
     space = space or sw.SEARCH_SPACE
     hist = files.load_history(spark, history_path)
     last = hist.agg(F.max("trial_id")).first()[0]
@@ -57,7 +57,7 @@ def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, b
         t0 = time.time()
         try:
             run = full_run(spark, sf_dir, models=models, n_splits=n_splits, seed=seed, workers=workers,
-                           reference_sizes=reference_sizes, refit=False,
+                           quick=quick, refit=False,
                            profile_overrides={m: {"trees": n} for m, n in trees})
             comps = pr.oof_prior_components(run["labels"], run["folds"], run["settings"]).select(
                 "target", "key", "mu", "hist_s", "hist_n", "rec_s", "rec_n")

@@ -51,8 +51,8 @@ def sensor_orders(spark: SparkSession, sf_dir: str, fields: list[str] = ORDER_IT
     return _attach_orders(spark, sf_dir, items)
 
 
-def nested_items(items) -> F.Column:
-    return F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in ITEM_FIELDS]))
+def nested_items(items, fields: list[str] = ITEM_FIELDS) -> F.Column:
+    return F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in fields]))
 
 
 def usage_items(items) -> F.Column:
@@ -67,10 +67,11 @@ def price_readings(items) -> F.Column:
     return F.transform(items, lambda x: x["l_extendedprice"])
 
 
-def sensor_nested(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+def sensor_nested(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None,
+                  fields: list[str] = ITEM_FIELDS) -> DataFrame:
     """V2: list-of-struct readings, items sorted by (linenumber, partkey, suppkey)."""
-    o = orders if orders is not None else sensor_orders(spark, sf_dir, ITEM_FIELDS)
-    return o.select("subject_id", "bucket", "row_id", nested_items("items").alias("items"))
+    o = orders if orders is not None else sensor_orders(spark, sf_dir, fields)
+    return o.select("subject_id", "bucket", "row_id", nested_items("items", fields).alias("items"))
 
 
 def sensor_array(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:

@@ -19,8 +19,15 @@ def test_enabled_models():
         ["lightgbm", "xgboost", "extra_trees"]
 
 
+def test_profile_sizes():
+    assert [train.profile(m).get("trees") for m in train.enabled_models()] == [800, 700, 800, 700, None]
+    assert [train.profile(m, quick=True).get("trees") for m in train.enabled_models()] == [120] * 4 + [None]
+    assert train.profile("xgboost", quick=True, overrides={"trees": 900})["trees"] == 900
+
+
 def test_cv_run_and_bundle(spark, tmpdir_path):
-    run = full_run(spark, SF_SMALL, models=["xgboost", "logistic"], n_splits=3, workers=4)
+    run = full_run(spark, SF_SMALL, models=["xgboost", "logistic"], n_splits=3, workers=4,
+                   profile_overrides={"xgboost": {"trees": 5}})
     n_pred = run["labels"].where("split = 'predict'").count()
     fin = run["final"]
     assert fin.count() == n_pred
