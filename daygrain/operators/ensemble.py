@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from daygrain.constants import (ALPHA_GRID, EPS, FALLBACK_ALPHA, MODEL_BLEND_POWER, SHRINK_GRID,
                                 TEMPERATURE_GRID, WEAK_MODEL_LOSS_RATIO, linspace)
 from daygrain.functions.exprs import clip_proba, dlit, log_loss_term, logit, sigmoid
+from daygrain.operators.metrics import macro_average
 from daygrain.session import materialize
 
 LOSS_DIGITS = 12   # losses equal to 12 places count as ties, broken by grid order (first wins)
@@ -213,10 +214,11 @@ def insample_weights(insample: DataFrame, power=MODEL_BLEND_POWER, ratio=WEAK_MO
 
 # --- G13 ---------------------------------------------------------------------------------------
 def cv_report(t: dict, prior_col: str = "prior") -> DataFrame:
-    """One row per target: three log-losses, model scores and weights (maps), alpha, alpha curve (map),
-    calibration (struct)."""
+    """One row per target: rows, three log-losses, their final one's average over targets, model scores and
+    weights (maps), alpha, alpha curve (map), calibration (struct)."""
     final = t["final"]
     losses = final.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n_rows"),
         F.avg(log_loss_term("y", "calibrated")).alias("oof_logloss"),
         F.avg(log_loss_term("y", "model_pred")).alias("model_only_logloss"),
         F.avg(log_loss_term("y", prior_col)).alias("prior_only_logloss"))
@@ -228,4 +230,5 @@ def cv_report(t: dict, prior_col: str = "prior") -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("alpha_key", "loss")))).alias("alpha_scores"))
     cal = t["calibration"].where("chosen").select(
         "target", F.struct("method", "value", F.col("loss").alias("logloss"), "target_mean").alias("postprocess"))
-    return losses.join(maps, "target").join(al, "target").join(cal, "target")
+    report = losses.join(maps, "target").join(al, "target").join(cal, "target")
+    return report.crossJoin(F.broadcast(macro_average(losses, col="oof_logloss")))

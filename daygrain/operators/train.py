@@ -12,11 +12,11 @@ from __future__ import annotations
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from daygrain.constants import FINAL_BAGGING_SEEDS, MODEL_NAMES, MODEL_PROFILES, QUICK_TREE_ESTIMATORS, SEED
 from daygrain.functions.exprs import clip_proba, dlit
@@ -139,30 +139,31 @@ def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool
             tr = tr_all.where((F.col("target") == t) & (F.col("fold") != f))
             rows = tr_all.where((F.col("target") == t) & (F.col("fold") == f))
             pred, _ = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key", "fold"])
-            return kind, pred.withColumn("model", F.lit(m)), None
+            return kind, pred.withColumn("model", F.lit(m)), None, None
         tr = tr_all.where(F.col("target") == t)
         rows = data.where(F.col("target") == t) if insample else \
             data.where((F.col("target") == t) & (F.col("split") == "predict"))
         pred, model = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key"])
-        imp = None
+        imp, fitted = None, (t, m, s, model)
         if m == importance_model and model is not None:
             used = model.stages[1].getInputCols()
             imp = [(c[:-3], float(v)) for c, v in zip(used, model.stages[-1].featureImportances.toArray())]
-        return kind, pred.withColumn("model", F.lit(m)).withColumn("seed", F.lit(s)), imp
+        return kind, pred.withColumn("model", F.lit(m)).withColumn("seed", F.lit(s)), imp, fitted
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         res = list(pool.map(run, jobs))
     out = {}
-    cv_parts = [p for k, p, _ in res if k == "cv"]
+    cv_parts = [p for k, p, *_ in res if k == "cv"]
     if cv_parts:
         out["oof"] = materialize(_union(cv_parts))
-    rf_parts = [p for k, p, _ in res if k == "refit"]
+    rf_parts = [p for k, p, *_ in res if k == "refit"]
     if rf_parts:
         out["predictions"] = materialize(_union(rf_parts).groupBy("target", "key", "model")
                                          .agg(clip_proba(F.avg("pred")).alias("pred")))
-        imp_rows = [r for k, _, imp in res if imp for r in imp]
+        imp_rows = [r for _, _, imp, _ in res if imp for r in imp]
         imps = data.sparkSession.createDataFrame(imp_rows or [], "feature string, importance double")
         out["importance"] = feature_importance(imps)
+        out["models"] = [f for *_, f in res if f]
     return out
 
 
@@ -198,3 +199,44 @@ def feature_importance(rows: DataFrame) -> DataFrame:
     """Importance summed over targets and seeds, ranked descending."""
     return rows.groupBy("feature").agg(F.sum("importance").alias("importance")) \
                .orderBy(F.desc("importance"), F.asc("feature"))
+
+
+# --- A9: fitted models ------------------------------------------------------------------------
+def save_models(spark: SparkSession, path: str, models: list[tuple], single_class: DataFrame) -> None:
+    """Each refitted (target, model, seed) pipeline in a folder of its own, and an index of them.
+
+    A fit on a single class has no pipeline; the index holds its constant, from ``single_class`` (target, constant).
+    """
+    rows = []
+    for i, (target, name, seed, model) in enumerate(models):
+        if model is not None:
+            model.write().overwrite().save(f"{path}/fitted/{i}")
+        rows.append((i, target, name, seed, model is not None))
+    index = spark.createDataFrame(rows, "folder int, target string, model string, seed int, has_pipeline boolean")
+    index.join(F.broadcast(single_class), "target", "left").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted_index")
+
+
+def single_class_targets(labels: DataFrame) -> DataFrame:
+    """(target, constant) of targets whose training rows have at most one class; without any row 0.5."""
+    train = labels.where(F.col("split") == "train")
+    known = train.groupBy("target").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi or lo is null")
+    none = labels.select("target").distinct().join(train.select("target").distinct(), "target", "left_anti")
+    return known.select("target", F.coalesce(F.col("lo").cast("double"), dlit(0.5)).alias("constant")) \
+                .unionByName(none.withColumn("constant", dlit(0.5)))
+
+
+def score_saved(spark: SparkSession, path: str, matrix: DataFrame) -> DataFrame:
+    """(target, key, model, pred) of any rows with the saved features, averaged over seeds as in the refits; no fit.
+
+    The index has targets x models x seeds rows.
+    """
+    parts = []
+    for r in spark.read.parquet(f"{path}/fitted_index").orderBy("folder").collect():
+        if r["has_pipeline"]:
+            scored = PipelineModel.load(f"{path}/fitted/{r['folder']}").transform(matrix)
+            pred = clip_proba(vector_to_array("probability")[1])
+        else:
+            scored, pred = matrix, clip_proba(dlit(r["constant"]))
+        parts.append(scored.select(F.lit(r["target"]).alias("target"), "key", F.lit(r["model"]).alias("model"),
+                                   pred.alias("pred")))
+    return _union(parts).groupBy("target", "key", "model").agg(clip_proba(F.avg("pred")).alias("pred"))

@@ -58,6 +58,7 @@ def model_final(spark, sf_dir):
 @register("model_report")
 def model_report(spark, sf_dir):
     """G13 over real fits (flat)."""
-    rep = _run(spark, sf_dir)["report"]
-    return rep.select("target", "oof_logloss", "model_only_logloss", "prior_only_logloss", "model_alpha",
-                      F.col("postprocess.method").alias("method"), F.col("postprocess.value").alias("value"))
+    run = _run(spark, sf_dir)
+    return run["report"].select("target", "oof_logloss", "model_only_logloss", "prior_only_logloss", "model_alpha",
+                      F.col("postprocess.method").alias("method"), F.col("postprocess.value").alias("value"),
+                      "n_rows", F.lit(len(run["features"])).alias("n_features"), "average_logloss")

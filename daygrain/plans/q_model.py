@@ -297,13 +297,14 @@ def final_blend(spark, sf_dir):
   avg({_ll('c.y', 'c.model_pred')}) AS model_only_logloss,
   avg({_ll('c.y', 'c.prior')}) AS prior_only_logloss,
   any_value(CAST(a.alpha_key AS DOUBLE)) AS model_alpha, any_value(k.method) AS method, any_value(k.value) AS value,
-  any_value(k.loss) AS post_logloss, any_value(k.target_mean) AS target_mean
+  any_value(k.loss) AS post_logloss, any_value(k.target_mean) AS target_mean, count(*) AS n_rows,
+  avg(avg({_ll('c.y', 'c.calibrated')})) OVER () AS average_logloss
 FROM calibrated c JOIN (SELECT * FROM alphas WHERE chosen) a USING (target)
-JOIN (SELECT * FROM cal WHERE chosen) k USING (target) GROUP BY c.target""", ["target", "method"]))
+JOIN (SELECT * FROM cal WHERE chosen) k USING (target) GROUP BY c.target""", ["target", "method", "n_rows"]))
 def cv_report(spark, sf_dir):
-    """G13 (flat): per-target final, model-only and prior-only log-loss, alpha and calibration."""
+    """G13 (flat): per-target rows, final, model-only and prior-only log-loss, alpha, calibration; the average over targets."""
     rep = ens.cv_report(_tuned(spark, sf_dir))
     return rep.select("target", "oof_logloss", "model_only_logloss", "prior_only_logloss", "model_alpha",
                       F.col("postprocess.method").alias("method"), F.col("postprocess.value").alias("value"),
                       F.col("postprocess.logloss").alias("post_logloss"),
-                      F.col("postprocess.target_mean").alias("target_mean"))
+                      F.col("postprocess.target_mean").alias("target_mean"), "n_rows", "average_logloss")

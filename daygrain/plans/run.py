@@ -54,5 +54,5 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
         weights = ens.insample_weights(insample, power, ratio)
     prior_p = pr.prior_predict(lab, settings)
     final = ens.final_blend(pred_rows, prior_p, weights, alphas, cal)
-    out.update({"refit": preds, "importance": fits["importance"], "final": final, "weights": weights})
+    out.update({"refit": preds, "importance": fits["importance"], "final": final, "weights": weights, "models": fits["models"]})
     return out

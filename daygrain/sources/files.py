@@ -126,10 +126,13 @@ def latest_version(spark: SparkSession, base: str) -> str | None:
 
 # --- A9 ------------------------------------------------------------------------------------
 def save_bundle(path: str, run: dict, config: dict) -> None:
-    """Feature columns, blend weights, alphas, calibration, report and config beside each other."""
+    """Feature columns, fitted models, blend weights, alphas, calibration, report and config beside each other."""
+    from daygrain.operators import train
     spark = run["matrix"].sparkSession
     spark.createDataFrame([(i, c) for i, c in enumerate(run["features"])], "position int, feature string") \
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_columns")
+    if "models" in run:
+        train.save_models(spark, path, run["models"], train.single_class_targets(run["labels"]))
     run["weights"].write.mode("overwrite").parquet(f"{path}/model_weights")
     if "tuned" in run:
         run["tuned"]["alphas"].where("chosen").write.mode("overwrite").parquet(f"{path}/model_alpha")

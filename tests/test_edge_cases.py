@@ -125,7 +125,8 @@ def test_two_class_fit_runs(spark):
                                "label double, a double, b double")
     va = spark.createDataFrame([(1, 5.0, 1.0), (2, 30.0, None)], "key int, a double, b double")
     for m in ["lightgbm", "extra_trees", "logistic"]:
-        pred, model = train.fit_predict(m, tr, va, ["a", "b"], 3, train.profile(m), ["key"])
+        pred, model = train.fit_predict(m, tr, va, ["a", "b"], 3,
+                                        train.profile(m, overrides={"trees": 20}), ["key"])
         vals = [r["pred"] for r in pred.collect()]
         assert len(vals) == 2 and all(1e-5 <= v <= 1 - 1e-5 for v in vals)
 

@@ -36,6 +36,12 @@ def test_cv_run_and_bundle(spark, tmpdir_path):
     files.save_bundle(os.path.join(tmpdir_path, "bundle"), run, {"models": ["xgboost", "logistic"]})
     back = spark.read.parquet(os.path.join(tmpdir_path, "bundle", "model_weights"))
     assert back.count() == run["weights"].count()
+    saved = train.score_saved(spark, os.path.join(tmpdir_path, "bundle"), run["matrix"])
+    both = run["refit"].join(saved.withColumnRenamed("pred", "again"), ["target", "key", "model"])
+    assert both.count() == run["refit"].count() > 0
+    assert both.where(F.abs(F.col("pred") - F.col("again")) > 1e-9).count() == 0
+    rep = run["report"].collect()
+    assert abs(rep[0]["average_logloss"] - sum(r["oof_logloss"] for r in rep) / len(rep)) < 1e-12
 
 
 def test_fit_free_mode(spark):
