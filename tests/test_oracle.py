@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from daygrain.sources import views
 from daygrain.sources.tables import TABLES
 
 ORACLES = E.oracle_sql()
@@ -58,5 +59,6 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry_runs(spark):
     out = E.entry(spark)
-    assert out.count() >= 0
-    assert out.columns
+    wanted = views.labelled(spark, SF_SMALL).where("split = 'predict'").count()
+    assert out.count() == wanted > 0
+    assert "calibrated" in out.columns
