@@ -29,8 +29,8 @@ from daygrain.llm.common import Shared, fresh
 MARK = "▁"  # stands for a space in the model's pieces; units keep the space
 #: Where the public tokenizers' model lies; callers may name another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 400_000
-CACHED_UNITS = 500_000
+BATCH_CHARS = 120_000
+CACHED_UNITS = 200_000
 PAIR_CACHE_BITS = 21
 
 
