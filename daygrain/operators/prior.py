@@ -1,7 +1,7 @@
 """Smoothed per-subject priors, fold-aware and for prediction rows.
 
-Subject statistics of a fold's history are totals minus the fold's own sums,
-so the subject prior needs no row expansion. The recent prior (last N rows of
+Subject statistics of a fold's history are totals minus the fold's own sums, all from
+one aggregate at (target, subject, fold), so the subject prior needs no row expansion. The recent prior (last N rows of
 a subject's history) expands the labelled rows by the validation folds (at
 most ``n_splits`` x) and keeps the top N per (target, fold, subject) with a
 literal ``rn <= N`` filter, which Spark runs as a partial WindowGroupLimit in
@@ -81,30 +81,29 @@ def oof_prior_components(labels: DataFrame, folds: DataFrame, settings, *,
     if checkpoint:
         # every statistic below re-reads the labelled rows: read them from one materialised copy
         tr = materialize(tr)
-    g = tr.groupBy("target").agg(F.sum("y").alias("T"), F.count(F.lit(1)).alias("N"))
-    gf = tr.groupBy("target", "fold").agg(F.sum("y").alias("Tf"), F.count(F.lit(1)).alias("Nf"))
-    s = tr.groupBy("target", subject).agg(F.sum("y").alias("S"), F.count(F.lit(1)).alias("Ns"))
-    sf = tr.groupBy("target", subject, "fold").agg(F.sum("y").alias("Sf"), F.count(F.lit(1)).alias("Nsf"))
-    mu = (g.join(gf, "target")
-           .select("target", "fold", ((F.col("T") - F.col("Tf")).cast("double")
-                                      / (F.col("N") - F.col("Nf")).cast("double")).alias("mu")))
+    # one aggregate over the rows; totals and global means come from its (target, subject, fold) rows
+    cells = tr.groupBy("target", subject, "fold").agg(F.sum("y").alias("Sf"), F.count(F.lit(1)).alias("Nf"))
+    w_t = Window.partitionBy("target")
+    mu = (cells.groupBy("target", "fold").agg(F.sum("Sf").alias("Sf"), F.sum("Nf").alias("Nf"))
+               .select("target", "fold", ((F.sum("Sf").over(w_t) - F.col("Sf")).cast("double")
+                                          / (F.sum("Nf").over(w_t) - F.col("Nf")).cast("double")).alias("mu")))
     # recent tail: training rows expanded by the validation folds they serve (fold <> vf)
-    vf = gf.select("target", F.col("fold").alias("vf"))
+    vf = mu.select("target", F.col("fold").alias("vf"))
     exp = (tr.join(F.broadcast(vf), (tr.target == vf.target) & (tr.fold != vf.vf)).drop(vf.target)
              .join(F.broadcast(settings.select("target", "recent_days")), "target"))
     tail = (_tail(exp, ["target", "vf", subject], ord_col, max_n)
             .groupBy("target", F.col("vf").alias("fold"), subject)
             .agg(F.sum("y").alias("rec_s"), F.count(F.lit(1)).alias("rec_n")))
+    w_s = Window.partitionBy("target", subject)
+    stats = (cells.select("target", "fold", subject, (F.sum("Sf").over(w_s) - F.col("Sf")).alias("hist_s"),
+                          (F.sum("Nf").over(w_s) - F.col("Nf")).alias("hist_n"))
+                  .join(tail, ["target", "fold", subject], "left"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (tr.select("target", "key", subject, "y", "fold")
               .join(F.broadcast(mu), ["target", "fold"])
-              .join(s, ["target", subject], "left")
-              .join(sf, ["target", subject, "fold"], "left")
-              .join(tail, ["target", "fold", subject], "left")
+              .join(stats, ["target", "fold", subject], "left")
               .select("target", "key", subject, "y", "fold", "mu",
-                      (F.coalesce(F.col("S"), F.lit(0)) - F.coalesce(F.col("Sf"), F.lit(0))).alias("hist_s"),
-                      (F.coalesce(F.col("Ns"), F.lit(0)) - F.coalesce(F.col("Nsf"), F.lit(0))).alias("hist_n"),
-                      F.coalesce(F.col("rec_s"), F.lit(0)).alias("rec_s"),
-                      F.coalesce(F.col("rec_n"), F.lit(0)).alias("rec_n")))
+                      zero("hist_s"), zero("hist_n"), zero("rec_s"), zero("rec_n")))
 
 
 def prior_value(subject_smoothing=None, recent_smoothing=None, recent_weight=None) -> F.Column:

@@ -94,7 +94,9 @@ def _calibrate_sql(p: str, method: str, value: str, tm: str) -> str:
 
 S_SM, R_SM, W_DEF, N_REC = SUBJECT_SMOOTHING, RECENT_SMOOTHING, DEFAULT_RECENT_WEIGHT, RECENT_DAYS
 
-CHAIN = S.PREDS + f""",
+def _chain(n_rec: str, weight: str) -> str:
+    """``n_rec``: SQL of a target's recent rows; ``weight``: SQL of its recent weight. Both may name the column ``target``."""
+    return S.PREDS + f""",
 lab AS (SELECT key, subject_id, ord, target, y, split FROM labelled),
 tr AS (SELECT * FROM lab WHERE split = 'train'),
 cls AS (SELECT target, y, count(*) AS n FROM tr GROUP BY target, y),
@@ -117,8 +119,8 @@ tail AS (SELECT target, vf, subject_id, sum(y) AS rec_s, count(*) AS rec_n FROM
            SELECT h.target, v.vf, h.subject_id, h.y,
                   row_number() OVER (PARTITION BY h.target, v.vf, h.subject_id ORDER BY h.ord DESC, h.key DESC) AS rn
            FROM trf h JOIN (SELECT DISTINCT target, fold AS vf FROM trf) v ON h.target = v.target AND h.fold <> v.vf)
-         WHERE rn <= {N_REC} GROUP BY target, vf, subject_id),
-prior_oof AS (SELECT v.target, v.key, v.fold, {_prior_formula(S_SM, R_SM, W_DEF)} AS prior
+         WHERE rn <= {n_rec} GROUP BY target, vf, subject_id),
+prior_oof AS (SELECT v.target, v.key, v.fold, {_prior_formula(S_SM, R_SM, weight.replace('target', 'v.target'))} AS prior
               FROM trf v JOIN mu USING (target, fold) JOIN hist USING (target, key, fold)
               LEFT JOIN tail t ON t.target = v.target AND t.vf = v.fold AND t.subject_id = v.subject_id),
 prp AS (SELECT * FROM lab WHERE split = 'predict'),
@@ -126,8 +128,8 @@ gm AS (SELECT target, CAST(sum(y) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mu FR
 sp AS (SELECT target, subject_id, sum(y) AS hist_s, count(*) AS hist_n FROM tr GROUP BY target, subject_id),
 tp AS (SELECT target, subject_id, sum(y) AS rec_s, count(*) AS rec_n FROM (
          SELECT *, row_number() OVER (PARTITION BY target, subject_id ORDER BY ord DESC, key DESC) AS rn FROM tr)
-       WHERE rn <= {N_REC} GROUP BY target, subject_id),
-prior_predict AS (SELECT p.target, p.key, {_prior_formula(S_SM, R_SM, W_DEF).replace('hist_n', 'coalesce(hist_n, 0)').replace('hist_s', 'coalesce(hist_s, 0)')} AS prior
+       WHERE rn <= {n_rec} GROUP BY target, subject_id),
+prior_predict AS (SELECT p.target, p.key, {_prior_formula(S_SM, R_SM, weight.replace('target', 'p.target')).replace('hist_n', 'coalesce(hist_n, 0)').replace('hist_s', 'coalesce(hist_s, 0)')} AS prior
                   FROM prp p JOIN gm USING (target) LEFT JOIN sp USING (target, subject_id)
                   LEFT JOIN tp USING (target, subject_id)),
 po AS (SELECT target, key, y, model, pred FROM preds WHERE split = 'train'),
@@ -165,6 +167,9 @@ final_blend AS (SELECT ffin.*, {_calibrate_sql('ffin.final_pred', 'c.method', 'c
                 FROM ffin JOIN (SELECT * FROM cal WHERE chosen) c USING (target))"""
 
 
+CHAIN = _chain(str(N_REC), f"{W_DEF!r}::DOUBLE")
+
+
 def _q(body: str, keep: list[str] | None = None) -> str:
     sql = S.with_views(CHAIN, body)
     return S.rounded(sql, keep) if keep is not None else sql
@@ -231,6 +236,26 @@ def prior_predict(spark, sf_dir):
     return pr.prior_predict(_labels(spark, sf_dir), _settings(spark))
 
 
+# Settings of their own for each target: all weight on a long tail, and a short one.
+PER_TARGET = {"quality": {"recent_days": 30, "recent_weight": 1.0}, "toxic": {"recent_days": 3, "recent_weight": 0.6}}
+_PER_TARGET_CHAIN = _chain("CASE target WHEN 'quality' THEN 30 ELSE 3 END", "(CASE target WHEN 'quality' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END)")
+
+
+@register("prior_oof_per_target", S.rounded(S.with_views(_PER_TARGET_CHAIN, "SELECT target, key, fold, prior FROM prior_oof"),
+                                            ["target", "key", "fold"]))
+def prior_oof_per_target(spark, sf_dir):
+    """G9 with each target's own number of recent rows and recent weight, on validation rows."""
+    lab = _labels(spark, sf_dir)
+    return pr.prior_oof(lab, fo.stratified_folds(lab, N_SPLITS, SEED), pr.prior_settings(spark, TARGETS, target_settings=PER_TARGET))
+
+
+@register("prior_predict_per_target", S.rounded(S.with_views(_PER_TARGET_CHAIN, "SELECT target, key, prior FROM prior_predict"),
+                                                ["target", "key"]))
+def prior_predict_per_target(spark, sf_dir):
+    """G9 with each target's own settings, on prediction rows."""
+    return pr.prior_predict(_labels(spark, sf_dir), pr.prior_settings(spark, TARGETS, target_settings=PER_TARGET))
+
+
 # --- D18 / G5 / D21 -------------------------------------------------------------------------------
 @register("logloss", _q("SELECT target, model, score AS logloss FROM scores", ["target", "model"]))
 def logloss(spark, sf_dir):

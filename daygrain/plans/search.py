@@ -1,13 +1,13 @@
 """H6-H10 with A6/A7: the reference's tuning loop re-aimed as Spark work.
 
-Trials are drawn as a DataFrame (hash-based, see ``operators/sweep.py``) and
+Trials are drawn in batches as a DataFrame (hash-based, see ``operators/sweep.py``) and
 grouped by their fit configuration (tree counts, fold count). Each distinct
 configuration runs one cross-validated fit pass (distributed MLlib fits); all
 trials sharing it are then scored in one sweep job over that pass's stored
 out-of-fold rows (H7). A failing configuration records log-loss ``inf`` and its
 error for each of its trials (H10). Results append to the history (A6); the
 incumbent follows strict improvement in trial order and its overrides replace
-the previous ones (H9), saved as best parameters (A7).
+the previous ones (H9), saved as best parameters (A7); the next batch perturbs it.
 """
 
 from __future__ import annotations
@@ -38,16 +38,39 @@ def fit_config(overrides: dict) -> tuple:
     return int(overrides.get("training.n_splits", N_SPLITS)), trees
 
 
+#: Trials drawn from one incumbent, and scored together where they share a fit.
+BATCH = 4
+
+
 def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, best_path: str, *,
            strategy: str = "mixed", seed: int = SEED, space=None, models: list[str] | None = None,
-           quick: bool = False, workers: int = 8) -> dict:
+           quick: bool = False, workers: int = 8, batch: int = BATCH) -> dict:
+    """``n_trials`` further trials in batches of ``batch``; each batch is drawn from the incumbent after the one before it.
+
+    History and best parameters are written after every batch, so a search that is stopped loses one batch.
+    """
     space = space or sw.SEARCH_SPACE
-    hist = files.load_history(spark, history_path)
-    last = hist.agg(F.max("trial_id")).first()[0]
+    last = files.load_history(spark, history_path).agg(F.max("trial_id")).first()[0]
     start = int(last or 0) + 1
     best_params, best_loss = files.load_best(spark, best_path)
-    # the trial table has ``n_trials`` rows (the search budget): collecting it is parameter-sized
-    table = sw.trials(spark, n_trials, strategy=strategy, seed=seed, incumbent=best_params, space=space, start=start)
+    records = []
+    for first in range(start, start + n_trials, batch):
+        # a batch is a handful of rows: collecting it is parameter-sized
+        table = sw.trials(spark, min(batch, start + n_trials - first), strategy=strategy, seed=seed,
+                          incumbent=best_params, space=space, start=first)
+        done = _run_batch(spark, sf_dir, table, models, seed, quick, workers)
+        for r in done:
+            if r["error"] is None and r["logloss"] < best_loss:
+                best_loss, best_params = r["logloss"], dict(r["param_overrides"])
+        files.append_history(spark, done, history_path)
+        if best_params is not None:
+            files.save_best(spark, best_path, best_params, best_loss, dt.datetime.now().isoformat())
+        records += done
+    return {"records": records, "best_params": best_params, "best_logloss": best_loss}
+
+
+def _run_batch(spark: SparkSession, sf_dir: str, table, models, seed: int, quick: bool, workers: int) -> list[dict]:
+    """History records of the trials in ``table``, by trial id."""
     trials = [(r["trial_id"], r["strategy"], dict(r["overrides"] or {})) for r in table.orderBy("trial_id").collect()]
     groups: dict = {}
     for t in trials:
@@ -76,11 +99,4 @@ def search(spark: SparkSession, sf_dir: str, n_trials: int, history_path: str, b
             records.append({"trial_id": tid, "logloss": scores.get(tid, math.inf), "elapsed_sec": round(each, 1),
                             "param_overrides": ov, "strategy": st, "error": err,
                             "timestamp": dt.datetime.now().isoformat()})
-    records.sort(key=lambda r: r["trial_id"])
-    for r in records:
-        if r["error"] is None and r["logloss"] < best_loss:
-            best_loss, best_params = r["logloss"], dict(r["param_overrides"])
-    files.append_history(spark, records, history_path)
-    if best_params is not None:
-        files.save_best(spark, best_path, best_params, best_loss, dt.datetime.now().isoformat())
-    return {"records": records, "best_params": best_params, "best_logloss": best_loss}
+    return sorted(records, key=lambda r: r["trial_id"])

@@ -57,3 +57,24 @@ def test_approximate_median_option(spark):
                    | (F.col("a_value_median") > F.col("e_value_max"))).count() == 0
     hot = j.where((F.col("subject_id") == 1) & (F.col("lifelog_date") == dt.date(2024, 3, 1))).first()
     assert abs(hot["a_value_median"] - hot["e_value_median"]) <= 0.5
+
+
+def test_exact_medians_of_hot_and_odd_columns(spark):
+    """Half of a column is one value, others have few, no or even counts of values; the answer is the exact median."""
+    import numpy as np
+    import pandas as pd
+    from daygrain.operators.matrix import exact_medians
+
+    rng = np.random.default_rng(5)
+    n = 40_001
+    pdf = pd.DataFrame({"hot": np.where(rng.random(n) < 0.499, 0.0, rng.normal(3, 1, n)), "wide": rng.normal(0, 1e6, n),
+                        "none": np.nan, "two": np.nan, "one": np.nan, "ties": rng.integers(0, 3, n).astype(float)})
+    pdf.loc[:1, "two"] = [1.0, 4.0]
+    pdf.loc[5, "one"] = -7.0
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf.columns)).repartition(8)
+    got = exact_medians(df, list(pdf.columns)).first()
+    for c in pdf.columns:
+        want = pdf[c].median()
+        assert got[f"{c}__med"] is None if np.isnan(want) else got[f"{c}__med"] == want, c
+    none = exact_medians(df.limit(0), ["hot", "none"]).first()
+    assert none["hot__med"] is None and none["none__med"] is None
