@@ -32,12 +32,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
                    "span strike strong sub sup time tt u var".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select button audio video xmp".split())
-NEVER = frozenset("head nav footer aside form dialog menu fieldset".split())
+NEVER = frozenset("head nav footer aside".split())
+SELDOM = frozenset("form dialog menu fieldset".split())  # as NAMED: only without most of the text
+WHOLE = frozenset("html body article main".split())  # their classes tell of the page, not of them
 NAMED = frozenset("ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
                   "alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb "
                   "breadcrumbs pagination pager footer comment comments reply replies disqus respond share sharing social related "
                   "recommended widget toolbar search masthead copyright complementary contentinfo dialog".split())
 CONTENT = frozenset("articlebody main".split())
+PLAIN = frozenset("site page section area block box container wrapper wrap inner list item items left right top bottom bar".split())
+_TALK = frozenset("comment comments reply replies disqus respond".split())
 #: Which elements an opening tag closes if they are open (HTML's optional end tags).
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -54,11 +58,20 @@ DEEPEST = 100  # elements below this depth only part blocks
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag with the known words of its class, id, role and itemprop."""
+    """The tag with the known words of its class, id, role and itemprop.
+
+    A token counts if all its words are known: ``site-footer`` and ``cookie-notice`` do, ``no-sidebar`` does not.
+    """
     if "=" not in attributes:
         return tag
-    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-    return ".".join([tag, *sorted(words & (NAMED | CONTENT))])
+    known = CONTENT if tag in WHOLE else NAMED | CONTENT
+    words: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = set(_WORD.findall(token))
+            if parts <= known | PLAIN:
+                words |= parts & known
+    return ".".join([tag, *sorted(words)])
 
 
 def events(page: str) -> Iterator[tuple]:
@@ -120,7 +133,7 @@ def events(page: str) -> Iterator[tuple]:
         yield "close", stack.pop()
 
 
-# -- wrappers: nodes [label, children, text, chars, link chars, optional, repeated, pages (at the root)] ------------
+# -- wrappers: nodes [label, children, text, chars, link chars, optional, repeated, pages] ------------
 LABEL, CHILDREN, TEXT, CHARS, LINKED, OPTIONAL, REPEATED, PAGES = range(8)
 
 
@@ -130,7 +143,7 @@ def page_wrapper(page: str) -> list:
     stack, texts = [root], [[]]
     for kind, *rest in events(page):
         if kind == "open":
-            node = [rest[0], [], "", 0, 0, False, False, 0]
+            node = [rest[0], [], "", 0, 0, False, False, 1]
             stack[-1][CHILDREN].append(node)
             stack.append(node)
             texts.append([])
@@ -152,11 +165,12 @@ def _finish(node: list, texts: list) -> None:
     node[CHILDREN] = fold(node[CHILDREN])
 
 
-def _sum(a: list, b: list) -> list:
-    """The expression that covers both nodes; they have the same label."""
+def _sum(a: list, b: list, neighbours: bool = False) -> list:
+    """The expression that covers both nodes, of different pages or neighbours on them; they have the same label."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else "*"
     return [a[LABEL], align(a[CHILDREN], b[CHILDREN]), text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED],
-            a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[PAGES] + b[PAGES]]
+            a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED],
+            max(a[PAGES], b[PAGES]) if neighbours else a[PAGES] + b[PAGES]]
 
 
 def fold(items: list) -> list:
@@ -167,7 +181,7 @@ def fold(items: list) -> list:
             out.append(item)
             while len(out) >= 2 * width and [x[LABEL] for x in out[-width:]] == [x[LABEL] for x in out[-2 * width:-width]]:
                 last, before = out[-width:], out[-2 * width:-width]
-                joined = [_sum(x, y) for x, y in zip(before, last)]
+                joined = [_sum(x, y, True) for x, y in zip(before, last)]
                 for x in joined if width == 1 else ():
                     x[REPEATED] = True
                 out[-2 * width:] = joined
@@ -178,7 +192,7 @@ def fold(items: list) -> list:
     if len(items) > WIDEST:  # one repeated group of everything seen at this level
         by_label: dict = {}
         for x in items:
-            by_label[x[LABEL]] = _sum(by_label[x[LABEL]], x) if x[LABEL] in by_label else x
+            by_label[x[LABEL]] = _sum(by_label[x[LABEL]], x, True) if x[LABEL] in by_label else x
         items = list(by_label.values())
         for x in items:
             x[OPTIONAL] = x[REPEATED] = True
@@ -217,7 +231,28 @@ def expression(node: list) -> str:
 # -- what is article text --------------------------------------------------------------------------------------------
 def _excluded(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in NEVER or bool(NAMED.intersection(words))
+    return tag in NEVER or tag in SELDOM or bool(NAMED.intersection(words))
+
+
+def _spared(root: list, constants: bool) -> set[int]:
+    """The elements excluded by a word or as a form that hold most of the text of the pages they are on.
+
+    Readers' words often outweigh an article: an element named after them is spared only if it holds all but a rest.
+    """
+    mass = _weigh(root, constants, None)
+    out: set[int] = set()
+
+    def visit(x: list) -> None:
+        tag, *words = x[LABEL].split(".")
+        if tag not in NEVER and _excluded(x[LABEL]):
+            share = 0.95 if _TALK.intersection(words) else 0.8
+            if mass.get(id(x), 0) * root[PAGES] > share * mass[id(root)] * x[PAGES]:
+                out.add(id(x))
+        for y in x[CHILDREN]:
+            visit(y)
+
+    visit(root)
+    return out
 
 
 def _is_root(label: str) -> bool:
@@ -225,17 +260,21 @@ def _is_root(label: str) -> bool:
     return tag in ("article", "main") or bool(CONTENT.intersection(words))
 
 
-KEEP, DROP = 1, 0
+KEEP, DROP, SPARE = 1, 0, 2
 
 
 def decide(root: list) -> list:
-    """The wrapper's marks: [label, KEEP / DROP / None (as above it), repeated, children]; KEEP starts the article."""
-    roots = _named_roots(root)
+    """The wrapper's marks: [label, KEEP / DROP / SPARE / None (as above it), repeated, children]; KEEP starts the article."""
+    constants = root[PAGES] > 2
+    if constants and not _weigh(root, True, None)[id(root)]:  # nothing varies: copies of one page
+        constants = False
+    spared = _spared(root, constants)
+    roots = _named_roots(root, spared)
     drops: list[list] = []
     if not roots:
-        mass = _weigh(root, root[PAGES] > 2)
-        if not mass[id(root)]:  # nothing varies: copies of one page
-            mass = _weigh(root, False)
+        mass = _weigh(root, constants, spared)
+        if not mass[id(root)]:
+            mass = _weigh(root, False, spared)
         node = root
         while mass[id(root)]:
             heavy = [x for x in node[CHILDREN] if mass.get(id(x), 0) >= 0.8 * mass[id(root)]]
@@ -244,33 +283,37 @@ def decide(root: list) -> list:
             node = heavy[0]
         roots = [node]
         drops = _weightless(node, mass)
-    keep, drop = {id(x) for x in roots}, {id(x) for x in drops}
+    said = {id(x): DROP for x in drops} | {i: SPARE for i in spared} | {id(x): KEEP for x in roots}
 
     def marks(x: list) -> list:
-        return [x[LABEL], KEEP if id(x) in keep else DROP if id(x) in drop else None, x[REPEATED], [marks(y) for y in x[CHILDREN]]]
+        return [x[LABEL], said.get(id(x)), x[REPEATED], [marks(y) for y in x[CHILDREN]]]
 
     return marks(root)
 
 
-def _named_roots(node: list) -> list:
+def _named_roots(node: list, spared: set[int]) -> list:
     """The outermost article or main elements; of a main with articles in it, the articles."""
     out = []
     for x in node[CHILDREN]:
         tag = x[LABEL].split(".")[0]
-        if _excluded(x[LABEL]) or tag == "header":
+        if _excluded(x[LABEL]) and id(x) not in spared or tag == "header":
             continue
-        inner = [] if tag == "article" else _named_roots(x)
+        inner = [] if tag == "article" else _named_roots(x, spared)
         out += inner or ([x] if _is_root(x[LABEL]) else [])
     return out
 
 
-def _weigh(node: list, constants: bool) -> dict[int, int]:
-    """By node, the characters of text that is not linked, excluded or, if ``constants`` are known, the same on all pages."""
+def _weigh(node: list, constants: bool, spared: set[int] | None) -> dict[int, int]:
+    """By node, the characters of text that is not linked, excluded or, if ``constants`` are known, the same on all pages.
+
+    Only tags of ``NEVER`` exclude if ``spared`` is None.
+    """
     mass: dict[int, int] = {}
 
     def total(x: list) -> int:
         own = 0 if constants and x[TEXT] != "*" else max(0, x[CHARS] - 2 * x[LINKED])
-        left_out = _excluded(x[LABEL]) or x[LABEL].split(".")[0] == "header"
+        tag = x[LABEL].split(".")[0]
+        left_out = tag == "header" or (tag in NEVER if spared is None else _excluded(x[LABEL]) and id(x) not in spared)
         mass[id(x)] = 0 if left_out else own + sum(map(total, x[CHILDREN]))
         return mass[id(x)]
 
@@ -349,7 +392,8 @@ def _read(tree: list, wrapper: list) -> str | None:
             starts = m is not None and m[1] == KEEP
             seen |= starts
             out.append(" ")
-            walk(x, m, (inside or starts) and not _excluded(x[0]) and not (m is not None and m[1] == DROP))
+            said = m[1] if m is not None else None
+            walk(x, m, (inside or starts) and (said in (KEEP, SPARE) or said is None and not _excluded(x[0])))
             out.append(" ")
 
     walk(tree, wrapper, seen)

@@ -95,6 +95,29 @@ def test_html_wrapper_without_article_elements(spark):
     assert html_wrapper.extract_text(pages.limit(0)).count() == 0
 
 
+def _texts(pages, url="http://h.example/"):
+    """Each page's text by the wrapper of all."""
+    parts = pd.concat(html_wrapper._fold_pages(iter([pd.DataFrame({"host": url, "html": pages})])))
+    rule = html_wrapper.decide(html_wrapper._merge(parts))
+    return [html_wrapper.extract(p, rule) for p in pages]
+
+
+@pytest.mark.parametrize("around", [
+    "<body class='no-sidebar'><div>{}</div></body>", "<body class='comments-open'><article>{}</article></body>",
+    "<body><article class='post has-comments'>{}</article></body>", "<body class=sidebar><main class=nav>{}</main></body>",
+    "<body><div class='main with-sidebar'>{}</div></body>", "<body><form id=aspnetForm><div>{}</div></form></body>",
+    "<body><form><article>{}</article></form></body>", "<body><div class=widget><section>{}</section></div></body>"])
+def test_html_article_below_a_loose_word_or_a_form(around):
+    pages = [around.format(f"<h2>Title {i}</h2><p>Story of page {i}, of some length.</p><div class=site-footer>All rights {i}</div>") for i in range(5)]
+    for some in (pages, pages[:1]):
+        assert _texts(some) == [f"Title {i} Story of page {i}, of some length." for i in range(len(some))]
+
+
+def test_html_long_comments_stay_out():
+    pages = [f"<body><div><p>Story {i} told here.</p></div><section class=comments><p>{f'reader {i} says ' * 9}</p></section></body>" for i in range(5)]
+    assert _texts(pages) == [f"Story {i} told here." for i in range(5)]
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 def _distance(item, text):
     """Smallest edit distance of item to any substring of text, by dynamic programming."""
