@@ -1,12 +1,15 @@
 """HTML extraction by wrappers: union-free regular expressions over the token streams of a host's pages.
 
-A page's tags are a balanced stream, read level by level. Aligning two streams, equal neighbours (or
-equal groups of neighbours) become a repeated group, what only one of them has becomes
+A page's tags are a balanced stream, read level by level. Two streams are aligned by their elements' labels
+and names (class and id without tokens with digits), with texts that both have as anchors. Where the numbers of
+equal neighbours differ they become a repeated group, what only one stream has becomes
 optional, and text becomes a constant while all pages agree on it and a slot from the first that
-does not. The result is again such an expression, so wrappers merge in any order: each
+does not. A text that only one page or equal pages have stays apart from
+slots while ``SHARE`` of the pages have it. The result is
+again such an expression, so wrappers merge in any order: each
 task folds its pages by host, partial wrappers meet by (host, salt) and then by host, and no task sees
-more than partial wrappers of a host. Labels are tags with the words of ``NAMED`` found in
-their class, id or role, so an expression's size does not grow with the host.
+more than partial wrappers of a host. Neighbouring optional elements of equal label and name, and of
+equal label if fewer than ``SHARE`` of the pages have them, become one repeated element, so a level does not grow with the host.
 
 The wrapper then says which slots hold the article: below its ``article`` or ``main`` element, else below
 the lowest element with most of the text that varies, without constants and lists of links. Pages are
@@ -19,6 +22,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from zlib import crc32
 
 import pandas as pd
@@ -48,15 +52,23 @@ _ENDS_P = frozenset("address article aside blockquote center details div dl fiel
                     "header hr main menu nav ol p pre section table ul li".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
                     r"""|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 SALTS = 64
 HOSTS_AT_ONCE = 1000
-WIDEST = 40
-GROUP = 4
+SHARE = 0.1
+COMMON = 0.2  # a text that this share of a host's pages has is none of their own
 DEEPEST = 100  # elements below this depth only part blocks
 
 
+def name_of(tag: str, attributes: str) -> str:
+    """Class and id, without tokens that may differ from page to page by a number."""
+    if tag in WHOLE or "=" not in attributes:
+        return ""
+    return " ".join(sorted({"#" * (m[1].lower() == "id") + t for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")
+                            for t in (m[2] or m[3] or m[4] or "").split() if not any(map(str.isdigit, t))}))
+
+
 def label_of(tag: str, attributes: str) -> str:
     """The tag with the known words of its class, id, role and itemprop.
 
@@ -75,7 +87,7 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 def events(page: str) -> Iterator[tuple]:
-    """("open", label) / ("close", tag) of block elements and ("text", string, in a link), balanced."""
+    """("open", label, name) / ("close", tag) of block elements and ("text", string, in a link), balanced."""
     stack: list[str] = []  # open block tags
     deeper: dict[str, int] = {}
     links = at = 0
@@ -124,7 +136,7 @@ def events(page: str) -> Iterator[tuple]:
                     yield "text", " ", False
                     continue
                 stack.append(tag)
-                yield "open", label_of(tag, attributes)
+                yield "open", label_of(tag, attributes), name_of(tag, attributes)
         elif page.startswith("<![CDATA[", m.start()):
             yield "text", " ", False
     if at < len(page):
@@ -133,17 +145,17 @@ def events(page: str) -> Iterator[tuple]:
         yield "close", stack.pop()
 
 
-# -- wrappers: nodes [label, children, text, chars, link chars, optional, repeated, pages] ------------
-LABEL, CHILDREN, TEXT, CHARS, LINKED, OPTIONAL, REPEATED, PAGES = range(8)
+# -- wrappers: nodes [label, children, text, chars, link chars, optional, repeated, pages, name, text of all below] ----
+LABEL, CHILDREN, TEXT, CHARS, LINKED, OPTIONAL, REPEATED, PAGES, NAME, DEEP = range(10)
 
 
 def page_wrapper(page: str) -> list:
     """The expression of one page."""
-    root = ["", [], "", 0, 0, False, False, 1]
+    root = ["", [], "", 0, 0, False, False, 1, "", ""]
     stack, texts = [root], [[]]
     for kind, *rest in events(page):
         if kind == "open":
-            node = [rest[0], [], "", 0, 0, False, False, 1]
+            node = [rest[0], [], "", 0, 0, False, False, 1, rest[1], ""]
             stack[-1][CHILDREN].append(node)
             stack.append(node)
             texts.append([])
@@ -160,65 +172,159 @@ def _finish(node: list, texts: list) -> None:
         n = len(text.strip())
         node[CHARS] += n
         node[LINKED] += n * linked
-    if node[CHARS]:
-        node[TEXT] = "=%08x" % crc32(" ".join(" ".join(t for t, _ in texts).split()).encode("utf-8", "surrogatepass"))
-    node[CHILDREN] = fold(node[CHILDREN])
-
-
-def _sum(a: list, b: list, neighbours: bool = False) -> list:
-    """The expression that covers both nodes, of different pages or neighbours on them; they have the same label."""
-    text = a[TEXT] if a[TEXT] == b[TEXT] else "*"
-    return [a[LABEL], align(a[CHILDREN], b[CHILDREN]), text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED],
-            a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED],
-            max(a[PAGES], b[PAGES]) if neighbours else a[PAGES] + b[PAGES]]
-
-
-def fold(items: list) -> list:
-    """Runs of equal neighbours, then of equal groups of up to GROUP neighbours, become repeated groups."""
-    for width in range(1, GROUP + 1):
-        out: list = []
-        for item in items:
-            out.append(item)
-            while len(out) >= 2 * width and [x[LABEL] for x in out[-width:]] == [x[LABEL] for x in out[-2 * width:-width]]:
-                last, before = out[-width:], out[-2 * width:-width]
-                joined = [_sum(x, y, True) for x, y in zip(before, last)]
-                for x in joined if width == 1 else ():
-                    x[REPEATED] = True
-                out[-2 * width:] = joined
-                if width > 1:
-                    for x in joined:
-                        x[REPEATED] = True
-        items = out
-    if len(items) > WIDEST:  # one repeated group of everything seen at this level
-        by_label: dict = {}
-        for x in items:
-            by_label[x[LABEL]] = _sum(by_label[x[LABEL]], x, True) if x[LABEL] in by_label else x
-        items = list(by_label.values())
-        for x in items:
-            x[OPTIONAL] = x[REPEATED] = True
-    return items
-
-
-def align(a: list, b: list) -> list:
-    """One level of two expressions: the longest common run of labels is shared, the rest becomes optional."""
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        return [_sum(x, y) for x, y in zip(a, b)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][LABEL] == b[j][LABEL] else max(best[i + 1][j], best[i][j + 1])
+    node[TEXT] = _constant([t for t, _ in texts])
+    node[DEEP] = _below(node[TEXT], [x[DEEP] for x in node[CHILDREN]])
+
+
+def _constant(texts: list[str]) -> str:
+    text = " ".join(" ".join(texts).split())
+    return "=%08x" % crc32(text.encode("utf-8", "surrogatepass")) if text else ""
+
+
+def _below(own: str, children: list[str]) -> str:
+    said = [x for x in children if x]
+    return "=%08x" % crc32(" ".join([own, *said]).encode()) if said else own
+
+
+def _sum(a: list, b: list, most: int | None = None) -> list:
+    """The expression that covers both nodes, of different pages or of at most ``most`` pages; they have the same label."""
+    pages = a[PAGES] + b[PAGES] if most is None else min(most, a[PAGES] + b[PAGES])
+    return [a[LABEL], align(a[CHILDREN], b[CHILDREN], pages), a[TEXT] if a[TEXT] == b[TEXT] else "*", a[CHARS] + b[CHARS],
+            a[LINKED] + b[LINKED], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages,
+            a[NAME] if a[NAME] == b[NAME] else "*", a[DEEP] if a[DEEP] == b[DEEP] else "*"]
+
+
+def _group(items: list, pages: int) -> list:
+    """One repeated node for neighbours of the same label."""
+    out = items[0]
+    for x in items[1:]:
+        out = _sum(out, x, pages)
+    if len(items) > 1:
+        out[REPEATED] = True
+    return out
+
+
+def _optional(x: list) -> list:
+    return [*x[:OPTIONAL], True, *x[REPEATED:]]
+
+
+def _same(x: list, pages: int, least: int = 1) -> bool:
+    """Whether the text of the node and of all below is one text so far, on a share of all pages."""
+    return x[DEEP].startswith("=") and x[PAGES] >= max(least, SHARE * pages)
+
+
+def _runs(items: list) -> list[list]:
+    out: list[list] = []
+    for x in items:
+        if out and (out[-1][0][LABEL], out[-1][0][NAME]) == (x[LABEL], x[NAME]):
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
+def align(a: list, b: list, pages: int) -> list:
+    """One level of two expressions that together are of ``pages`` pages.
+
+    Runs of elements of equal label and name are aligned, those with a text in common first; what is left is optional.
+    """
+    if not a or not b:
+        return settle([_optional(x) for x in a or b], pages)
+    left, right = _runs(a), _runs(b)
+    keys = [[(r[0][LABEL], r[0][NAME]) for r in x] for x in (left, right)]
+    said = [[{x[DEEP] for x in r if x[DEEP].startswith("=")} for r in x] for x in (left, right)]
+    if keys[0] == keys[1] and len(set(keys[0])) == len(keys[0]):
+        return settle([y for r, t in zip(left, right) for y in _align_run(r, t, pages)], pages)
+
+    def worth(i: int, j: int) -> int:
+        (label, name), (other, its) = keys[0][i], keys[1][j]
+        if label != other or name != its and "*" not in (name, its):
+            return 0
+        return 1 + (name == its) + 3 * (not said[0][i].isdisjoint(said[1][j]))
+
+    n, k = len(left), len(right)
+    best = [[0] * (k + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        here, below = best[i], best[i + 1]
+        for j in range(k - 1, -1, -1):
+            w = worth(i, j) if keys[0][i][0] == keys[1][j][0] else 0
+            here[j] = max(below[j], here[j + 1], below[j + 1] + w if w else 0)
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][LABEL] == b[j][LABEL]:
-            out.append(_sum(a[i], b[j]))
+    while i < n or j < k:
+        w = worth(i, j) if i < n and j < k else 0
+        if w and best[i][j] == best[i + 1][j + 1] + w:
+            out += _align_run(left[i], right[j], pages)
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
+        elif j == k or i < n and best[i + 1][j] >= best[i][j + 1]:
+            out += map(_optional, left[i])
             i += 1
         else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
+            out += map(_optional, right[j])
             j += 1
-    return fold(out)
+    return settle(out, pages)
+
+
+def _align_run(a: list, b: list, pages: int) -> list:
+    """Two runs of equal elements: texts that both have are anchors; between them, a mismatch in number is a repetition."""
+    if len(a) == len(b) == 1:
+        return [_sum(a[0], b[0])]
+    texts = [[x[DEEP] if x[DEEP].startswith("=") else (side, i) for i, x in enumerate(run)] for side, run in enumerate((a, b))]
+    out, i, j = [], 0, 0
+    for m in SequenceMatcher(None, *texts, autojunk=False).get_matching_blocks():
+        out += _between(a[i:m.a], b[j:m.b], pages)
+        out += [_sum(x, y) for x, y in zip(a[m.a:m.a + m.size], b[m.b:m.b + m.size])]
+        i, j = m.a + m.size, m.b + m.size
+    return out
+
+
+def _between(a: list, b: list, pages: int) -> list:
+    """Neighbours without a text in common; what several pages have stays apart.
+
+    Of the longer side, those join the shorter that have or lack elements as it does and whose text varies.
+    """
+    rest = [[x for x in side if not _same(x, pages, 3)] for side in (a, b)]
+    short, long = sorted(rest, key=len)
+    kinds = {bool(x[CHILDREN]) for x in short}
+    fit = sorted(long, key=lambda x: (bool(x[CHILDREN]) not in kinds, x[DEEP] != "*"))[:len(short)]
+    chosen = {id(x) for x in fit}
+    partner = {id(y): x for x, y in zip(short, (y for y in long if id(y) in chosen))}
+    order, other = (a, b) if long is rest[0] else (b, a)
+    fixed = [i for i, x in enumerate(other) if _same(x, pages, 3)]
+    first = next((i for i in range(len(other)) if i not in fixed), 0)
+    return [*(_optional(other[i]) for i in fixed if i < first),
+            *(_sum(partner[id(x)], x) if id(x) in partner else _optional(x) for x in order),
+            *(_optional(other[i]) for i in fixed if i >= first)]
+
+
+def settle(items: list, pages: int) -> list:
+    """Optional neighbours of equal role, in whatever order, and neighbouring paragraphs that vary become repeated.
+
+    Their role is equal if label and name are, or the label and neither is on ``SHARE`` of the pages.
+    """
+    out: list[list] = []  # groups
+    at: dict = {}
+    for x in items:
+        if _same(x, pages):
+            if not x[OPTIONAL]:
+                at = {}
+            out.append([x])
+            continue
+        if not x[OPTIONAL]:
+            last = out[-1][-1] if out else None
+            if (last and x[LABEL].split(".")[0] in ("p", "li") and x[TEXT] == last[TEXT] == "*" and not x[CHILDREN] and not last[CHILDREN]
+                    and (x[LABEL], x[NAME]) == (last[LABEL], last[NAME])):
+                out[-1].append(x)
+            else:
+                at = {}
+                out.append([x])
+            continue
+        key = x[LABEL] if x[PAGES] < SHARE * pages else (x[LABEL], x[NAME])
+        if key in at:
+            at[key].append(x)
+        else:
+            at[key] = [x]
+            out.append(at[key])
+    return [_group(g, pages) if len(g) > 1 else g[0] for g in out]
 
 
 def expression(node: list) -> str:
@@ -264,7 +370,10 @@ KEEP, DROP, SPARE = 1, 0, 2
 
 
 def decide(root: list) -> list:
-    """The wrapper's marks: [label, KEEP / DROP / SPARE / None (as above it), repeated, children]; KEEP starts the article."""
+    """The wrapper's marks: [label, KEEP / DROP / SPARE / None (as above it), repeated, children, name, text of all below].
+
+    KEEP starts the article.
+    """
     constants = root[PAGES] > 2
     if constants and not _weigh(root, True, None)[id(root)]:  # nothing varies: copies of one page
         constants = False
@@ -283,10 +392,10 @@ def decide(root: list) -> list:
             node = heavy[0]
         roots = [node]
         drops = _weightless(node, mass)
-    said = {id(x): DROP for x in drops} | {i: SPARE for i in spared} | {id(x): KEEP for x in roots}
+    said: dict[int, int] = {id(x): DROP for x in drops} | {i: SPARE for i in spared} | {id(x): KEEP for x in roots}
 
     def marks(x: list) -> list:
-        return [x[LABEL], said.get(id(x)), x[REPEATED], [marks(y) for y in x[CHILDREN]]]
+        return [x[LABEL], said.get(id(x)), x[REPEATED], [marks(y) for y in x[CHILDREN]], x[NAME], x[DEEP]]
 
     return marks(root)
 
@@ -310,8 +419,11 @@ def _weigh(node: list, constants: bool, spared: set[int] | None) -> dict[int, in
     """
     mass: dict[int, int] = {}
 
+    pages = node[PAGES]
+
     def total(x: list) -> int:
-        own = 0 if constants and x[TEXT] != "*" else max(0, x[CHARS] - 2 * x[LINKED])
+        same = constants and x[TEXT] != "*" and x[PAGES] >= max(2, COMMON * pages)
+        own = 0 if same else max(0, x[CHARS] - 2 * x[LINKED])
         tag = x[LABEL].split(".")[0]
         left_out = tag == "header" or (tag in NEVER if spared is None else _excluded(x[LABEL]) and id(x) not in spared)
         mass[id(x)] = 0 if left_out else own + sum(map(total, x[CHILDREN]))
@@ -326,45 +438,63 @@ def _weightless(node: list, mass: dict[int, int]) -> list:
 
 
 def page_tree(page: str) -> list:
-    """[label, parts]; parts are strings and elements in page order."""
-    root: list = ["", []]
+    """[label, parts, name, text of all below]; parts are strings and elements in page order."""
+    root: list = ["", [], "", ""]
     stack = [root]
-    for kind, said, *_ in events(page):
+    for kind, said, *more in events(page):
         if kind == "text":
             stack[-1][1].append(said)
         elif kind == "open":
-            stack[-1][1].append([said, []])
+            stack[-1][1].append([said, [], more[0], ""])
             stack.append(stack[-1][1][-1])
         else:
-            stack.pop()
+            x = stack.pop()
+            x[3] = _below(_constant([y for y in x[1] if isinstance(y, str)]), [y[3] for y in x[1] if not isinstance(y, str)])
     return root
 
 
+def _worth(element: list, mark: list) -> int:
+    """How well an element falls to a mark; a constant that is left out takes only its own text."""
+    if element[0] != mark[0] or mark[4] not in (element[2], "*"):
+        return 0
+    same = mark[5] == element[3]
+    if mark[1] == DROP and mark[5].startswith("=") and not same:
+        return 0
+    return 1 + (mark[4] == element[2]) + 3 * (same and mark[5] != "")
+
+
 def _matched(elements: list, marks: list) -> list:
-    """The mark that each element of a level falls to: the longest alignment with the wrapper's level, in order."""
-    by_label: dict = {}
-    for m in marks:
-        by_label.setdefault(m[0], []).append(m)
-    if all(len(v) == 1 for v in by_label.values()):
-        return [by_label[e[0]][0] if e[0] in by_label else None for e in elements]
+    """The mark that each element of a level falls to: the best alignment with the wrapper's level, in order."""
     n, k = len(elements), len(marks)
+    if k == 1:
+        return [marks[0] if _worth(e, marks[0]) else _other(e, marks) for e in elements]
     best = [[0] * (k + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        here, below, e = best[i], best[i + 1], elements[i]
         for j in range(k - 1, -1, -1):
-            same = elements[i][0] == marks[j][0]
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], 1 + best[i + 1][j if marks[j][2] else j + 1] if same else 0)
+            w = _worth(e, marks[j]) if e[0] == marks[j][0] else 0
+            here[j] = max(below[j], here[j + 1], w + below[j if marks[j][2] else j + 1] if w else 0)
     out, j = [], 0
     for i, e in enumerate(elements):
         while j < k and best[i][j] == best[i][j + 1]:
             j += 1
-        if j < k and e[0] == marks[j][0] and best[i][j] == 1 + best[i + 1][j if marks[j][2] else j + 1]:
+        w = _worth(e, marks[j]) if j < k else 0
+        if w and best[i][j] == w + best[i + 1][j if marks[j][2] else j + 1]:
             out.append(marks[j])
             j += not marks[j][2]
         else:
-            out.append(by_label.get(e[0], [None])[0])
+            out.append(_other(e, marks))
     return out
 
 
+def _other(element: list, marks: list) -> list | None:
+    """For an element out of order: the mark that fits it best, or one of its label that is not left out."""
+    fit = max(marks, key=lambda m: _worth(element, m), default=None)
+    if fit is not None and _worth(element, fit):
+        return fit
+    return next((m for m in marks if m[0] == element[0] and m[1] != DROP), None)
+
+
 def extract(page: str, wrapper: list | None) -> str:
     """The article's text by a host's wrapper; by the page's own where the wrapper's elements are not in it."""
     tree = page_tree(page)

@@ -118,6 +118,16 @@ def test_html_long_comments_stay_out():
     assert _texts(pages) == [f"Story {i} told here." for i in range(5)]
 
 
+def test_html_constants_stay_apart_from_slots():
+    page = "<body>{}<div{}>Site name</div>{}<div{}><p>{}</div><div{}><p>Copyright by us</div></body>"
+    ad = "<div>Buy this thing now</div>"
+    for named in (True, False):
+        names = (" id=header", " id=content", " class=bottom") if named else ("", "", "")
+        story = ["<p>".join(f"Part {j} of story {i}" for j in range(1 + i % 4)) for i in range(12)]
+        pages = [page.format("", names[0], ad if named and i % 3 == 1 else "", names[1], x, names[2]) for i, x in enumerate(story)]
+        assert _texts(pages) == [x.replace("<p>", " ") for x in story]
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 def _distance(item, text):
     """Smallest edit distance of item to any substring of text, by dynamic programming."""
