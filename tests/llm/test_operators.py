@@ -128,6 +128,27 @@ def test_html_constants_stay_apart_from_slots():
         assert _texts(pages) == [x.replace("<p>", " ") for x in story]
 
 
+def test_html_texts_do_not_depend_on_the_number_of_pages():
+    rng = random.Random(8)
+
+    def page(i):
+        parts = []
+        for j in range(3 + i % 9):
+            tag = rng.choice(["p", "h2", "blockquote", "div", "section", "ul><li", f"div class={rng.choice('abcdefgh')}{rng.choice('xyz')}", "pre", "h3", "table><tr><td"])
+            parts.append((tag, f"part {j} of story {i}, {rng.random()}"))
+        inside = "".join(f"<{t}>{x}</" + "></".join(y.split()[0] for y in reversed(t.split("><"))) + ">" for t, x in parts)
+        ad = "<div>Buy this thing now</div>" if i % 3 else ""
+        top = f"<body><div>Site name</div>{ad}<div>{inside}</div><div>Copyright by us</div><div><p>Terms of <b>use</b></div></body>"
+        return top, " ".join(x for _, x in parts)
+
+    pages, want = zip(*(page(i) for i in range(1500)))
+    for some in (12, 1500):
+        assert _texts(pages[:some])[:12] == list(want[:12])
+    parts = [pd.concat(html_wrapper._fold_pages(iter([pd.DataFrame({"host": "h", "html": pages[i::40]})]))) for i in range(40)]
+    rule = html_wrapper.decide(html_wrapper._merge(pd.concat(parts)))
+    assert [html_wrapper.extract(p, rule) for p in pages] == list(want)
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 def _distance(item, text):
     """Smallest edit distance of item to any substring of text, by dynamic programming."""
