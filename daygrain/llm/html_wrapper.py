@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from zlib import crc32
@@ -58,7 +59,7 @@ SALTS = 64
 HOSTS_AT_ONCE = 1000
 SHARE = 0.1
 COMMON = 0.2  # a text that this share of a host's pages has is none of their own
-DEEPEST = 100  # elements below this depth only part blocks
+DEEPEST = 100  # elements below this depth only part blocks, but for the outermost that decide what is article text
 
 
 def name_of(tag: str, attributes: str) -> str:
@@ -88,9 +89,21 @@ def label_of(tag: str, attributes: str) -> str:
 
 def events(page: str) -> Iterator[tuple]:
     """("open", label, name) / ("close", tag) of block elements and ("text", string, in a link), balanced."""
-    stack: list[str] = []  # open block tags
-    deeper: dict[str, int] = {}
-    links = at = 0
+    stack: list[tuple] = []  # open block tags; what each decides, None if it only parts blocks
+    known: Counter = Counter()  # how many of each tag are open
+    deciding: set[str] = set()  # below the depth limit
+    links = at = levels = 0
+
+    def end() -> tuple:
+        nonlocal levels
+        top, decides = stack.pop()
+        known[top] -= 1
+        if decides is None:
+            return "text", " ", False
+        levels -= 1
+        deciding.discard(decides)
+        return "close", top
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -102,15 +115,12 @@ def events(page: str) -> Iterator[tuple]:
             close = close.lower()
             if close == "a":
                 links = max(0, links - 1)
-            elif close == "br" or close == "p" and "p" not in stack:
-                yield "text", " ", False
-            elif deeper.get(close):
-                deeper[close] -= 1
+            elif close == "br" or close == "p" and not known["p"]:
                 yield "text", " ", False
-            elif close in stack:
+            elif known[close]:
                 while True:
-                    top = stack.pop()
-                    yield "close", top
+                    top = stack[-1][0]
+                    yield end()
                     if top == close:
                         break
         elif tag:
@@ -128,21 +138,29 @@ def events(page: str) -> Iterator[tuple]:
                 closes = CLOSES.get(tag, "").split()
                 if tag in _ENDS_P:
                     closes.append("p")
-                while stack and stack[-1] in closes:
-                    yield "close", stack.pop()
+                while stack and stack[-1][0] in closes:
+                    yield end()
                 links = 0
-                if len(stack) >= DEEPEST:
-                    deeper[tag] = deeper.get(tag, 0) + 1
+                label, decides = label_of(tag, attributes), ""
+                if levels >= DEEPEST:
+                    decides = "never" if tag in NEVER else "named" if _excluded(label) else "article" if tag == "article" else "root" if _is_root(label) else None
+                    if decides in deciding:
+                        decides = None
+                known[tag] += 1
+                stack.append((tag, decides))
+                if decides is None:
                     yield "text", " ", False
                     continue
-                stack.append(tag)
-                yield "open", label_of(tag, attributes), name_of(tag, attributes)
+                levels += 1
+                if decides:
+                    deciding.add(decides)
+                yield "open", label, name_of(tag, attributes)
         elif page.startswith("<![CDATA[", m.start()):
             yield "text", " ", False
     if at < len(page):
         yield "text", page[at:], False
     while stack:
-        yield "close", stack.pop()
+        yield end()
 
 
 # -- wrappers: nodes [label, children, text, chars, link chars, optional, repeated, pages, name, text of all below] ----

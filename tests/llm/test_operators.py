@@ -149,6 +149,14 @@ def test_html_texts_do_not_depend_on_the_number_of_pages():
     assert [html_wrapper.extract(p, rule) for p in pages] == list(want)
 
 
+@pytest.mark.parametrize("depth", [90, 98, 99, 100, 101, 130, 5000])
+def test_html_deep_elements(depth):
+    page = ("<body>" + "<div>" * depth + "before <nav><div>menu</div> <p>links</nav><article><div><p>Story {0} is here</div>"
+            "<div class=comments><div>reader</div> {0}</div><aside>more</aside> Its end {0}</article><footer>below</footer> after" + "</div>" * depth)
+    pages = [page.format(i) for i in range(4)]
+    assert _texts(pages) == [f"Story {i} is here Its end {i}" for i in range(4)]
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 def _distance(item, text):
     """Smallest edit distance of item to any substring of text, by dynamic programming."""
