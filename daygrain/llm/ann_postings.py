@@ -4,8 +4,9 @@ Centroids come from balanced k-means on a bounded sample: a centroid's price ris
 share of vectors it holds. Each vector goes to the list of its nearest centroid, and a boundary
 vector also to further lists whose centroids are nearly as near and not closer to a list it already
 has than to it. The centroids (at most ``max_lists``, whatever the table's size) are searched by an
-in-memory neighbour graph. A query visits the lists whose centroid is within a ratio of the
-nearest one's distance.
+in-memory neighbour graph. A query visits all lists whose centroid is within a ratio of its reach: the
+nearest centroid's distance, or that list's radius where the query lies nearer to the centroid than that. Further
+lists follow until those visited hold k other vectors.
 
 A list is cut into chunks by a hash of the id, so that a list (or a group of equal vectors) of
 any size is spread over tasks; a query meets each chunk of its lists, returns its best rows of that chunk,
@@ -31,7 +32,7 @@ REPLICAS = 3
 BOUNDARY = 1.06
 RATIO = 1.2
 DEGREE = 24
-BEAM = 160
+BEAM = 160  # the graph search expands at least so many centroids
 ROUNDS = 12
 
 
@@ -71,9 +72,9 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS, price:
 
 @dataclass(frozen=True)
 class CentroidGraph:
-    """Each centroid's nearest centroids; a search walks from an entry point along them."""
+    """Each centroid's nearest centroids, and those that it is one of the nearest of; a search walks along them."""
     centroids: np.ndarray
-    neighbours: np.ndarray
+    neighbours: list[np.ndarray]
 
     @staticmethod
     def build(centroids: np.ndarray, degree: int = DEGREE) -> "CentroidGraph":
@@ -83,10 +84,18 @@ class CentroidGraph:
         # a link to a random centroid joins parts that the nearest links leave apart
         far = np.random.default_rng(3).integers(0, max(len(centroids), 1), (len(centroids), 2))
         ring = (np.arange(len(centroids))[:, None] + 1) % max(len(centroids), 1)
-        return CentroidGraph(centroids, np.concatenate([near, far, ring], axis=1))
-
-    def search(self, v: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near ``v`` with their distances, nearest first: best-first search that keeps ``beam`` of them."""
+        ahead = np.concatenate([near, far, ring], axis=1)
+        linked = np.zeros((len(centroids), len(centroids)), bool)
+        linked[np.arange(len(centroids))[:, None], ahead] = True
+        return CentroidGraph(centroids, [np.flatnonzero(x) for x in linked | linked.T])
+
+    def search(self, v: np.ndarray, ratio: float = RATIO, radius: np.ndarray | None = None, rows: np.ndarray | None = None,
+               least: int = 0) -> np.ndarray:
+        """The centroids within ``ratio`` of the reach of ``v``, nearest first, and as many more as hold ``least`` rows.
+
+        Best-first search: it goes on while a centroid within the ratio or among the ``BEAM`` nearest found is not yet
+        expanded, and returns all it found within the ratio.
+        """
         seen = np.zeros(len(self.centroids), bool)
         found, dist, open_ = np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
         new = np.unique(np.linspace(0, len(self.centroids) - 1, 8).astype(int))
@@ -94,15 +103,33 @@ class CentroidGraph:
             seen[new] = True
             d = np.sqrt(((self.centroids[new] - v) ** 2).sum(axis=1))
             found, dist, open_ = np.append(found, new), np.append(dist, d), np.append(open_, np.ones(len(new), bool))
-            keep = np.argsort(dist, kind="stable")[:beam]
-            found, dist, open_ = found[keep], dist[keep], open_[keep]
+            order = np.argsort(dist, kind="stable")
+            found, dist, open_ = found[order], dist[order], open_[order]
+            within = dist <= ratio * self._reach(found, dist, radius)
+            count = int(within.sum())
+            if rows is not None and least:
+                count = max(count, int(np.searchsorted(np.cumsum(rows[found]), least)) + 1)
+            wanted = max(count, BEAM)
             new = np.zeros(0, int)
-            while not len(new) and open_.any():
-                step = np.flatnonzero(open_)[:8]
+            while not len(new) and open_[:wanted].any():
+                step = np.flatnonzero(open_[:wanted])[:8]
                 open_[step] = False
-                new = np.unique(self.neighbours[found[step]])
+                new = np.unique(np.concatenate([self.neighbours[i] for i in found[step]]))
                 new = new[~seen[new]]
-        return found, dist
+        return found[:count]
+
+    @staticmethod
+    def _reach(found: np.ndarray, dist: np.ndarray, radius: np.ndarray | None) -> float:
+        """A distance that is zero only if all centroids found are equal to the vector."""
+        reach = max(dist[0], radius[found[0]] if radius is not None else 0.0)
+        return reach or next(iter(dist[dist > 0]), 0.0)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The graph with each list's radius."""
+    graph: CentroidGraph
+    radius: np.ndarray
 
 
 def _valid(vector: Column) -> Column:
@@ -120,7 +147,7 @@ def lists_column(vector: Column, shared, boundary: float = BOUNDARY, replicas: i
     """The lists that keep a vector: the nearest centroid's, and for a boundary vector some more."""
     @F.arrow_udf("array<int>")
     def run(vectors: pa.Array) -> pa.Array:
-        c = shared.value.centroids
+        c = shared.value.graph.centroids
         between = _squared(c, c)
         out = []
         for x in _blocks(_matrix(vectors)):
@@ -143,14 +170,25 @@ def _blocks(x: np.ndarray, rows: int = 2048):
     return (x[i:i + rows] for i in range(0, len(x), rows))
 
 
-def probes_column(vector: Column, shared, ratio: float = RATIO, beam: int = BEAM) -> Column:
-    """The lists that a query visits: all within ``ratio`` of the nearest centroid's distance."""
+def radius_of(sample: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """By list, the mean distance of the sample's rows in it, but for the centroid, which is one of them."""
+    total, count = np.zeros(len(centroids)), np.zeros(len(centroids))
+    for x in _blocks(sample):
+        d = np.sqrt(_squared(x, centroids))
+        own = d.argmin(axis=1)
+        near = d[np.arange(len(x)), own]
+        off = near > 1e-6 * np.sqrt((x * x).sum(axis=1))  # as exact as _squared is
+        np.add.at(total, own[off], near[off])
+        np.add.at(count, own[off], 1)
+    return total / np.maximum(count, 1)
+
+
+def probes_column(vector: Column, shared, ratio: float = RATIO, rows: np.ndarray | None = None, least: int = 0) -> Column:
+    """The lists that a query visits: all within ``ratio`` of its reach, and more until they hold ``least`` of ``rows``."""
     @F.arrow_udf("array<int>")
     def run(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in _matrix(vectors):
-            found, dist = shared.value.search(v, beam)
-            out.append([int(i) for i in found[dist <= ratio * dist[0]]])
+        graph, radius = shared.value.graph, shared.value.radius
+        out = [[int(i) for i in graph.search(v, ratio, radius, rows, least)] for v in _matrix(vectors)]
         return pa.array(out, pa.list_(pa.int32()))
     return run(vector)
 
@@ -174,7 +212,7 @@ def _best_of_chunk(k: int):
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS,
                 max_lists: int = MAX_LISTS, list_rows: int = LIST_ROWS, chunk_rows: int = CHUNK_ROWS):
-    """(valid rows, postings, chunks, graph): every valid row is in one or more lists.
+    """(valid rows, postings, chunks, index): every valid row is in one or more lists.
 
     The centroids are fitted on at most ``sample_rows`` rows of smallest hashed id; there are at most ``max_lists``.
     Repeated ids are rows of their own; null ids, and vectors of another length than most, take no part.
@@ -185,29 +223,33 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     if sizes is None:
         return rows, None, None, None
     rows = rows.where(F.size("vector") == sizes["width"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").collect()
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").collect()], float)
     k = max(1, min(max_lists, sizes["count"] // list_rows))
-    graph = CentroidGraph.build(balanced_centroids(np.array([r[0] for r in sample], float), k))
-    shared = spark.sparkContext.broadcast(graph)
-    postings = as_table(rows.select("vec_id", "vector", F.explode(lists_column(F.col("vector"), shared)).alias("list")))
-    # one row a list: at most max_lists
-    chunks = as_table(postings.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
+    centroids = balanced_centroids(sample, k)
+    shared = spark.sparkContext.broadcast(Index(CentroidGraph.build(centroids), radius_of(sample, centroids)))
+    postings = as_table(rows.select("vec_id", "vector", F.posexplode(lists_column(F.col("vector"), shared)).alias("place", "list")))
+    # one row a list: at most max_lists; own: the rows for which it is the nearest
+    chunks = as_table(postings.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"),
+                                                   F.count_if(F.col("place") == 0).alias("own")))
     return rows, postings, chunks, shared
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           ratio: float = RATIO, beam: int = BEAM, **index_options) -> DataFrame:
+           ratio: float = RATIO, **index_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (of ``vec_id``) holds.
 
-    Smallest Euclidean distance first, ties to the smaller id; a query is not its own candidate. A query with
-    fewer than k candidates found in its lists has fewer rows only if its lists hold fewer.
+    Smallest Euclidean distance first, ties to the smaller id; a query is not its own candidate. A query has
+    fewer than k rows only if the table has fewer candidates.
     """
     rows, postings, chunks, shared = build_index(vectors, id_col, vector_col, **index_options)
     if postings is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    all_chunks = F.broadcast(chunks)
+    all_chunks = F.broadcast(chunks.drop("own"))
+    own = np.zeros(len(shared.value.radius), int)
+    for r in chunks.select("list", "own").collect():
+        own[r["list"]] = r["own"]
     queries = (rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector",
-                                           F.explode(probes_column(F.col("vector"), shared, ratio, beam)).alias("list"))
+                                           F.explode(probes_column(F.col("vector"), shared, ratio, own, k + 1)).alias("list"))
                .join(all_chunks, "list").select("query_id", "vector", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
     dealt = postings.join(all_chunks, "list").select(
         "vec_id", "vector", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))

@@ -371,6 +371,31 @@ def test_neighbours_odd_rows_and_hot_vector(spark):
     assert ann_postings.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def _recall(got, x, queries):
+    ids, hits = np.arange(len(x)), 0
+    by = {q: rows for q, rows in got.groupby("query_id")}
+    for q in queries:
+        assert by[q].sort_values("rank")["rank"].tolist() == list(range(1, 11))
+        hits += len({i for _, i in _nearest(ids, x, q)} & set(by[q]["vec_id"]))
+    return hits / (10 * len(queries))
+
+
+def _vectors(spark, x, folder):
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x.astype("float32"))}).to_parquet(f"{folder}/v.parquet", row_group_size=20_000)
+    return spark.read.parquet(f"{folder}/v.parquet")
+
+
+def test_neighbours_of_centroids_and_vectors_of_unequal_length(spark, tmpdir_path):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(2000, 64)) * rng.lognormal(size=(2000, 1))).astype("float32").astype(float)
+    vectors = _vectors(spark, x, tmpdir_path)
+    got = ann_postings.search(vectors, F.lit(True)).toPandas()
+    assert _recall(got, x, range(2000)) >= 0.9
+    index = ann_postings.build_index(vectors)[3].value
+    places = {tuple(v): i for i, v in enumerate(x)}
+    assert _recall(got, x, [places[tuple(c)] for c in index.graph.centroids]) >= 0.9
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def _fingerprint(text, k=3):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
