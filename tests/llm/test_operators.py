@@ -396,6 +396,33 @@ def test_neighbours_of_centroids_and_vectors_of_unequal_length(spark, tmpdir_pat
     assert _recall(got, x, [places[tuple(c)] for c in index.graph.centroids]) >= 0.9
 
 
+def test_neighbours_lists_within_the_ratio_are_not_capped():
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(1024, 64))
+    graph = ann_postings.CentroidGraph.build(c)
+    visited = 0
+    for v in rng.normal(size=(20, 64)):
+        d = np.sqrt(((c - v) ** 2).sum(axis=1))
+        want = set(np.flatnonzero(d <= 1.2 * d.min()).tolist())
+        got = set(graph.search(v, 1.2).tolist())
+        assert got == want
+        visited += len(want) > 160
+    assert visited >= 5
+    assert len(graph.search(c[5], 1.2, rows=np.ones(1024, int), least=300)) >= 300
+
+
+def test_neighbours_recall_on_many_vectors(spark, tmpdir_path):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    e, label, rng = np.stack(v["embedding"]).astype(float), v["label"].to_numpy(), np.random.default_rng(7)
+    x = np.concatenate([e[label == k].mean(axis=0) + rng.normal(size=(15_000, e.shape[1])) * e[label == k].std(axis=0) for k in np.unique(label)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32").astype(float)
+    assert len(x) >= 150_000
+    got = ann_postings.search(_vectors(spark, x, tmpdir_path), F.col("vec_id") % 1500 == 0).toPandas()
+    recall = _recall(got, x, range(0, len(x), 1500))
+    print("recall on", len(x), "vectors:", recall)
+    assert recall >= 0.9
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def _fingerprint(text, k=3):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
