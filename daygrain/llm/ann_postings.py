@@ -9,7 +9,8 @@ nearest centroid's distance, or that list's radius where the query lies nearer t
 lists follow until those visited hold k other vectors.
 
 A list is cut into chunks by a hash of the id, so that a list (or a group of equal vectors) of
-any size is spread over tasks; a query meets each chunk of its lists, returns its best rows of that chunk,
+any size is spread over tasks, and the queries that visit a list into blocks by a hash of theirs; each block meets
+each chunk of the list, a query returns its best rows of that chunk,
 and the few best of all chunks are ranked. Distances are taken on the original vectors in double precision.
 """
 
@@ -28,6 +29,7 @@ SAMPLE_ROWS = 20_000
 MAX_LISTS = 1024
 LIST_ROWS = 128
 CHUNK_ROWS = 4096
+QUERY_ROWS = 4096
 REPLICAS = 3
 BOUNDARY = 1.06
 RATIO = 1.2
@@ -235,7 +237,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           ratio: float = RATIO, **index_options) -> DataFrame:
+           ratio: float = RATIO, query_rows: int = QUERY_ROWS, **index_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (of ``vec_id``) holds.
 
     Smallest Euclidean distance first, ties to the smaller id; a query is not its own candidate. A query has
@@ -248,12 +250,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     own = np.zeros(len(shared.value.radius), int)
     for r in chunks.select("list", "own").collect():
         own[r["list"]] = r["own"]
-    queries = (rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector",
-                                           F.explode(probes_column(F.col("vector"), shared, ratio, own, k + 1)).alias("list"))
-               .join(all_chunks, "list").select("query_id", "vector", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")))
-    dealt = postings.join(all_chunks, "list").select(
-        "vec_id", "vector", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))
-    near = queries.groupBy("list", "chunk").cogroup(dealt.groupBy("list", "chunk")).applyInPandas(
+    probes = as_table(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector",
+                                                  F.explode(probes_column(F.col("vector"), shared, ratio, own, k + 1)).alias("list")))
+    # one row a list: at most max_lists; a list that no query visits needs no rows
+    blocks = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_to = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    queries = (probes.join(all_chunks, "list").join(blocks, "list")
+               .select("query_id", "vector", "list", dealt_to("query_id", "blocks").alias("block"), each("chunks").alias("chunk")))
+    dealt = (postings.join(all_chunks, "list").join(blocks, "list")
+             .select("vec_id", "vector", "list", dealt_to("vec_id", "chunks").alias("chunk"), each("blocks").alias("block")))
+    near = queries.groupBy("list", "chunk", "block").cogroup(dealt.groupBy("list", "chunk", "block")).applyInPandas(
         _best_of_chunk(k), "query_id long, vec_id long, score double")
     best = near.distinct()
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -423,6 +423,29 @@ def test_neighbours_recall_on_many_vectors(spark, tmpdir_path):
     assert recall >= 0.9
 
 
+def test_neighbours_queries_meet_chunks_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = ann_postings._best_of_chunk(10)
+
+    def bounded(k):
+        def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if len(queries) > 60:
+                raise ValueError(f"{len(queries)} queries in one group")
+            return whole(key, queries, rows)
+        return run
+
+    monkeypatch.setattr(ann_postings, "_best_of_chunk", bounded)
+    options = {"query_rows": 20} if hasattr(ann_postings, "QUERY_ROWS") else {}
+    got = ann_postings.search(vectors, F.lit(True), list_rows=20, ratio=100.0, **options).toPandas()
+    x = np.array([r[1] for r in rows], "float32").astype(float)
+    for q, some in got.groupby("query_id"):
+        at = [r[0] for r in rows].index(q)
+        assert some.sort_values("rank")["vec_id"].tolist() == [i for _, i in _nearest(np.array([r[0] for r in rows]), x, at)]
+    assert got["query_id"].nunique() == 440
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def _fingerprint(text, k=3):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
