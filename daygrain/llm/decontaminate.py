@@ -6,20 +6,22 @@ automaton; each hit proposes a window of the document, hits of an item on close
 a window, and Myers' bit-parallel distance decides. Texts are compared lower-cased, with each run
 of characters that are neither letters nor digits as one space.
 
-Items are read in blocks of at most ``block_chars`` characters, so what is broadcast has a fixed
-bound; each block makes one pass over the documents. Documents never move.
+Items are read in blocks of at most ``block_chars`` characters (or one item), equal texts together and once, so what is
+broadcast has a fixed bound; each block makes one pass over the documents, and what it found is written before the
+next block is read. Documents never move.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrain.llm.common import Shared, fresh
+from daygrain.llm.common import Shared, fresh, materialize
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 16_000_000
@@ -127,15 +129,14 @@ class Matcher:
             yield lo, hi + length
 
 
-_matchers: dict[str, Matcher] = {}
+_matchers: dict[str, Matcher] = {}  # the last block's
 
 
-def _matches_column(text: Column, items: list[tuple[int, str]], error_rate: float, spark) -> Column:
-    shared = Shared(spark, items)
-
+def _matches_column(text: Column, shared: Shared, error_rate: float) -> Column:
     @F.arrow_udf(MATCHES)
     def run(texts: pa.Array) -> pa.Array:
         if shared.key not in _matchers:  # one automaton a worker
+            _matchers.clear()
             _matchers[shared.key] = Matcher(shared.value, error_rate)
         find = _matchers[shared.key].matches
         return pa.array([find(t.as_py()) for t in texts],
@@ -144,6 +145,24 @@ def _matches_column(text: Column, items: list[tuple[int, str]], error_rate: floa
     return run.asNondeterministic()(text)
 
 
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items by text, cut by running length; an id counts as 8 characters, a text once."""
+    block: list[tuple[int, str]] = []
+    size, last = 0, None
+    for item_id, text in items.orderBy("text", "id").toLocalIterator():
+        if text == last:
+            text, more = last, 8  # the same string: it is broadcast once
+        else:
+            more = 8 + len(text)
+        if block and size + more > block_chars:
+            yield block
+            block, size, more = [], 0, 8 + len(text)
+        block.append((item_id, text))
+        size, last = size + more, text
+    if block:
+        yield block
+
+
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
                   out: str = "matches") -> DataFrame:
@@ -154,14 +173,15 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    cols = []
-    for b in range(blocks):
-        block = [(r["id"], r["text"]) for r in
-                 items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toLocalIterator()]
-        name = fresh(docs, f"_{out}_{b}")
-        docs = docs.withColumn(name, _matches_column(F.col(text_col), block, error_rate, spark))
+    cols: list[str] = []
+    before = None
+    for block in _blocks(items, block_chars):
+        if before is not None:  # another block follows: write what the one before found, and let its items go
+            docs = materialize(docs)
+            before.broadcast.destroy()
+        before = Shared(spark, block)
+        name = fresh(docs, f"_{out}_{len(cols)}")
+        docs = docs.withColumn(name, _matches_column(F.col(text_col), before, error_rate))
         cols.append(name)
     none = F.array().cast(MATCHES)
     return docs.withColumn(out, F.concat(none, *cols) if cols else none).drop(*cols)

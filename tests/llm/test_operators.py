@@ -206,6 +206,25 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(documents(spark), frame.limit(0)).where("size(matches) > 0").count() == 0
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    items = [(i, f"benchmark item number {i} here") for i in range(40)] + [(100 + i, "one item in many copies") for i in range(60)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    sizes, real = [], decontaminate.Shared
+
+    def shared(spark, value):
+        sizes.append(sum(map(len, {t for _, t in value})) + 8 * len(value))
+        return real(spark, value)
+
+    monkeypatch.setattr(decontaminate, "Shared", shared)
+    docs = spark.createDataFrame([(1, "x One item in many copies, x. Benchmark item number 7 here"), (2, None)], "doc_id long, text string")
+    found = decontaminate.contamination(docs, frame, block_chars=400)
+    assert len(sizes) > 3 and max(sizes) <= 400
+    assert found._jdf.queryExecution().executedPlan().toString().count("run(text") <= 2  # only the last block is still to be searched
+    got = {r["doc_id"]: sorted((m["item_id"], m["errors"]) for m in r["matches"]) for r in found.collect()}
+    exact = {(i, 0) for i, _ in items if i == 7 or i >= 100}
+    assert exact <= set(got[1]) and len(got[1]) == len(set(got[1])) and got[2] == []
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
