@@ -361,7 +361,7 @@ def _nearest(ids, x, query, k=10):
     return order[:k]
 
 
-@pytest.mark.parametrize("sf", ["sf0.1", "check_s"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_neighbours_recall(spark, sf):
     v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
     ids, x = v["vec_id"].to_numpy(), np.stack(v["embedding"]).astype(float)
