@@ -68,17 +68,14 @@ AMBIENCE_PLAN = {
     "ambience_entropy": ["mean", "std", "min", "max"],
 }
 
-# --- fixed values: model profiles (trees, learning rate and regularisation as far as MLlib has them;
-# the forest has no depth limit there, 30 is the deepest that MLlib builds) -----------------
-MAX_TREE_DEPTH = 30
+# --- fixed values: model profiles -----------------------------------------------------------
 MODEL_PROFILES = {
-    "lightgbm": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 12, "subsample": 0.85,
-                 "features": "0.82"},
-    "xgboost": {"kind": "gbt", "trees": 700, "step": 0.025, "depth": 3, "min_node": 4, "subsample": 0.85,
-                "features": "0.82"},
-    "catboost": {"kind": "gbt", "trees": 800, "step": 0.025, "depth": 4, "min_node": 1, "subsample": 1.0,
-                 "features": "all"},
-    "extra_trees": {"kind": "rf", "trees": 700, "depth": MAX_TREE_DEPTH, "min_node": 4, "features": "0.65"},
+    "lightgbm": {"kind": "boost", "growth": "leaf", "trees": 800, "step": 0.025, "leaves": 11, "min_rows": 12, "min_hessian": 1e-3,
+                 "row_share": 0.85, "column_share": 0.82, "l1": 0.08, "l2": 2.5},
+    "xgboost": {"kind": "boost", "growth": "level", "trees": 700, "step": 0.025, "depth": 3, "min_hessian": 4.0,
+                "row_share": 0.85, "column_share": 0.82, "l1": 0.05, "l2": 2.0},
+    "catboost": {"kind": "boost", "growth": "symmetric", "trees": 800, "step": 0.025, "depth": 4, "l2": 6.0},
+    "extra_trees": {"kind": "forest", "trees": 700, "min_rows": 4, "column_share": 0.65},
     "logistic": {"kind": "lr", "C": 0.45, "max_iter": 4000},
 }
 

@@ -1,10 +1,9 @@
-"""Model fits with Spark MLlib.
+"""Model fits over one table of model rows.
 
-Layout is long throughout: ``oof(target, key, fold, model, pred)``. Each
-(target, fold, model) fit is a distributed MLlib job; independent fits are
-submitted from a small driver thread pool so the cluster runs them side by
-side. Nothing but fitted-model metadata (feature importances, a few numbers)
-reaches the driver.
+Layout is long throughout: ``oof(target, key, fold, model, pred)``. ``coding.fit_table`` holds one row a key for all targets
+and folds. The tree profiles are fitted by ``tree_jobs`` (all targets, folds and seeds together), the linear one
+by MLlib, one small distributed fit a (target, fold), on values imputed and scaled by merged fold statistics. The driver
+sees split choices, class counts and a few numbers a feature, never rows.
 """
 
 from __future__ import annotations
@@ -12,14 +11,15 @@ from __future__ import annotations
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daygrain.constants import FINAL_BAGGING_SEEDS, MODEL_NAMES, MODEL_PROFILES, QUICK_TREE_ESTIMATORS, SEED
-from daygrain.functions.exprs import clip_proba, dlit
+from daygrain.functions.exprs import clip_proba, dlit, finite, sigmoid
+from daygrain.operators.coding import FitTable, fit_statistics_rows, fit_table
+from daygrain.operators.tree_jobs import TREE_COLUMNS, Spec, class_counts, constant_of, counts_of, fit_trees, score_trees
 from daygrain.session import materialize
 
 
@@ -39,131 +39,71 @@ def profile(name: str, quick: bool = False, overrides: dict | None = None) -> di
 
 
 def seed_dependent(prof: dict) -> bool:
-    """Whether a fit changes with the seed (row or feature subsampling, bootstrap)."""
-    if prof["kind"] == "lr":
-        return False
-    if prof["kind"] == "gbt":
-        return prof.get("subsample", 1.0) < 1.0 or prof.get("features", "all") not in ("all", "1.0")
-    return True
-
-
-def build_pipeline(name: str, features: list[str], n_train: int, seed: int, prof: dict) -> Pipeline:
-    imp = Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features])
-    va = VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="features_raw")
-    kind = prof["kind"]
-    if kind == "gbt":
-        est = GBTClassifier(featuresCol="features_raw", labelCol="label", maxIter=int(prof["trees"]),
-                            stepSize=float(prof["step"]), maxDepth=int(prof["depth"]),
-                            minInstancesPerNode=int(prof["min_node"]), subsamplingRate=float(prof["subsample"]),
-                            featureSubsetStrategy=prof["features"], seed=seed)
-        return Pipeline(stages=[imp, va, est])
-    if kind == "rf":
-        est = RandomForestClassifier(featuresCol="features_raw", labelCol="label", weightCol="class_weight",
-                                     numTrees=int(prof["trees"]), maxDepth=int(prof["depth"]),
-                                     minInstancesPerNode=int(prof["min_node"]),
-                                     featureSubsetStrategy=prof["features"], bootstrap=True, seed=seed)
-        return Pipeline(stages=[imp, va, est])
-    sc = StandardScaler(inputCol="features_raw", outputCol="features_std", withMean=True, withStd=True)
-    est = LogisticRegression(featuresCol="features_std", labelCol="label",
-                             regParam=1.0 / (float(prof["C"]) * max(n_train, 1)), elasticNetParam=0.0,
-                             standardization=False, maxIter=int(prof["max_iter"]))
-    return Pipeline(stages=[imp, va, sc, est])
-
-
-def with_class_weight(train: DataFrame) -> DataFrame:
-    """Balanced weights n / (2 * n_class) of the training rows (one small aggregate, broadcast)."""
-    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
-    total = train.agg(F.count(F.lit(1)).alias("_n"))
-    w = counts.crossJoin(total).select("label", (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias("class_weight"))
-    return train.join(F.broadcast(w), "label")
-
-
-def fit_predict(name: str, train: DataFrame, pred_rows: DataFrame, features: list[str], seed: int,
-                prof: dict, keys: list[str]) -> tuple[DataFrame, object]:
-    """Fit one model and score ``pred_rows``; a single-class training set gives a constant."""
-    # one aggregate: size, classes (D20) and per-column value counts (B9 per fold)
-    stats = train.agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("label").alias("_k"),
-                      F.min("label").alias("_y0"), *[F.count(F.col(c)).alias(c) for c in features]).first()
-    if stats["_k"] <= 1:
-        const = float(stats["_y0"]) if stats["_y0"] is not None else 0.5
-        return pred_rows.select(*keys, clip_proba(dlit(const)).alias("pred")), None
-    feats = [c for c in features if stats[c] > 0]
-    tr = with_class_weight(train) if prof["kind"] == "rf" else train
-    model = build_pipeline(name, feats, stats["_n"], seed, prof).fit(tr)
-    scored = model.transform(pred_rows)
-    return scored.select(*keys, clip_proba(vector_to_array("probability")[1]).alias("pred")), model
-
-
-def model_input(matrix: DataFrame, labels: DataFrame, folds: DataFrame | None) -> DataFrame:
-    """(target, key, split, fold, label, features...) materialised once for every fit."""
-    lab = labels.select("target", "key", "split", F.col("y").cast("double").alias("label"))
-    if folds is not None:
-        lab = lab.join(folds.select("target", "key", "fold"), ["target", "key"], "left")
-    else:
-        lab = lab.withColumn("fold", F.lit(None).cast("int"))
-    return materialize(lab.join(matrix, "key"))
-
-
-def fit_all(data: DataFrame, features: list[str], models: list[str], *, cv: bool = True, refit: bool = True,
-            seed: int = SEED, seeds: list[int] = FINAL_BAGGING_SEEDS, quick: bool = False,
-            workers: int = 8, insample: bool = False, importance_model: str = "lightgbm",
-            profile_overrides: dict | None = None) -> dict:
-    """G4 + G10 + D19 (+ G14) in one pool of concurrent fits.
-
-    CV jobs: every (target, fold, model), trained on the other folds with seed + fold,
-    scoring the held-out fold. Refit jobs: every (target, model, seed) on all training
-    rows, scoring prediction rows (and training rows when ``insample``). A profile that
-    does not depend on its seed is refit once: the mean of identical predictions is that
-    prediction. Each fit is a distributed MLlib job; the pool overlaps their latency.
+    """Whether a fit changes with the seed (row or feature sampling, bootstrap)."""
+    return prof["kind"] == "forest" or prof["kind"] == "boost" and (prof.get("row_share", 1.0) < 1.0 or prof.get("column_share", 1.0) < 1.0)
+
+
+def model_input(matrix: DataFrame, labels: DataFrame, folds: DataFrame | None) -> FitTable:
+    """The model rows of all fits: every column of ``matrix`` but its key is a feature."""
+    return fit_table(matrix, labels, folds, [c for c in matrix.columns if c != "key"])
+
+
+def _specs(data: FitTable, folds: dict[int, list[int]], models: list[str], profiles: dict, cv: bool, refit: bool, seed: int, seeds: list[int]) -> list[Spec]:
+    """CV: every (target, fold, model), with seed + fold. Refits: every (target, model, seed); a profile without chance once."""
+    out = []
+    for t in range(len(data.targets)):
+        for m in models:
+            prof = tuple(sorted(profiles[m].items()))
+            if cv:
+                out += [Spec(0, m, t, f, seed + f, prof) for f in folds.get(t, [])]
+            if refit:
+                out += [Spec(0, m, t, 0, s, prof) for s in (seeds if seed_dependent(profiles[m]) else seeds[:1])]
+    return [Spec(i, s.model, s.target, s.fold, s.seed, s.profile) for i, s in enumerate(out)]
+
+
+def fit_all(data: FitTable, models: list[str], *, cv: bool = True, refit: bool = True, seed: int = SEED, seeds: list[int] = FINAL_BAGGING_SEEDS,
+            quick: bool = False, workers: int = 8, insample: bool = False, importance_model: str = "lightgbm",
+            profile_overrides: dict | None = None, **sizes) -> dict:
+    """G4 + G10 + D19 (+ G14): ``oof``, ``predictions``, ``importance`` and the refitted ``models``.
+
+    CV fits train on the other folds and score the held-out one; refits train on all training rows and score the prediction
+    rows (and the training rows when ``insample``), averaged over seeds.
     """
-    tr_all = data.where(F.col("split") == "train")
-    plan = [(r[0], r[1]) for r in tr_all.select("target", "fold").distinct().orderBy("target", "fold").collect()] \
-        if cv else []
-    targets = sorted({t for t, _ in plan}) if cv else \
-        [r[0] for r in data.select("target").distinct().orderBy("target").collect()]
-    prof_of = {m: profile(m, quick, (profile_overrides or {}).get(m)) for m in models}
-    jobs = [("cv", t, f, m, seed + int(f)) for t, f in plan for m in models] if cv else []
+    profiles = {m: profile(m, quick, (profile_overrides or {}).get(m)) for m in models}
+    counts = class_counts(data)
+    folds: dict[int, list[int]] = {}
+    for t, f in sorted(counts):
+        folds.setdefault(t, []).append(f)
+    specs = _specs(data, folds, models, profiles, cv, refit, seed, seeds)
+    statistics = fit_statistics_rows(data) if {p["kind"] for p in profiles.values()} & {"forest", "lr"} else {}
+    trees = [s for s in specs if s.settings["kind"] != "lr"]
+    linear = [s for s in specs if s.settings["kind"] == "lr"]
+    scores, grown, fitted = [], None, []
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        waiting = [pool.submit(_fit_linear, data, s, counts, statistics.get((s.target, s.fold)), insample) for s in linear]
+        if trees:
+            codes = {k: _codes_of(data, v["median"]) for k, v in statistics.items()}
+            found, grown = fit_trees(data, trees, codes, insample, **sizes)
+            scores.append(found)
+        for w in waiting:
+            pred, params = w.result()
+            scores.append(pred)
+            fitted.append(params)
+    named = data.rows.sparkSession.createDataFrame([(s.number, data.targets[s.target], s.model, s.fold, s.seed) for s in specs],
+                                                   "spec int, target string, model string, fold int, seed int")
+    pred = materialize(_union(scores).join(F.broadcast(named), "spec").withColumn("pred", clip_proba("pred")), as_table=True)
+    out: dict = {}
+    if cv:
+        out["oof"] = pred.where("fold > 0").select("target", "key", "fold", "pred", "model")
     if refit:
-        for t in targets:
-            for m in models:
-                for s in (seeds if seed_dependent(prof_of[m]) else seeds[:1]):
-                    jobs.append(("refit", t, None, m, s))
-
-    sc = data.sparkSession.sparkContext
-
-    def run(job):
-        kind, t, f, m, s = job
-        # a pool of its own: jobs of one pool run first in, first out, those of several pools take turns
-        sc.setLocalProperty("spark.scheduler.pool", f"fit-{threading.get_ident()}")
-        if kind == "cv":
-            tr = tr_all.where((F.col("target") == t) & (F.col("fold") != f))
-            rows = tr_all.where((F.col("target") == t) & (F.col("fold") == f))
-            pred, _ = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key", "fold"])
-            return kind, pred.withColumn("model", F.lit(m)), None, None
-        tr = tr_all.where(F.col("target") == t)
-        rows = data.where(F.col("target") == t) if insample else \
-            data.where((F.col("target") == t) & (F.col("split") == "predict"))
-        pred, model = fit_predict(m, tr, rows, features, s, prof_of[m], ["target", "key"])
-        imp, fitted = None, (t, m, s, model)
-        if m == importance_model and model is not None:
-            used = model.stages[1].getInputCols()
-            imp = [(c[:-3], float(v)) for c, v in zip(used, model.stages[-1].featureImportances.toArray())]
-        return kind, pred.withColumn("model", F.lit(m)).withColumn("seed", F.lit(s)), imp, fitted
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        res = list(pool.map(run, jobs))
-    out = {}
-    cv_parts = [p for k, p, *_ in res if k == "cv"]
-    if cv_parts:
-        out["oof"] = materialize(_union(cv_parts))
-    rf_parts = [p for k, p, *_ in res if k == "refit"]
-    if rf_parts:
-        out["predictions"] = materialize(_union(rf_parts).groupBy("target", "key", "model")
-                                         .agg(clip_proba(F.avg("pred")).alias("pred")))
-        imp_rows = [r for _, _, imp, _ in res if imp for r in imp]
-        imps = data.sparkSession.createDataFrame(imp_rows or [], "feature string, importance double")
-        out["importance"] = feature_importance(imps)
-        out["models"] = [f for *_, f in res if f]
+        out["predictions"] = pred.where("fold = 0").groupBy("target", "key", "model").agg(clip_proba(F.avg("pred")).alias("pred"))
+        of_refits = F.broadcast(named.where("fold = 0").select("spec", "target", "model", "seed"))
+        empty = data.rows.sparkSession.createDataFrame([], f"target string, model string, seed int, tree int, {', '.join(f'{c} array<double>' for c in TREE_COLUMNS)}")
+        saved = grown.join(of_refits, "spec").select("target", "model", "seed", "tree", *TREE_COLUMNS) if grown is not None else empty
+        out["importance"] = feature_importance(_split_counts(saved.where(F.col("model") == importance_model), data.layout.features))
+        out["models"] = {"trees": saved, "linear": [(data.targets[s.target], s.model, s.seed, p) for s, p in zip(linear, fitted) if not s.fold and p],
+                         "specs": [(data.targets[s.target], s.model, s.seed, s.settings["kind"], int(s.settings.get("trees", 0)),
+                                    constant_of(counts_of(s, counts))) for s in specs if not s.fold], "features": data.layout.features}
     return out
 
 
@@ -174,14 +114,71 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _codes_of(data: FitTable, medians: np.ndarray) -> np.ndarray:
+    """The bins of the medians (0 for a feature without values, which no split can use)."""
+    return np.array([0 if np.isnan(m) else np.searchsorted(c, m, side="left") for m, c in zip(medians, data.layout.cuts)], np.int64)
+
+
+# --- the linear profile ---------------------------------------------------------------------------------------------------
+def _scaled(x: Column, params: dict) -> Column:
+    """Missing values as medians, then less the mean over the population's deviation (0 as 1)."""
+    lits = lambda a: F.array(*[dlit(v) for v in a])
+    filled = F.zip_with(x, lits(params["median"]), lambda v, m: F.coalesce(v, m))
+    centred = F.zip_with(filled, lits(params["mean"]), lambda v, m: v - m)
+    return F.zip_with(centred, lits(params["std"]), lambda v, s: v / s)
+
+
+def _linear_pred(x: Column, params: dict) -> Column:
+    weights = F.array(*[dlit(c) for c in params["coefficients"]])
+    return sigmoid(F.aggregate(F.zip_with(_scaled(x, params), weights, lambda v, c: v * c), dlit(params["intercept"]), lambda a, v: a + v))
+
+
+def _fit_linear(data: FitTable, spec: Spec, counts: dict, statistics: dict | None, insample: bool) -> tuple[DataFrame, dict | None]:
+    """One L2-regularised logistic fit over the training side's rows: (scores, parameters)."""
+    sc = data.rows.sparkSession.sparkContext
+    # a pool of its own: jobs of one pool run first in, first out, those of several pools take turns
+    sc.setLocalProperty("spark.scheduler.pool", f"fit-{threading.get_ident()}")
+    role, fold, y = (F.get(c, F.lit(spec.target)) for c in ("role", "fold", "y"))
+    train = data.rows.where((role == 1) & (fold != spec.fold if spec.fold else F.lit(True)))
+    wanted = (role == 1) & (fold == spec.fold) if spec.fold else (role > 0 if insample else role == 2)
+    n = counts_of(spec, counts)
+    constant = constant_of(n)
+    if constant is not None:
+        return data.rows.where(wanted).select(F.lit(spec.number).alias("spec"), "key", dlit(constant).alias("pred")), None
+    prof = spec.settings
+    params = {"median": np.nan_to_num(statistics["median"]), "mean": np.nan_to_num(statistics["mean"]),
+              "std": np.where(np.nan_to_num(statistics["std"]) == 0, 1.0, np.nan_to_num(statistics["std"]))}
+    rows = train.select(y.alias("label"), array_to_vector(_scaled(F.col("x"), params)).alias("features"))
+    model = LogisticRegression(regParam=1.0 / (float(prof["C"]) * int(n.sum())), elasticNetParam=0.0, standardization=False,
+                               maxIter=int(prof["max_iter"])).fit(rows)
+    params = {k: [float(v) for v in a] for k, a in params.items()} | {"coefficients": [float(c) for c in model.coefficients], "intercept": float(model.intercept)}
+    return data.rows.where(wanted).select(F.lit(spec.number).alias("spec"), "key", _linear_pred(F.col("x"), params).alias("pred")), params
+
+
+# --- single fits and tables of them ------------------------------------------------------------------------------------------
+def fit_predict(name: str, train: DataFrame, pred_rows: DataFrame, features: list[str], seed: int, prof: dict, keys: list[str]) -> tuple[DataFrame, object]:
+    """Fit one model on ``train`` (label, features) and score ``pred_rows``; a single-class training set gives a constant (D20) and no model."""
+    rows = [train.select(F.struct(F.lit(0).alias("side"), F.monotonically_increasing_id().alias("n")).alias("key"), F.col("label").alias("y"),
+                         F.lit("train").alias("split"), *features),
+            pred_rows.select(F.struct(F.lit(1).alias("side"), F.monotonically_increasing_id().alias("n")).alias("key"),
+                             F.lit(None).cast("double").alias("y"), F.lit("predict").alias("split"), *features, *[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)])]
+    both = materialize(rows[0].unionByName(rows[1], allowMissingColumns=True), as_table=True)
+    labels = both.select(F.lit("t").alias("target"), F.to_json("key").alias("key"), "split", "y")
+    out = fit_all(model_input(both.select(F.to_json("key").alias("key"), *features), labels, None), [name], cv=False, seeds=[seed],
+                  profile_overrides={name: prof})
+    pred = out["predictions"].select(F.col("key").alias("_key"), "pred")
+    own = both.where("split = 'predict'").select(F.to_json("key").alias("_key"), *[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)])
+    single = out["models"]["specs"][0][-1] is not None
+    return own.join(pred, "_key").drop("_key"), None if single else out["models"]
+
+
 def cross_validated_oof(matrix: DataFrame, folds: DataFrame, features: list[str], models: list[str], *,
                         seed: int = SEED, quick: bool = False, workers: int = 8,
                         profile_overrides: dict | None = None) -> DataFrame:
     """Out-of-fold predictions of every (target, fold, model); fold seed = seed + fold."""
     labels = folds.select("target", "key", "y").withColumn("split", F.lit("train"))
-    data = model_input(matrix, labels, folds)
-    return fit_all(data, features, models, refit=False, seed=seed, quick=quick,
-                   workers=workers, profile_overrides=profile_overrides)["oof"]
+    data = model_input(matrix.select("key", *features), labels, folds)
+    return fit_all(data, models, refit=False, seed=seed, quick=quick, workers=workers, profile_overrides=profile_overrides)["oof"]
 
 
 def refit_predict(matrix: DataFrame, labels: DataFrame, features: list[str], models: list[str], *,
@@ -189,12 +186,18 @@ def refit_predict(matrix: DataFrame, labels: DataFrame, features: list[str], mod
                   insample: bool = False, importance_model: str = "lightgbm",
                   profile_overrides: dict | None = None) -> dict:
     """G10 + D19 (+ G14): seed-bagged refits on all training rows."""
-    data = model_input(matrix, labels, None)
-    return fit_all(data, features, models, cv=False, seeds=seeds, quick=quick,
-                   workers=workers, insample=insample, importance_model=importance_model,
+    data = model_input(matrix.select("key", *features), labels, None)
+    return fit_all(data, models, cv=False, seeds=seeds, quick=quick, workers=workers, insample=insample, importance_model=importance_model,
                    profile_overrides=profile_overrides)
 
 
+def _split_counts(trees: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, importance): how many splits of the trees use each feature."""
+    counts = trees.select(F.explode("feature").alias("i")).where("i >= 0").groupBy("i").count()
+    names = trees.sparkSession.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return names.join(counts, "i", "left").select("feature", F.coalesce("count", F.lit(0)).cast("double").alias("importance"))
+
+
 def feature_importance(rows: DataFrame) -> DataFrame:
     """Importance summed over targets and seeds, ranked descending."""
     return rows.groupBy("feature").agg(F.sum("importance").alias("importance")) \
@@ -202,18 +205,21 @@ def feature_importance(rows: DataFrame) -> DataFrame:
 
 
 # --- A9: fitted models ------------------------------------------------------------------------
-def save_models(spark: SparkSession, path: str, models: list[tuple], single_class: DataFrame) -> None:
-    """Each refitted (target, model, seed) pipeline in a folder of its own, and an index of them.
+def save_models(spark: SparkSession, path: str, models: dict, single_class: DataFrame) -> None:
+    """The refitted trees, the linear parameters by feature, and an index of all (target, model, seed).
 
-    A fit on a single class has no pipeline; the index holds its constant, from ``single_class`` (target, constant).
+    A fit on a single class has no model; the index holds its constant.
     """
-    rows = []
-    for i, (target, name, seed, model) in enumerate(models):
-        if model is not None:
-            model.write().overwrite().save(f"{path}/fitted/{i}")
-        rows.append((i, target, name, seed, model is not None))
-    index = spark.createDataFrame(rows, "folder int, target string, model string, seed int, has_pipeline boolean")
-    index.join(F.broadcast(single_class), "target", "left").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted_index")
+    models["trees"].write.mode("overwrite").partitionBy("model").parquet(f"{path}/fitted_trees")
+    linear = [(t, m, s, i, f, p["median"][i], p["mean"][i], p["std"][i], p["coefficients"][i], p["intercept"])
+              for t, m, s, p in models["linear"] for i, f in enumerate(models["features"])]
+    spark.createDataFrame(linear, "target string, model string, seed int, position int, feature string, median double, mean double, std double, "
+                          "coefficient double, intercept double").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted_linear")
+    index = spark.createDataFrame(models["specs"], "target string, model string, seed int, kind string, trees int, constant double")
+    index = index.join(F.broadcast(single_class.withColumnRenamed("constant", "single")), "target", "left")
+    index.withColumn("constant", F.coalesce("constant", "single")).drop("single").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted_index")
+    spark.createDataFrame(list(enumerate(models["features"])), "position int, feature string") \
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted_features")
 
 
 def single_class_targets(labels: DataFrame) -> DataFrame:
@@ -230,13 +236,21 @@ def score_saved(spark: SparkSession, path: str, matrix: DataFrame) -> DataFrame:
 
     The index has targets x models x seeds rows.
     """
+    features = [r["feature"] for r in spark.read.parquet(f"{path}/fitted_features").orderBy("position").collect()]
+    trees = None
     parts = []
-    for r in spark.read.parquet(f"{path}/fitted_index").orderBy("folder").collect():
-        if r["has_pipeline"]:
-            scored = PipelineModel.load(f"{path}/fitted/{r['folder']}").transform(matrix)
-            pred = clip_proba(vector_to_array("probability")[1])
+    for r in spark.read.parquet(f"{path}/fitted_index").orderBy("target", "model", "seed").collect():
+        mine = (F.col("target") == r["target"]) & (F.col("model") == r["model"]) & (F.col("seed") == r["seed"])
+        if r["constant"] is not None:
+            scored = matrix.select("key", clip_proba(dlit(r["constant"])).alias("pred"))
+        elif r["kind"] == "lr":
+            own = spark.read.parquet(f"{path}/fitted_linear").where(mine).orderBy("position").collect()
+            params = {k: [o[k] for o in own] for k in ("median", "mean", "std")}
+            params |= {"coefficients": [o["coefficient"] for o in own], "intercept": own[0]["intercept"]}
+            x = F.array(*[finite(F.col(f"`{c}`").cast("double")) for c in features])
+            scored = matrix.select("key", clip_proba(_linear_pred(x, params)).alias("pred"))
         else:
-            scored, pred = matrix, clip_proba(dlit(r["constant"]))
-        parts.append(scored.select(F.lit(r["target"]).alias("target"), "key", F.lit(r["model"]).alias("model"),
-                                   pred.alias("pred")))
+            trees = trees if trees is not None else spark.read.parquet(f"{path}/fitted_trees")
+            scored = score_trees(matrix, features, trees.where(mine), r["kind"], r["trees"])
+        parts.append(scored.select(F.lit(r["target"]).alias("target"), "key", F.lit(r["model"]).alias("model"), "pred"))
     return _union(parts).groupBy("target", "key", "model").agg(clip_proba(F.avg("pred")).alias("pred"))

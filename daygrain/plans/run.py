@@ -32,7 +32,7 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
     weights = alphas = cal = None
     folds = materialize(fo.stratified_folds(lab, n_splits, seed)) if run_cv else None
     data = train.model_input(matrix, lab, folds)
-    fits = train.fit_all(data, features, models, cv=run_cv, refit=refit or not run_cv, seed=seed,
+    fits = train.fit_all(data, models, cv=run_cv, refit=refit or not run_cv, seed=seed,
                          quick=quick, workers=workers, insample=not run_cv,
                          profile_overrides=profile_overrides)
     if run_cv:

@@ -2,7 +2,7 @@
 
 Trials are drawn in batches as a DataFrame (hash-based, see ``operators/sweep.py``) and
 grouped by their fit configuration (tree counts, fold count). Each distinct
-configuration runs one cross-validated fit pass (distributed MLlib fits); all
+configuration runs one cross-validated fit pass; all
 trials sharing it are then scored in one sweep job over that pass's stored
 out-of-fold rows (H7). A failing configuration records log-loss ``inf`` and its
 error for each of its trials (H10). Results append to the history (A6); the

@@ -22,6 +22,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # a small Python task answers in a few milliseconds; over loopback TCP it waits for a delayed acknowledgement
+    "spark.python.unix.domain.socket.enabled": "true",
     # model fits are submitted from a thread pool: let their small jobs interleave
     "spark.scheduler.mode": "FAIR",
 }
