@@ -14,8 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.constants import MERGE_KEYS, TIME_BINS
 from daygrain.functions.exprs import date_key, dlit, safe_ratio, time_bin, tokens
+from daygrain.operators import ranges as rg
+from daygrain.operators.medians import add_medians, sketch
+from daygrain.session import materialize
 
 DAY_KEYS = MERGE_KEYS
+#: More categories than this have no wide columns; see ``sparse.category_sparse``.
+MAX_WIDE = 1000
 
 
 def with_date_keys(df: DataFrame, ts: str = "timestamp", day_col: str = "lifelog_date") -> DataFrame:
@@ -44,6 +49,28 @@ def daily_stat_exprs(value: str, prefix: str, median: str = "exact") -> list[Col
     ]
 
 
+def daily_stats_table(df: DataFrame, sensors: list[tuple[str, str, Column | None]], keys: list[str] = DAY_KEYS, extra: list[Column] = ()) -> DataFrame:
+    """D1 of several sensors of one table: (value column, prefix, condition of its readings or None), with exact medians.
+
+    One aggregate, written once; its buffers are of bounded size whatever a day's number of readings (``medians``), and only days
+    of more than ``HOT_ROWS`` readings are looked at again. A day without any reading of a sensor has null statistics.
+    """
+    aggs, values, names = list(extra), {}, []
+    for i, (value, prefix, condition) in enumerate(sensors):
+        v = F.col(value).cast("double")
+        v = v if condition is None else F.when(condition, v)
+        name = f"{prefix}_{value}"
+        there = (lambda c, of=condition: c) if condition is None else (lambda c, of=condition: F.when(F.count_if(of) > 0, c))
+        aggs += [there(F.count(v)).alias(f"{name}_count"), F.avg(v).alias(f"{name}_mean"), F.stddev_samp(v).alias(f"{name}_std"),
+                 F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), sketch(v).alias(f"_q{i}"),
+                 there(F.coalesce(F.sum(v), dlit(0.0))).alias(f"{name}_sum")]
+        values[f"{name}_median"] = (v, f"{name}_count", f"_q{i}")
+        names += [f"{name}_{s}" for s in ("count", "mean", "std", "min", "max", "median", "sum")]
+    stats = materialize(df.groupBy(*keys).agg(*aggs), as_table=True)
+    others = [c for c in stats.columns if c not in names and c not in keys and not c.startswith("_q")]
+    return add_medians(stats, df, list(keys), values).select(*keys, *names, *others)
+
+
 # --- D2 ------------------------------------------------------------------------
 def time_bin_exprs(value: str, prefix: str, bin_col: str = "time_bin") -> list[Column]:
     """Mean and sum per time-of-day bin; no rows in the bin -> null, rows but all null -> sum 0."""
@@ -87,18 +114,16 @@ def category_long(df: DataFrame, cat: str, keys: list[str] = DAY_KEYS) -> DataFr
                       safe_ratio(F.col("n"), F.sum("n").over(w)).alias("ratio"))
 
 
-def category_vocabulary(df: DataFrame, cat: str, limit: int | None = None) -> list:
+def category_vocabulary(df: DataFrame, cat: str, limit: int = MAX_WIDE) -> list:
     """Distinct non-null categories, sorted; one wide column each.
 
     ``limit`` bounds what reaches the driver: more categories than that raise
-    (use the long form, ``category_long``) rather than silently losing columns.
+    (use ``sparse.category_sparse``, which has no limit) rather than silently losing columns.
     """
-    q = df.where(F.col(cat).isNotNull()).select(cat).distinct().orderBy(cat)
-    if limit:
-        q = q.limit(limit + 1)
+    q = df.where(F.col(cat).isNotNull()).select(cat).distinct().orderBy(cat).limit(limit + 1)
     vals = [r[0] for r in q.collect()]
-    if limit and len(vals) > limit:
-        raise ValueError(f"{cat} has more than {limit} categories; use category_long")
+    if len(vals) > limit:
+        raise ValueError(f"{cat} has more than {limit} categories; use sparse.category_sparse")
     return vals
 
 
@@ -145,6 +170,24 @@ def daily_changes(df: DataFrame, values: list[str], prefix: str, keys: list[str]
                          for v in values]))
 
 
+def changes_in_ranges(df: DataFrame, values: list[str], prefix: str, keys: list[str] = DAY_KEYS, ts: str = "timestamp",
+                      tie: str | None = "row_id", ranges: int | None = None) -> DataFrame:
+    """D3 over ranges of (keys, time): the same counts, with no window over a group or a clock unit of it.
+
+    A range hands its last reading to the next, so a group may hold any share of all rows, at any rate.
+    """
+    order = [ts] + ([tie] if tie else [])
+    base = df.select(*keys, *order, *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rg.with_borders(rg.in_ranges(base, keys, order, ranges), keys, order, 1)
+    w = Window.partitionBy(rg.RANGE, *keys).orderBy(F.desc(rg.BORDER), *order)
+    changed = {}
+    for v in values:
+        before = F.lag(v).over(w)
+        changed[f"_c_{v}"] = F.when(F.col(v).isNull() | before.isNull() | (F.col(v) != before), 1).otherwise(0)
+    return (rows.withColumns(changed).where(~F.col(rg.BORDER)).groupBy(*keys)
+            .agg(*[F.sum(f"_c_{v}").cast("long").alias(f"{prefix}_{v}_changes") for v in values]))
+
+
 # --- D1 + D2 + D3 + D4 in one plan -----------------------------------------------
 def daily_numeric_features(df: DataFrame, values: list[str], prefix: str, *, keys: list[str] = DAY_KEYS,
                            add_changes: bool = False, categorical: str | None = None,
@@ -152,16 +195,13 @@ def daily_numeric_features(df: DataFrame, values: list[str], prefix: str, *, key
                            ts: str = "timestamp", tie: str | None = "row_id", chunk: str = "hour") -> DataFrame:
     """All scalar-sensor daily features of one table: one grouped pass plus the change count."""
     df = with_date_keys(df, ts) if "lifelog_date" in keys and "lifelog_date" not in df.columns else df
-    aggs: list[Column] = []
-    for v in values:
-        aggs += daily_stat_exprs(v, prefix, median)
-    for v in values:
-        aggs += time_bin_exprs(v, prefix)
-    if categorical:
-        if vocab is None:
-            vocab = category_vocabulary(df, categorical)
-        aggs += category_exprs(categorical, vocab, prefix)
-    out = df.groupBy(*keys).agg(*aggs)
+    if categorical and vocab is None:
+        vocab = category_vocabulary(df, categorical, limit=MAX_WIDE)
+    extra = [e for v in values for e in time_bin_exprs(v, prefix)] + (category_exprs(categorical, vocab, prefix) if categorical else [])
+    if median == "exact":
+        out = daily_stats_table(df, [(v, prefix, None) for v in values], keys, extra)
+    else:
+        out = df.groupBy(*keys).agg(*[e for v in values for e in daily_stat_exprs(v, prefix, median)], *extra)
     if add_changes:
         ch = daily_changes(df, values, prefix, keys=keys, ts=ts, tie=tie, chunk=chunk)
         out = out.join(ch, list(keys), "left")

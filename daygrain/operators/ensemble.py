@@ -1,13 +1,13 @@
 """Blending, alpha and calibration grid searches, final blend, report.
 
-All searches are a broadcast join of the (small, fixed-size) grid with the
-out-of-fold rows followed by one grouped aggregate; the argmin is a window over
-at most grid-size rows per (target, ...). ``by`` adds grouping columns (e.g.
-``trial_id``) so a whole parameter sweep runs as the same plan.
+A search is the mean of one vector of losses a row (``_grid_losses``), combined in the map tasks: rows are never
+multiplied by the grid, and each map task sends one row a group. The argmin is a window over at most grid-size rows per (target, ...).
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from daygrain.constants import (ALPHA_GRID, EPS, FALLBACK_ALPHA, MODEL_BLEND_POWER, SHRINK_GRID,
@@ -74,16 +74,6 @@ def calibration_grid_rows() -> list[tuple]:
     return rows
 
 
-def alpha_grid(spark: SparkSession) -> DataFrame:
-    vals = alpha_values()
-    return spark.createDataFrame([(i, float(v), f"{v:.2f}") for i, v in enumerate(vals)],
-                                 "grid_order int, alpha double, alpha_key string")
-
-
-def calibration_grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(calibration_grid_rows(), "grid_order int, method string, value double")
-
-
 def _argmin(df: DataFrame, groups: list[str], loss: str = "loss") -> DataFrame:
     w = Window.partitionBy(*groups).orderBy(F.round(F.col(loss), LOSS_DIGITS), F.col("grid_order"))
     return df.withColumn("chosen", F.row_number().over(w) == 1)
@@ -99,19 +89,25 @@ def chosen_alpha(alphas: DataFrame, by: list[str] | None = None) -> DataFrame:
     return alphas.where("chosen").select("target", *by, F.col("alpha_key").cast("double").alias("alpha"))
 
 
+def _grid_losses(rows: DataFrame, groups: list[str], schema: str, entries: list[tuple], loss) -> DataFrame:
+    """(groups, the entry's columns, loss): the mean of each row's vector of losses, ``loss`` (entry) being one of them."""
+    spark = rows.sparkSession
+    names = [c.split()[0] for c in schema.split(", ")]
+    literal = F.array(*[F.struct(*[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(e, schema.split(", "))]) for e in entries])
+    vectors = rows.select(*groups, array_to_vector(F.transform(literal, loss)).alias("_v"))
+    means = vectors.groupBy(*groups).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
+    cells = means.select(*groups, F.posexplode("_m").alias("_i", "loss"))
+    grid = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], f"_i int, {schema}")
+    return cells.join(F.broadcast(grid), "_i").select(*groups, *names, "loss")
+
+
 # --- G6 --------------------------------------------------------------------------------
 def alpha_search(spark: SparkSession, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(target, *by, grid_order, alpha, alpha_key, loss, chosen) over rows (y, model_pred, prior).
-
-    The 21-row grid is broadcast; each map task emits partial sums per (target, alpha).
-    """
+    """(target, *by, grid_order, alpha, alpha_key, loss, chosen) over rows (y, model_pred, prior)."""
     by = by or []
-    g = alpha_grid(spark)
-    x = rows.crossJoin(F.broadcast(g))
-    losses = x.groupBy("target", *by, "grid_order", "alpha", "alpha_key").agg(
-        F.avg(log_loss_term("y", blend_with_prior(F.col("model_pred"), F.col("prior"), F.col("alpha"))))
-         .alias("loss"))
-    return _argmin(losses, ["target", *by])
+    entries = [(i, float(a), f"{a:.2f}") for i, a in enumerate(alpha_values())]
+    loss = lambda e: log_loss_term(F.col("y"), blend_with_prior(F.col("model_pred"), F.col("prior"), e["alpha"]))
+    return _argmin(_grid_losses(rows, ["target", *by], "grid_order int, alpha double, alpha_key string", entries, loss), ["target", *by])
 
 
 # --- G7 / G8 ------------------------------------------------------------------------------
@@ -130,12 +126,16 @@ def calibration_search(spark: SparkSession, rows: DataFrame, by: list[str] | Non
     """(target, *by, grid_order, method, value, target_mean, loss, chosen) over rows (y, final_pred)."""
     by = by or []
     tm = rows.groupBy("target", *by).agg(F.avg(F.col("y").cast("double")).alias("target_mean"))
-    g = calibration_grid(spark)
-    x = rows.join(F.broadcast(tm), ["target", *by]).crossJoin(F.broadcast(g))
-    cand = calibrate(F.col("final_pred"), F.col("method"), F.col("value"), F.col("target_mean"))
-    losses = x.groupBy("target", *by, "grid_order", "method", "value", "target_mean").agg(
-        F.avg(log_loss_term("y", cand)).alias("loss"))
-    return _argmin(losses, ["target", *by])
+    # each row's logits once; every entry is then a few operations on them
+    x = rows.join(F.broadcast(tm), ["target", *by]).withColumns({"_ml": logit("target_mean"), "_gap": logit("final_pred") - logit("target_mean")})
+
+    def loss(e):
+        shrunk = (dlit(1.0) - e["value"]) * F.col("final_pred") + e["value"] * F.col("target_mean")
+        cand = F.when(e["method"] == "mean_shrink", shrunk).when(e["method"] == "temperature", sigmoid(F.col("_ml") + e["value"] * F.col("_gap"))) \
+                .otherwise(F.col("final_pred"))
+        return log_loss_term(F.col("y"), clip_proba(cand))
+    found = _grid_losses(x, ["target", *by, "target_mean"], "grid_order int, method string, value double", calibration_grid_rows(), loss)
+    return _argmin(found, ["target", *by]).select("target", *by, "grid_order", "method", "value", "target_mean", "loss", "chosen")
 
 
 def apply_calibration(rows: DataFrame, chosen: DataFrame, pred: str = "final_pred",

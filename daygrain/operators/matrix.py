@@ -6,10 +6,11 @@ small aggregate each; the row data itself never leaves the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from daygrain.functions.exprs import dlit, finite, unique_names
+from daygrain.operators.medians import large_medians, sketch
 
 
 def numeric_columns(df: DataFrame, exclude: set[str] | list[str] = ()) -> list[str]:
@@ -38,7 +39,7 @@ def one_hot_columns(df: DataFrame, col: str, prefix: str | None = None, max_valu
     vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
             .limit(max_values + 1).collect()]
     if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} values; use one_hot_array or OneHotEncoder")
+        raise ValueError(f"{col} has more than {max_values} values; use sparse.one_hot_sparse")
     return df.withColumns({f"{prefix}_{v}": (F.col(col) == F.lit(v)).cast("double") for v in vals})
 
 
@@ -64,36 +65,19 @@ def rename_unique(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(f"`{c}`").alias(n) for c, n in zip(feats, names)])
 
 
-#: Share of the rows on each side of the middle within which the exact median is looked up, ten times the sketch's error.
-MEDIAN_MARGIN, SKETCH_ACCURACY = 1e-3, 10000
-
-
 def exact_medians(train: DataFrame, cols: list[str]) -> DataFrame:
     """One row of exact medians ``<col>__med`` (null for columns without values); NaN is the largest value.
 
-    A quantile sketch of bounded size gives each column an interval around its middle. Values
-    outside it are only counted; those inside are counted by value and ranked, so a
-    column's sort sees about 0.2 % of its rows, and equal values are one row.
+    A quantile sketch of bounded size gives each column an interval around its middle, whose parts are counted; only the
+    values of the parts that hold the middle are ranked (``medians.large_medians``).
     """
-    at = [0.5 - MEDIAN_MARGIN, 0.5 + MEDIAN_MARGIN]
     x = train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    near = x.agg(*[F.percentile_approx(f"x{i}", at, SKETCH_ACCURACY).alias(f"r{i}") for i in range(len(cols))])
-
-    def reading(i: int):
-        v, r = F.col(f"x{i}"), F.col(f"r{i}")
-        side = F.when(v < r[0], F.lit(-1)).when(v > r[1], F.lit(1)).when(v.isNotNull(), F.lit(0))
-        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("v"))
-
-    counts = (x.crossJoin(F.broadcast(near)).select(F.explode(F.array(*[reading(i) for i in range(len(cols))])).alias("s"))
-               .where("s.side is not null").groupBy("s.i", "s.side", "s.v").agg(F.count(F.lit(1)).alias("n")))
-    # the other rows of a column are one row each side, so its total is a sum over the same few rows
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy("i"))
-    ranked = counts.select("i", "v", "n", upto.alias("upto"), total.alias("total"))
-    at_rank = lambda k: F.max(F.when((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k), F.col("v")))
-    lower, upper = at_rank(F.expr("(total + 1) div 2")), at_rank(F.expr("total div 2 + 1"))
-    med = ranked.groupBy("i").agg((dlit(0.5) * lower + dlit(0.5) * upper).alias("med"))
-    return med.agg(*[F.max(F.when(F.col("i") == i, F.col("med"))).alias(f"{c}__med") for i, c in enumerate(cols)])
+    ends = x.agg(*[sketch(F.col(f"x{i}")).alias(f"r{i}") for i in range(len(cols))])
+    near = ends.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"r{i}")[0].alias("lo"), F.col(f"r{i}")[3].alias("hi"))
+                                           for i in range(len(cols))])).alias("s")).select("s.*")
+    long = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in range(len(cols))])).alias("s")).select("s.*")
+    med = large_medians(long, near, ["i"], few=True)  # one row a column
+    return med.agg(*[F.max(F.when(F.col("i") == i, F.col("median"))).alias(f"{c}__med") for i, c in enumerate(cols)])
 
 
 def fit_median_scaler(train: DataFrame, cols: list[str], scale: bool = True) -> DataFrame:

@@ -63,8 +63,7 @@ def _d1_sql() -> str:
 def daily_stats(spark, sf_dir):
     """Count, mean, std, min, max, median, sum per (subject, day)."""
     v1 = daily.with_date_keys(views.sensor_scalar(spark, sf_dir))
-    aggs = [e for v in V1_VALUES for e in daily.daily_stat_exprs(v, "v1")]
-    return v1.groupBy(*KEYS).agg(*aggs)
+    return daily.daily_stats_table(v1, [(v, "v1", None) for v in V1_VALUES])
 
 
 # --- D2 ----------------------------------------------------------------------------
@@ -111,6 +110,16 @@ def daily_changes(spark, sf_dir):
     return daily.daily_changes(v1, V1_VALUES, "v1")
 
 
+@register("changes_in_ranges", S.with_views(_v1_sql_days(), """SELECT subject_id, CAST(sum(c) AS BIGINT) AS v1_value_changes
+FROM (SELECT subject_id, CASE WHEN lag(value) OVER w IS NULL OR value IS NULL OR value <> lag(value) OVER w THEN 1 ELSE 0 END AS c
+      FROM sensor_scalar WINDOW w AS (PARTITION BY subject_id ORDER BY "timestamp", row_id)) t
+GROUP BY subject_id"""))
+def changes_in_ranges(spark, sf_dir):
+    """D3 over a subject's whole series: ranges of (subject, time) that hand on their last reading."""
+    v1 = views.sensor_scalar(spark, sf_dir).select("subject_id", "timestamp", "row_id", "value")
+    return daily.changes_in_ranges(v1, ["value"], "v1", ["subject_id"])
+
+
 # --- D4 ----------------------------------------------------------------------------
 _D4_SQL = S.rounded(S.with_views(_v1_sql_days(), """SELECT subject_id, lifelog_date, category, n,
        CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY subject_id, lifelog_date) AS ratio

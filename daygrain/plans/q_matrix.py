@@ -9,6 +9,7 @@ from daygrain.operators import matrix as mx, spine as sp
 from daygrain.plans import views_sql as S
 from daygrain.plans.q_spine import _daily_sql, _daily_tables, _COUNT_COLS, SPINE_KEYS
 from daygrain.plans.registry import register
+from daygrain.session import materialize
 from daygrain.sources import views
 from daygrain.sources.tables import read_table
 
@@ -61,7 +62,7 @@ FROM (SELECT count(*) AS n_rows, {', '.join(f'count({c}) AS {c}' for c in FEATS)
 UNPIVOT (n FOR feature IN ({', '.join(FEATS)}))"""))
 def all_missing_counts(spark, sf_dir):
     """Non-null count of every feature over the training rows (0 marks a column to drop)."""
-    feats = sp.join_daily(views.spine(spark, sf_dir), _daily_tables(spark, sf_dir))
+    feats = sp.join_daily(*_daily_tables(spark, sf_dir))
     return mx.non_null_counts(feats.where(F.col("split") == "train"), FEATS)
 
 
@@ -81,6 +82,6 @@ FROM imp i CROSS JOIN mom s"""), ["subject_id", "lifelog_date"])
 @register("median_impute", _impute_sql())
 def median_impute(spark, sf_dir):
     """Exact training medians fill the gaps, then standardisation with training mean / population std."""
-    feats = sp.join_daily(views.spine(spark, sf_dir), _daily_tables(spark, sf_dir))
+    feats = materialize(sp.join_daily(*_daily_tables(spark, sf_dir)), as_table=True)  # read once for medians, moments and scaling
     params = mx.fit_median_scaler(feats.where(F.col("split") == "train"), FEATS)
     return mx.apply_median_scaler(feats, params, FEATS).select("subject_id", "lifelog_date", *FEATS)

@@ -17,11 +17,11 @@ SECOND_SENSOR = "error"     # a sparser sensor: the readings of one event type
 
 
 def _daily_tables(spark, sf_dir):
+    """The spine and the daily tables of two sensors, all from one written aggregate of the readings."""
     v1 = daily.with_date_keys(views.sensor_scalar(spark, sf_dir))
-    allv = v1.groupBy(*KEYS).agg(*daily.daily_stat_exprs("value", "v1"))
-    err = (v1.where(F.col("category") == SECOND_SENSOR)
-             .groupBy(*KEYS).agg(*daily.daily_stat_exprs("value", "v1err")))
-    return [allv, err]
+    stats = daily.daily_stats_table(v1, [("value", "v1", None), ("value", "v1err", F.col("category") == SECOND_SENSOR)])
+    of = lambda p: stats.select(*KEYS, *[c for c in stats.columns if c.startswith(f"{p}_")])
+    return views.spine_from_days(stats.select(*KEYS)), [of("v1"), of("v1err").where("v1err_value_count is not null")]
 
 
 def _daily_sql() -> str:
@@ -80,7 +80,7 @@ def calendar_features(spark, sf_dir):
                                   SPINE_KEYS + ["split"] + _COUNT_COLS))
 def spine_join(spark, sf_dir):
     """Spine left-joined to two daily tables (all readings; the sparser 'error' readings)."""
-    return sp.join_daily(views.spine(spark, sf_dir), _daily_tables(spark, sf_dir))
+    return sp.join_daily(*_daily_tables(spark, sf_dir))
 
 
 # --- C5 -------------------------------------------------------------------------------
@@ -89,8 +89,8 @@ def spine_join(spark, sf_dir):
     ["subject_id", "lifelog_date", "v1err_value_count"]))
 def split_rejoin(spark, sf_dir):
     """Train rows of the feature table, matched to the train keys by join."""
-    s = views.spine(spark, sf_dir)
-    feats = sp.join_daily(s.drop("split"), _daily_tables(spark, sf_dir))
+    s, tables = _daily_tables(spark, sf_dir)
+    feats = sp.join_daily(s.drop("split"), tables)
     return sp.split_rejoin(feats, s, KEYS).select(*KEYS, "v1_value_mean", "v1err_value_count")
 
 
@@ -124,7 +124,7 @@ def _relative_sql() -> str:
 @register("relative_features", _relative_sql())
 def relative_features(spark, sf_dir):
     """Row order, rolling 3/7-row means and lag 1 of every sensor column, per subject."""
-    feats = sp.join_daily(views.spine(spark, sf_dir), _daily_tables(spark, sf_dir))
+    feats = sp.join_daily(*_daily_tables(spark, sf_dir))
     out = relative.add_subject_relative_features(feats)
     keep = [c for c in out.columns if c.endswith(("_roll3_mean", "_roll7_mean", "_lag1"))]
     return out.select(*KEYS, "subject_row_order", *keep)
