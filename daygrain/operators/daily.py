@@ -72,15 +72,16 @@ def daily_stats_table(df: DataFrame, sensors: list[tuple[str, str, Column | None
 
 
 # --- D2 ------------------------------------------------------------------------
-def time_bin_exprs(value: str, prefix: str, bin_col: str = "time_bin") -> list[Column]:
+def time_bin_exprs(value: str, prefix: str, bin_col: str = "time_bin", condition: Column | None = None) -> list[Column]:
     """Mean and sum per time-of-day bin; no rows in the bin -> null, rows but all null -> sum 0."""
     v = F.col(value).cast("double")
     out = []
+    within = lambda b: F.col(bin_col) == b if condition is None else (F.col(bin_col) == b) & condition
     for b, _ in TIME_BINS:
-        inside = F.col(bin_col) == b
+        inside = within(b)
         out.append(F.avg(F.when(inside, v)).alias(f"{prefix}_{value}_by_time_mean_{b}"))
     for b, _ in TIME_BINS:
-        inside = F.col(bin_col) == b
+        inside = within(b)
         out.append(F.when(F.count_if(inside) > 0, F.coalesce(F.sum(F.when(inside, v)), dlit(0.0)))
                    .alias(f"{prefix}_{value}_by_time_sum_{b}"))
     return out

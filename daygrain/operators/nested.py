@@ -136,9 +136,10 @@ def top_app_long(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_AP
 def top_app_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_APPS,
                   prefix: str = "m_usage_app_time") -> DataFrame:
     """D11 wide form: one 0-filled column per top app; groups without any top app are absent."""
-    long = top_app_long(df, items, keys, top_n)
-    vocab = sorted(r[0] for r in top_values(app_records(df, items, keys), "app", F.col("time"), top_n).collect())
-    wide = long.groupBy(*keys).pivot("app", vocab).agg(F.sum("app_time"))
+    rec = app_records(df, items, keys)
+    # the top-N is found once; its at most ``top_n`` values are the columns and the filter
+    vocab = sorted(r[0] for r in top_values(rec, "app", F.col("time"), top_n).collect())
+    wide = rec.where(F.col("app").isin(vocab)).groupBy(*keys).pivot("app", vocab).agg(F.sum("time"))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{a}`"), dlit(0.0)).alias(f"{prefix}_{t}")
                                 for a, t in zip(vocab, tokens(vocab, 40))])
 
@@ -165,10 +166,9 @@ def top_label_long(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_
 
 def top_label_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_AMBIENCE,
                     prefix: str = "m_ambience_top_count") -> DataFrame:
-    long = top_label_long(df, items, keys, top_n)
-    rows = label_row_stats(df, items, keys).select("ambience_top_label")
+    rows = label_row_stats(df, items, keys).select(*keys, "ambience_top_label")
     vocab = sorted(r[0] for r in top_values(rows, "ambience_top_label", None, top_n).collect())
-    wide = long.groupBy(*keys).pivot("ambience_top_label", vocab).agg(F.sum("n"))
+    wide = rows.where(F.col("ambience_top_label").isin(vocab)).groupBy(*keys).pivot("ambience_top_label", vocab).agg(F.count(F.lit(1)))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long")
                                 .alias(f"{prefix}_{t}") for v, t in zip(vocab, tokens(vocab, 40))])
 

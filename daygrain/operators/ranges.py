@@ -7,7 +7,7 @@ range, only the last rows of one group and a few counts are passed on, so a grou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from daygrain.session import materialize
 
@@ -25,17 +25,18 @@ def _open_groups(table: DataFrame, group: list[str]) -> DataFrame:
     return table.groupBy(RANGE).agg(F.max(F.struct(*group)).alias("g")).select(RANGE, *[F.col(f"g.{c}").alias(c) for c in group])
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
+def _only(table: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose columns are those of a row of ``few`` (nulls are equal), which is broadcast."""
+    few = few.withColumnsRenamed({c: f"_few_{c}" for c in few.columns})
+    on = F.lit(True)
+    for c in few.columns:
+        on = on & F.col(c.removeprefix("_few_")).eqNullSafe(F.col(c))
+    return table.join(F.broadcast(few), on, "left_semi")
 
 
 def with_borders(table: DataFrame, group: list[str], order: list[str], back: int) -> DataFrame:
     """``table`` and, marked ``_border``, the ``back`` rows of its first group that come before each range."""
-    last = _open_groups(table, group)
-    own = table.join(F.broadcast(last), _same(table, last, [RANGE, *group]), "left_semi")
+    own = _only(table, _open_groups(table, group))  # one row a range
     by = [F.col(c).desc() for c in order]
     tails = own.withColumn("_n", F.row_number().over(Window.partitionBy(RANGE).orderBy(*by))).where(F.col("_n") <= back)
     # of the few tail rows of a group, each range's last one looks back over those before it, in earlier ranges too
@@ -49,8 +50,7 @@ def with_borders(table: DataFrame, group: list[str], order: list[str], back: int
 
 def offsets(table: DataFrame, group: list[str], first: str | None = None) -> DataFrame:
     """(range, group, _before, _first): rows of a range's first group in earlier ranges, and its first ``first``; at most two rows a range."""
-    last = _open_groups(table, group).select(*group).distinct()
-    spans = table.join(F.broadcast(last), _same(table, last, group), "left_semi").groupBy(RANGE, *group).agg(
+    spans = _only(table, _open_groups(table, group).select(*group).distinct()).groupBy(RANGE, *group).agg(
         F.count("*").alias("_n"), *([F.min(first).alias("_first")] if first else []))
     w = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return spans.select(RANGE, *group, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),

@@ -54,15 +54,15 @@ def relative_in_ranges(df: DataFrame, subject: str, order: str, relative_limit:
     first value go on from the ranges before. ``order`` must be unique within a subject; null subjects are one."""
     sensors = sensor_columns(df, relative_limit, reserved=RESERVED | {subject, order})
     table = rg.in_ranges(df, [subject], [order], ranges)
-    before = rg.offsets(table, [subject], order)
+    before = rg.offsets(table, [subject], order).withColumnsRenamed({rg.RANGE: "_of_range", subject: "_of_subject"})
     rows = rg.with_borders(table, [subject], [order], max(windows, default=2) - 1 or 1)
     w = Window.partitionBy(rg.RANGE, subject).orderBy(order)
     own = F.when(~F.col(rg.BORDER), F.col(order))
     new = {"_own_first": F.min(own).over(Window.partitionBy(rg.RANGE, subject)),
            "_own_order": F.count(own).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1}
     out = rows.withColumns(new | _rolls_and_lags(w, sensors, lag_limit, windows)).where(~F.col(rg.BORDER))
-    on = out[rg.RANGE].eqNullSafe(before[rg.RANGE]) & out[subject].eqNullSafe(before[subject])
-    out = out.join(F.broadcast(before), on, "left").drop(before[rg.RANGE], before[subject])
+    on = F.col(rg.RANGE).eqNullSafe(F.col("_of_range")) & F.col(subject).eqNullSafe(F.col("_of_subject"))
+    out = out.join(F.broadcast(before), on, "left").drop("_of_range", "_of_subject")
     return out.withColumns({
         "subject_days_since_first": since_first(df, order, F.coalesce("_first", "_own_first")),
         "subject_row_order": (F.coalesce("_before", F.lit(0)) + F.col("_own_order")).cast("long")}).drop(

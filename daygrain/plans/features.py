@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from daygrain.constants import TOP_AMBIENCE, TOP_APPS
 from daygrain.functions import lists
 from daygrain.operators import daily, matrix as mx, nested, relative, spine as sp
-from daygrain.session import materialize
-from daygrain.sources import views
+from daygrain.session import checkpoint_dir, materialize
+from daygrain.sources import files, views
+from daygrain.sources.tables import table_path
 
 KEYS = ["subject_id", "lifelog_date"]
 GK = ["subject_id", "bucket"]
@@ -24,18 +25,35 @@ GK = ["subject_id", "bucket"]
 
 def daily_feature_table(spark, sf_dir: str):
     v1 = daily.with_date_keys(views.sensor_scalar(spark, sf_dir))
-    vocab = daily.category_vocabulary(v1, "category", limit=1000)
-    allv = daily.daily_numeric_features(v1, ["value", "k"], "v1", add_changes=True, categorical="category",
-                                        vocab=vocab)
-    err = daily.daily_numeric_features(v1.where(F.col("category") == "error"), ["value"], "v1err")
-    # the spine is the key set of the daily aggregate itself: Spark reuses that shuffle
-    base = sp.add_calendar_features(views.spine_from_days(allv.select(*KEYS)))
-    feats = sp.join_daily(base, [allv, err], KEYS)
+    vocab = daily.category_vocabulary(v1, "category")
+    error = F.col("category") == "error"
+    extra = [e for v in ("value", "k") for e in daily.time_bin_exprs(v, "v1")] + daily.category_exprs("category", vocab, "v1") \
+        + daily.time_bin_exprs("value", "v1err", condition=error)
+    # both sensors in one aggregate, written once; the spine's days are its keys
+    stats = daily.daily_stats_table(v1, [("value", "v1", None), ("k", "v1", None), ("value", "v1err", error)], KEYS, extra)
+    changes = daily.daily_changes(v1, ["value", "k"], "v1")
+    base = sp.add_calendar_features(views.spine_from_days(stats.select(*KEYS)))
+    feats = sp.join_daily(base, [stats, changes], KEYS)
     feats = relative.add_subject_relative_features(feats)
     nums = [c for c in mx.numeric_columns(feats) if c not in ("subject_id",)]
     return mx.null_nonfinite(feats, nums)
 
 
+def document_features(spark, sf_dir: str, ranges: int | None = None):
+    """The model's features by key: a document's readings, their course within its source (E1-E4, in ranges, as a source may hold any share
+    of the documents), its language and source one-hot (B8), without NaN and infinities (B7), under safe unique names (B5)."""
+    readings = views.document_readings(spark, sf_dir)
+    feats = relative.relative_in_ranges(readings.withColumnRenamed("source", "subject_id"), "subject_id", "key", ranges=ranges)
+    feats = mx.one_hot_columns(mx.one_hot_columns(feats, "lang", "lang"), "subject_id", "source").drop("lang", "subject_id")
+    return mx.rename_unique(mx.null_nonfinite(feats, [c for c in feats.columns if c != "key"]), ["key"])
+
+
+def cached_document_features(spark, sf_dir: str, base: str | None = None, force: bool = False):
+    """``document_features`` through the cache by content (A3), by default in the session's shared folder."""
+    base = base or f"{checkpoint_dir(spark)}/features"
+    return files.cached_table(spark, base, "document_features", [table_path(sf_dir, "documents")], lambda: document_features(spark, sf_dir), force)
+
+
 def bucket_feature_table(spark, sf_dir: str, top_apps: int = TOP_APPS, top_labels: int = TOP_AMBIENCE):
     """All list sensors from one materialised per-order view.
 

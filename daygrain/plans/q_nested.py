@@ -159,11 +159,11 @@ def top_app_pivot(spark, sf_dir):
     return nested.top_app_long(views.sensor_usage(spark, sf_dir), "items", GK, TOP_N_APPS)
 
 
-def _token(v: str) -> str:
+def _token(v: str, length: int = 40) -> str:
     t = f"lower(regexp_replace(regexp_replace({v}, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g'))"
     t = f"CASE WHEN {t} = '' THEN 'x_' || substr(md5({v}), 1, 8) ELSE {t} END"
     t = f"CASE WHEN regexp_matches({t}, '^[0-9]') THEN 'f_' || {t} ELSE {t} END"
-    return f"(regexp_replace(substr({t}, 1, 40), '^_+|_+$', '', 'g') || '_' || substr(md5({v}), 1, 8))"
+    return f"(regexp_replace(substr({t}, 1, {length}), '^_+|_+$', '', 'g') || '_' || substr(md5({v}), 1, 8))"
 
 
 def _melted(wide):

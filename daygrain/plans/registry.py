@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     # importing the modules fills QUERIES / ORACLES
-    from daygrain.plans import q_daily, q_nested, q_spine, q_matrix, q_model, q_fit, q_sweep  # noqa: F401
+    from daygrain.plans import q_daily, q_nested, q_spine, q_matrix, q_model, q_fit, q_sweep, q_cells  # noqa: F401
 
 
 def all_queries() -> dict:

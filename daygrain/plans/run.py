@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, functions as F
 
 from daygrain.constants import MODEL_BLEND_POWER, N_SPLITS, QUICK_N_SPLITS, SEED, WEAK_MODEL_LOSS_RATIO
-from daygrain.operators import ensemble as ens, folds as fo, prior as pr, train
+from daygrain.operators import ensemble as ens, folds as fo, matrix as mx, prior as pr, train
+from daygrain.plans.features import cached_document_features
 from daygrain.session import materialize
 from daygrain.sources import views
 
@@ -19,12 +20,19 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
              seed: int = SEED, power: float = MODEL_BLEND_POWER, ratio: float = WEAK_MODEL_LOSS_RATIO,
              run_cv: bool = True, postprocess: bool = True, quick: bool = False, workers: int = 8,
              prior_params: dict | None = None, profile_overrides: dict | None = None,
-             refit: bool = True) -> dict:
-    """One trial. ``quick`` is the documented quick mode without its row caps: 120 trees a model, 3 folds."""
+             refit: bool = True, features_cache: str | None = None) -> dict:
+    """One trial. ``quick`` is the documented quick mode without its row caps: 120 trees a model, 3 folds.
+
+    The features come from ``features_cache`` (by default a folder of the shared one) if they were built there from the same
+    input files; a search therefore builds them once.
+    """
     models = models or train.enabled_models()
     n_splits = n_splits or (QUICK_N_SPLITS if quick else N_SPLITS)
     lab = materialize(views.labelled(spark, sf_dir).select("key", "subject_id", "ord", "target", "y", "split"))
-    matrix = materialize(views.document_matrix(spark, sf_dir))
+    matrix = cached_document_features(spark, sf_dir, features_cache)
+    # Columns without any value among the training keys go
+    train_keys = lab.where(F.col("split") == "train").select("key").distinct()
+    (_, matrix), _ = mx.drop_all_missing(matrix.join(train_keys, "key", "left_semi"), [matrix], [c for c in matrix.columns if c != "key"])
     features = [c for c in matrix.columns if c != "key"]
     targets = [r[0] for r in lab.select("target").distinct().orderBy("target").collect()]
     settings = pr.prior_settings(spark, targets, **(prior_params or {}))

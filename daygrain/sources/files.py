@@ -6,10 +6,14 @@ the Hadoop FileSystem API of the session, never through a machine-local folder.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import re
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HISTORY_SCHEMA = ("trial_id int, logloss double, elapsed_sec double, param_overrides map<string,double>, "
@@ -34,11 +38,53 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # --- A3 -------------------------------------------------------------------------------
-def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """Read-through cache: reuse the parquet at ``path`` unless missing or ``force``."""
-    if force or not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless it exists; of several writers at once one gets True."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+
+
+def fingerprint(spark: SparkSession, name: str, inputs: list[str], **params) -> str:
+    """A digest of a plan's name and parameters and of its input files' paths, sizes and times."""
+    files = []
+    for path in inputs:
+        fs, p = _fs(spark, path)
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            st = found.next()
+            files.append([st.getPath().toString(), st.getLen(), st.getModificationTime()])
+    return hashlib.sha256(json.dumps([name, params, sorted(files)], sort_keys=True, default=str).encode()).hexdigest()[:32]
+
+
+def cached_table(spark: SparkSession, base: str, name: str, inputs: list[str], build: Callable[[], DataFrame], force: bool = False, **params) -> DataFrame:
+    """Read-through cache by content: the table built from the same plan, parameters and input files, or a new one.
+
+    Changed inputs have another key, so a stale table is never read. Data are written first, into a folder of their own, and a
+    manifest names that folder last: a build that is cut short is not seen, and of several builders at once the first one's
+    table is read by all. ``force`` builds anew and replaces the manifest.
+    """
+    key = f"{base.rstrip('/')}/{name}-{fingerprint(spark, name, inputs, **params)}"
+    manifest = f"{key}/MANIFEST"
+    if force or not exists(spark, manifest):
+        data = f"{key}/data-{uuid.uuid4().hex}"
+        build().write.parquet(data)
+        if force and exists(spark, manifest):
+            fs, p = _fs(spark, manifest)
+            fs.delete(p, False)
+        create_new(spark, manifest, data)
+    return spark.read.parquet(read_small(spark, manifest))
 
 
 # --- A4 / A5 ---------------------------------------------------------------------------
@@ -47,20 +93,23 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines (nested structs and maps kept), UTF-8."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """JSON lines (nested structs and maps kept), UTF-8; ``single_file`` only for small reports (one writer task)."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").json(path)
 
 
 # --- A6 / A7 / H10 -----------------------------------------------------------------------
 def append_history(spark: SparkSession, records: list[dict], path: str) -> None:
-    """Append trial records (a failed trial carries logloss = inf and its error text)."""
+    """Append trial records (a failed trial carries logloss = inf and its error text).
+
+    Each call writes a folder of its own, so that appends at the same time do not meet in one commit.
+    """
     rows = []
     for r in records:
         rows.append((int(r["trial_id"]), float(r.get("logloss", math.inf)), float(r.get("elapsed_sec", 0.0)),
                      {k: float(v) for k, v in (r.get("param_overrides") or {}).items()},
                      r.get("submission_path"), r.get("timestamp"), r.get("strategy"), r.get("error")))
-    spark.createDataFrame(rows, HISTORY_SCHEMA).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame(rows, HISTORY_SCHEMA).coalesce(1).write.mode("error").json(f"{path.rstrip('/')}/batch-{uuid.uuid4().hex}")
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +117,7 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], HISTORY_SCHEMA)
     return (spark.read.schema(HISTORY_SCHEMA).option("mode", "DROPMALFORMED")
-                 .option("allowNonNumericNumbers", True).json(path))
+                 .option("allowNonNumericNumbers", True).option("recursiveFileLookup", True).json(path))
 
 
 def best_from_history(history: DataFrame):
@@ -83,7 +132,7 @@ def best_from_history(history: DataFrame):
 def save_best(spark: SparkSession, path: str, params: dict, logloss: float, saved_at: str) -> None:
     df = spark.createDataFrame([(float(logloss), {k: float(v) for k, v in params.items()}, saved_at)],
                                "logloss double, params map<string,double>, saved_at string")
-    write_json(df, path)
+    write_json(df, path, single_file=True)
 
 
 def load_best(spark: SparkSession, path: str):
@@ -97,22 +146,34 @@ def load_best(spark: SparkSession, path: str):
 
 
 # --- A8 -----------------------------------------------------------------------------------
-def versions(spark: SparkSession, base: str) -> list[int]:
+def _numbered(spark: SparkSession, base: str, pattern: str) -> list[int]:
     if not exists(spark, base):
         return []
     fs, p = _fs(spark, base)
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version=") and name[8:].isdigit():
-            out.append(int(name[8:]))
-    return sorted(out)
+    names = (st.getPath().getName() for st in fs.listStatus(p))
+    return sorted(int(m[1]) for m in (re.fullmatch(pattern, n) for n in names) if m)
+
+
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """The complete versions: those whose writer has finished."""
+    return [n for n in _numbered(spark, base, r"version=(\d+)") if exists(spark, f"{base.rstrip('/')}/version={n}/_SUCCESS")]
+
+
+def claim_version(spark: SparkSession, base: str) -> int:
+    """The next number that no other writer has: its claim is a file that only one of them can create."""
+    claims = f"{base.rstrip('/')}/_claims"
+    n = max([0, *_numbered(spark, claims, r"(\d+)"), *_numbered(spark, base, r"version=(\d+)")]) + 1
+    while not create_new(spark, f"{claims}/{n}", ""):
+        n += 1
+    return n
 
 
 def write_versioned(df: DataFrame, base: str, fmt: str = "csv") -> tuple[str, int]:
-    """Write to ``base/version=N`` with N = max(existing) + 1; the highest version is "latest"."""
-    spark = df.sparkSession
-    n = max(versions(spark, base), default=0) + 1
+    """Write to ``base/version=N``, N being claimed first; the highest complete version is "latest".
+
+    Writers at the same time get different numbers, and none overwrites another's.
+    """
+    n = claim_version(df.sparkSession, base)
     path = f"{base.rstrip('/')}/version={n}"
     w = df.write.mode("error")
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
@@ -137,6 +198,6 @@ def save_bundle(path: str, run: dict, config: dict) -> None:
     if "tuned" in run:
         run["tuned"]["alphas"].where("chosen").write.mode("overwrite").parquet(f"{path}/model_alpha")
         run["tuned"]["calibration"].where("chosen").write.mode("overwrite").parquet(f"{path}/calibration")
-        write_json(run["report"], f"{path}/cv_results")
+        write_json(run["report"], f"{path}/cv_results", single_file=True)
     spark.createDataFrame([(json.dumps(config, default=str),)], "config string") \
          .coalesce(1).write.mode("overwrite").json(f"{path}/config")

@@ -175,21 +175,13 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("model", F.substring("model", 3, 1))
 
 
-def document_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric features of every document (key = doc_id), the model matrix for V7's targets.
-
-    Length readings of the whole text plus one-hot language and source columns
-    (their vocabularies are small collected sets: 4 languages, 20 sources here).
-    """
-    from daygrain.operators.matrix import one_hot_columns
+def document_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric readings of every document: lengths of the whole text, by key (doc_id) with its language and source."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
-    base = docs.select(
+    return docs.select(
         F.col("doc_id").alias("key"),
         F.col("n_chars").cast("double").alias("n_chars"),
         F.ln(F.col("n_chars").cast("double") + dlit(1.0)).alias("log_chars"),
         F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
         F.size(F.split(F.col("text"), "\n")).cast("double").alias("n_lines"),
         "lang", "source")
-    out = one_hot_columns(base, "lang", "lang")
-    out = one_hot_columns(out, "source", "source")
-    return out.drop("lang", "source")

@@ -2,7 +2,9 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -40,20 +42,61 @@ def test_versioned_output_and_latest(spark, tmpdir_path):
     assert (v1, v2) == (1, 2) and files.latest_version(spark, base).endswith("version=2")
 
 
-def test_csv_roundtrip_and_cache(spark, tmpdir_path):
+def test_csv_roundtrip(spark, tmpdir_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "s string, n int")
     files.write_csv(df, os.path.join(tmpdir_path, "c"), single_file=True)
     back = files.read_csv(spark, os.path.join(tmpdir_path, "c"), "s string, n int")
     assert sorted(tuple(r) for r in back.collect()) == [("a", 1), ("b", 2)]
-    calls = []
+
+
+def test_cache_follows_its_inputs(spark, tmpdir_path):
+    src, base, calls = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "k"), []
 
     def build():
         calls.append(1)
-        return df
-    files.cached_table(spark, os.path.join(tmpdir_path, "k"), build)
-    files.cached_table(spark, os.path.join(tmpdir_path, "k"), build)
-    files.cached_table(spark, os.path.join(tmpdir_path, "k"), build, force=True)
-    assert len(calls) == 2
+        return spark.read.parquet(src).selectExpr("sum(id) AS s")
+
+    def read(**params):
+        return files.cached_table(spark, base, "sums", [src], build, **params).first()["s"]
+    spark.range(4).write.parquet(src)
+    assert [read(), read()] == [6, 6] and len(calls) == 1
+    assert read(windows=3) == 6 and len(calls) == 2  # other parameters, another table
+    spark.range(6).write.mode("overwrite").parquet(src)
+    assert [read(), read()] == [15, 15] and len(calls) == 3
+    assert read(force=True) == 15 and read() == 15 and len(calls) == 4
+
+
+def test_cache_sees_no_unfinished_build_and_the_first_of_two_wins(spark, tmpdir_path):
+    src, base = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "k")
+    spark.range(4).write.parquet(src)
+
+    def broken():
+        raise OSError("cut short")
+    with pytest.raises(OSError):
+        files.cached_table(spark, base, "t", [src], broken)
+
+    def build():  # another builder finishes while this one is at work
+        files.cached_table(spark, base, "t", [src], lambda: spark.range(1))
+        return spark.range(2)
+    assert files.cached_table(spark, base, "t", [src], build).count() == 1
+
+
+def test_writers_at_once_get_versions_of_their_own(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "subs")
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda i: files.write_versioned(spark.range(i, i + 1).coalesce(1), base), range(6)))
+    assert sorted(n for _, n in done) == files.versions(spark, base) == [1, 2, 3, 4, 5, 6]
+    assert sorted(int(r["id"]) for p, _ in done for r in files.read_csv(spark, p, "id long").collect()) == list(range(6))
+    files.claim_version(spark, base)  # a writer that dies after its claim
+    assert files.latest_version(spark, base).endswith("version=6")
+    assert files.write_versioned(spark.range(1), base)[1] == 8
+
+
+def test_appends_at_once_lose_no_record(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "hist")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: files.append_history(spark, [{"trial_id": i, "logloss": 0.5}], path), range(6)))
+    assert sorted(r["trial_id"] for r in files.load_history(spark, path).collect()) == list(range(6))
 
 
 def test_trial_strategies(spark):
