@@ -11,16 +11,21 @@ task folds its pages by host, partial wrappers meet by (host, salt) and then by
 more than partial wrappers of a host. Neighbouring optional elements of equal label and name, and of
 equal label if fewer than ``SHARE`` of the pages have them, become one repeated element, so a level does not grow with the host.
 
-The wrapper then says which slots hold the article: below its ``article`` or ``main`` element, else below
-the lowest element with most of the text that varies, without constants and lists of links. Pages are
-joined with their host's wrapper and read once more.
+The wrapper then says which slots hold the article: below its ``article`` or ``main`` element, without the blocks that are constant
+on ``MAJOR`` of the host's pages (headings stay), else below the lowest element with most of the text that varies, without constants and
+lists of links. Pages are joined with their host's wrapper and read once more.
+
+A level of two pages is aligned in a table of at most ``TABLE`` cells: longer ones are cut where a text that each has once is in
+both, and what is longer still in proportion, so the work grows with a page's length and not with its square.
 """
 
 from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -57,8 +62,11 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)
 _WORD = re.compile(r"[a-z]+")
 SALTS = 64
 HOSTS_AT_ONCE = 1000
+COPIES_KNOWN = 200_000  # page hashes that a task remembers
 SHARE = 0.1
 COMMON = 0.2  # a text that this share of a host's pages has is none of their own
+MAJOR = 0.5  # nor is one below an article or main element that this share has
+TABLE = 1 << 18  # cells of one alignment; longer levels are cut at their anchors, or else in proportion
 DEEPEST = 100  # elements below this depth only part blocks, but for the outermost that decide what is article text
 
 
@@ -248,11 +256,54 @@ def align(a: list, b: list, pages: int) -> list:
     """
     if not a or not b:
         return settle([_optional(x) for x in a or b], pages)
-    left, right = _runs(a), _runs(b)
+    return settle(_align_runs(_runs(a), _runs(b), pages), pages)
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the keys that each side has once, in an order that both keep (the longest such run); None is no key."""
+    once = [{k: i for k, i in zip(x, range(len(x))) if n[k] == 1} for x in (a, b) for n in (Counter(x),)]
+    pairs = [(i, once[1][k]) for k, i in once[0].items() if k is not None and k in once[1]]
+    tails: list[int] = []  # of increasing runs, by length: the least last place in b
+    at: list[int] = []
+    back: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        tails[k:k + 1] = [j]
+        at[k:k + 1] = [n]
+        back.append(at[k - 1] if k else -1)
+    out, n = [], at[-1] if at else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _cuts(n: int, k: int, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places (in the first, in the second level) at which a pair of levels of ``n`` and ``k`` parts is cut into small tables."""
+    out = [(0, 0)]
+    for i, j in [*anchors, (n, k)]:
+        x, y = out[-1]
+        if (i - x) * (j - y) <= TABLE and (i, j) != (n, k):
+            if (i - x + 1) * (j - y + 1) <= TABLE // 8:
+                continue  # several anchors to a table
+        pieces = max(1, math.isqrt(max(0, (i - x) * (j - y) - 1) // TABLE) + 1) if (i - x) * (j - y) > TABLE else 1
+        out += [(x + (i - x) * p // pieces, y + (j - y) * p // pieces) for p in range(1, pieces + 1)]
+    return out
+
+
+def _align_runs(left: list, right: list, pages: int) -> list:
+    """Two levels as runs; what fits is summed, what is left is optional."""
+    if not left or not right:
+        return [_optional(x) for r in left or right for x in r]
     keys = [[(r[0][LABEL], r[0][NAME]) for r in x] for x in (left, right)]
-    said = [[{x[DEEP] for x in r if x[DEEP].startswith("=")} for r in x] for x in (left, right)]
     if keys[0] == keys[1] and len(set(keys[0])) == len(keys[0]):
-        return settle([y for r, t in zip(left, right) for y in _align_run(r, t, pages)], pages)
+        return [y for r, t in zip(left, right) for y in _align_run(r, t, pages)]
+    if len(left) * len(right) > TABLE:
+        whole = [[(*k, r[0][DEEP]) if len(r) == 1 and r[0][DEEP].startswith("=") else None for k, r in zip(ks, side)]
+                 for ks, side in zip(keys, (left, right))]
+        cuts = _cuts(len(left), len(right), _anchors(*whole))
+        return [y for (i, j), (x, z) in zip(cuts, cuts[1:]) for y in _align_runs(left[i:x], right[j:z], pages)]
+    said = [[{x[DEEP] for x in r if x[DEEP].startswith("=")} for r in x] for x in (left, right)]
 
     def worth(i: int, j: int) -> int:
         (label, name), (other, its) = keys[0][i], keys[1][j]
@@ -279,13 +330,17 @@ def align(a: list, b: list, pages: int) -> list:
         else:
             out += map(_optional, right[j])
             j += 1
-    return settle(out, pages)
+    return out
 
 
 def _align_run(a: list, b: list, pages: int) -> list:
     """Two runs of equal elements: texts that both have are anchors; between them, a mismatch in number is a repetition."""
     if len(a) == len(b) == 1:
         return [_sum(a[0], b[0])]
+    if len(a) * len(b) > TABLE:
+        cuts = _cuts(len(a), len(b), _anchors(*[[x[DEEP] if x[DEEP].startswith("=") else None for x in run] for run in (a, b)]))
+        return [y for (i, j), (x, z) in zip(cuts, cuts[1:]) for y in (_align_run(a[i:x], b[j:z], pages) if i < x and j < z else
+                                                                      map(_optional, a[i:x] or b[j:z]))]
     texts = [[x[DEEP] if x[DEEP].startswith("=") else (side, i) for i, x in enumerate(run)] for side, run in enumerate((a, b))]
     out, i, j = [], 0, 0
     for m in SequenceMatcher(None, *texts, autojunk=False).get_matching_blocks():
@@ -410,6 +465,8 @@ def decide(root: list) -> list:
             node = heavy[0]
         roots = [node]
         drops = _weightless(node, mass)
+    elif constants:
+        drops = [y for x in roots for y in _repeated_blocks(x, root[PAGES])]
     said: dict[int, int] = {id(x): DROP for x in drops} | {i: SPARE for i in spared} | {id(x): KEEP for x in roots}
 
     def marks(x: list) -> list:
@@ -418,6 +475,27 @@ def decide(root: list) -> list:
     return marks(root)
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _repeated_blocks(article: list, pages: int) -> list:
+    """The outermost elements of an article whose text most pages of the host have; none if that is all it has."""
+    out: list = []
+    rest = 0
+
+    def visit(node: list) -> None:
+        nonlocal rest
+        rest += node[CHARS]
+        for x in node[CHILDREN]:
+            if x[DEEP].startswith("=") and x[PAGES] >= max(3, MAJOR * pages) and x[LABEL].split(".")[0] not in _HEADINGS:
+                out.append(x)
+            else:
+                visit(x)
+
+    visit(article)
+    return out if rest else []
+
+
 def _named_roots(node: list, spared: set[int]) -> list:
     """The outermost article or main elements; of a main with articles in it, the articles."""
     out = []
@@ -483,9 +561,18 @@ def _worth(element: list, mark: list) -> int:
 
 def _matched(elements: list, marks: list) -> list:
     """The mark that each element of a level falls to: the best alignment with the wrapper's level, in order."""
+    if len(marks) == 1:
+        return [marks[0] if _worth(e, marks[0]) else _other(e, _index(marks)) for e in elements]
+    index = _index(marks)
+    if len(elements) * len(marks) <= TABLE:
+        return _in_order(elements, marks, index)
+    cuts = _cuts(len(elements), len(marks), _anchors([(e[0], e[2], e[3]) if e[3] else None for e in elements],
+                                                     [(m[0], m[4], m[5]) if m[5].startswith("=") else None for m in marks]))
+    return [m for (i, j), (x, z) in zip(cuts, cuts[1:]) for m in _in_order(elements[i:x], marks[j:z], index)]
+
+
+def _in_order(elements: list, marks: list, index: dict) -> list:
     n, k = len(elements), len(marks)
-    if k == 1:
-        return [marks[0] if _worth(e, marks[0]) else _other(e, marks) for e in elements]
     best = [[0] * (k + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         here, below, e = best[i], best[i + 1], elements[i]
@@ -501,16 +588,29 @@ def _matched(elements: list, marks: list) -> list:
             out.append(marks[j])
             j += not marks[j][2]
         else:
-            out.append(_other(e, marks))
+            out.append(_other(e, index))
     return out
 
 
-def _other(element: list, marks: list) -> list | None:
+def _index(marks: list) -> dict:
+    """The first mark by (label, name, text), (label, name) and label; constants that are left out only by their text."""
+    index: dict = {}
+    for m in marks:
+        index.setdefault((m[0], m[4], m[5]), m)
+        if not (m[1] == DROP and m[5].startswith("=")):
+            index.setdefault((m[0], m[4]), m)
+        if m[1] != DROP:
+            index.setdefault(m[0], m)
+    return index
+
+
+def _other(element: list, index: dict) -> list | None:
     """For an element out of order: the mark that fits it best, or one of its label that is not left out."""
-    fit = max(marks, key=lambda m: _worth(element, m), default=None)
-    if fit is not None and _worth(element, fit):
-        return fit
-    return next((m for m in marks if m[0] == element[0] and m[1] != DROP), None)
+    label, name, text = element[0], element[2], element[3]
+    for key in ((label, name, text), (label, "*", text)) if text else ():
+        if key in index:
+            return index[key]
+    return index.get((label, name)) or index.get((label, "*")) or index.get(label)
 
 
 def extract(page: str, wrapper: list | None) -> str:
@@ -551,6 +651,7 @@ def _read(tree: list, wrapper: list) -> str | None:
 # -- Spark -----------------------------------------------------------------------------------------------------------
 def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     wrappers: dict[str, list] = {}
+    seen: set = set()  # copies of a page are one page, or a large group of them would make its text a constant of the host
 
     def rows() -> pd.DataFrame:
         return pd.DataFrame({"host": list(wrappers), "salt": [crc32(json.dumps(w).encode()) % SALTS for w in wrappers.values()],
@@ -558,6 +659,12 @@ def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for host, page in zip(batch["host"], batch["html"]):
+            copy = hash((host, page))
+            if copy in seen:
+                continue
+            if len(seen) >= COPIES_KNOWN:
+                seen.clear()
+            seen.add(copy)
             new = page_wrapper(page or "")
             wrappers[host] = _sum(wrappers[host], new) if host in wrappers else new
         if len(wrappers) >= HOSTS_AT_ONCE:
