@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's texts are cut into units (a word with the space mark before it, a run of marks, a line feed):
+A batch's texts are cut into units (a word with the space mark before it, a run of marks, a line feed), long ones
+also between neighbours that no piece contains side by side:
 no piece crosses a unit's border, so equal units have equal pieces. The batch's distinct
 new units are concatenated and indexed by a suffix array (prefix doubling up to the longest
 piece), every piece of the vocabulary is binary-searched for the range of its occurrences,
@@ -30,7 +31,10 @@ MARK = "▁"  # stands for a space in the model's pieces; units keep the space
 #: Where the public tokenizers' model lies; callers may name another.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 120_000
-CACHED_UNITS = 200_000
+#: The cache of units is let go beyond so many of them, or characters in them.
+CACHED_UNITS, CACHED_CHARS = 200_000, 3_000_000
+LONG_UNIT = 48  # longer units are cut where no piece can cross
+FEW = 12  # so many edges or units at a step are worked on one by one
 PAIR_CACHE_BITS = 21
 
 
@@ -148,6 +152,10 @@ class Codec:
         self.pair_codes = np.append(codes[order], np.iinfo(np.int64).max)
         self.pair_score = np.append(v.score[np.array(list(pairs.values()), np.int64)][order], 0.0)
         self.known_pairs = np.full(1 << PAIR_CACHE_BITS, -1, np.int64)
+        self.memo: dict[int, bool] = {}
+        #: neighbours that some piece contains, as units spell them
+        side_by_side = {ord(x) << 21 | ord(y) for p in self.scores for x, y in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:])}
+        self.side_by_side = np.array(sorted(side_by_side), np.int64)
         self.bytes = [b"" if i in v.control else " ⁇ ".encode() if i == v.unknown else p.replace(MARK, " ").encode()
                       for i, p in enumerate(v.pieces)]
         for b, i in enumerate(v.byte_ids or []):
@@ -157,6 +165,16 @@ class Codec:
     def clear(self) -> None:
         self.unit_of, self.flat = Units(), np.zeros(0, np.int32)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cached_chars = 0
+
+    def _cut(self, unit: str) -> list[str]:
+        """The unit in parts that no piece crosses."""
+        c = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = c[:-1] << 21 | c[1:]
+        at = np.minimum(np.searchsorted(self.side_by_side, pair), max(0, len(self.side_by_side) - 1))
+        apart = np.flatnonzero(self.side_by_side[at] != pair) + 1 if len(self.side_by_side) else np.arange(1, len(c))
+        ends = [0, *apart.tolist(), len(c)]
+        return [unit[x:y] for x, y in zip(ends, ends[1:])]
 
     # -- pairs ---------------------------------------------------------------
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,6 +218,17 @@ class Codec:
             self.known_pairs[slot[missing]] = code[missing] << 1 | out[missing]
         return out | ~plain
 
+    def _one_stays_apart(self, a: int, b: int) -> bool:
+        """``_stay_apart`` of one pair."""
+        if a >= self.size or b >= self.size:
+            return True
+        code = a * self.size + b
+        if code not in self.memo:
+            if len(self.memo) >= 1 << PAIR_CACHE_BITS - 2:
+                self.memo.clear()
+            self.memo[code] = bool(self._stay_apart(np.array([a]), np.array([b]))[0])
+        return self.memo[code]
+
     # -- matching ------------------------------------------------------------
     def _occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, piece id) of every occurrence of every piece; ``text`` holds code points, 0 between units."""
@@ -263,15 +292,35 @@ class Codec:
         last = np.full(len(text) + 1, -1, np.int64)
         last[begins] = self.size  # marks a start
         cuts = np.append(np.flatnonzero(np.append(True, offset[1:] != offset[:-1])), len(offset))
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        # offsets that only a few long units reach are relaxed edge by edge
+        many = np.flatnonzero(np.diff(cuts) > FEW)
+        tail = int(many[-1]) + 1 if len(many) else 0
+        for x, y in zip(cuts[:tail].tolist(), cuts[1:tail + 1].tolist()):
             before = last[pos[x:y]]
             reached = np.flatnonzero(before >= 0)
             t = piece[x:y][reached]
             good = self._stay_apart(before[reached], t)
             last[to[x:y][reached[good]]] = t[good]
+        rest = int(cuts[tail])
+        if rest < len(pos):
+            said, apart = last.tolist(), self._one_stays_apart
+            for p, t, q in zip(pos[rest:].tolist(), piece[rest:].tolist(), to[rest:].tolist()):
+                if said[p] >= 0 and apart(said[p], t):
+                    said[q] = t
+            last = np.array(said, np.int64)
         steps, live, at = [], np.arange(len(units)), ends.copy()
         count = np.zeros(len(units), np.int64)
+        alone: dict[int, list[int]] = {}  # the pieces of the last few units, from the end
         while len(live):
+            if len(live) <= FEW:
+                said = last.tolist()
+                for k, stop in zip(live.tolist(), at[live].tolist()):
+                    alone[k] = []
+                    while stop > begins[k]:
+                        alone[k].append(said[stop])
+                        stop -= self.length[min(said[stop], self.size)]
+                    count[k] += len(alone[k])
+                break
             t = last[at[live]]
             steps.append((live, t))
             count[live] += 1
@@ -280,6 +329,9 @@ class Codec:
         flat, stop = np.empty(count.sum(), np.int64), np.cumsum(count)
         for k, (rows, t) in enumerate(steps):
             flat[stop[rows] - 1 - k] = t
+        for k, pieces in alone.items():
+            first = stop[k] - count[k]
+            flat[first:first + len(pieces)] = pieces[::-1]
         return flat, count
 
     def _learn(self, new: list[str]) -> None:
@@ -288,6 +340,7 @@ class Codec:
         for tail in doubled.values():  # the rest of a unit after a run of spaces is a unit too
             self.unit_of[tail]
         new = list(self.unit_of)[len(self.start):] if doubled else new
+        self.cached_chars += sum(map(len, new))
         base = len(self.start)
         self.start, self.count = (np.append(x, np.zeros(len(new), np.int64)) for x in (self.start, self.count))
         plain = [(i, u) for i, u in enumerate(new, base) if u not in doubled] if doubled else list(enumerate(new, base))
@@ -330,12 +383,14 @@ class Codec:
 
     # -- batches -------------------------------------------------------------
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.unit_of) > CACHED_UNITS:
+        if len(self.unit_of) > CACHED_UNITS or self.cached_chars > CACHED_CHARS:
             self.clear()
         prefix, number = " " if self.v.dummy_prefix else "", self.unit_of.__getitem__
         cut = []
         for t in texts:
             units = self.units(prefix + t.replace(MARK, " ")) if t else []
+            if units and len(max(units, key=len)) > LONG_UNIT:
+                units = [x for u in units for x in (self._cut(u) if len(u) > LONG_UNIT else (u,))]
             cut.append(np.fromiter(map(number, units), np.int32, len(units)))
         if len(self.unit_of) > len(self.start):
             self._learn(list(self.unit_of)[len(self.start):])
