@@ -5,7 +5,8 @@ share of vectors it holds. Each vector goes to the list of its nearest centroid,
 vector also to further lists whose centroids are nearly as near and not closer to a list it already
 has than to it. The centroids (at most ``max_lists``, whatever the table's size) are searched by an
 in-memory neighbour graph. A query visits all lists whose centroid is within a ratio of its reach: the
-nearest centroid's distance, or that list's radius where the query lies nearer to the centroid than that. Further
+nearest centroid's distance, or that list's radius where the query lies nearer to the centroid than that. The ratio is the least
+with which queries of the sample find ``recall`` of their neighbours in the sample, which lie farther off than those in the table. Further
 lists follow until those visited hold k other vectors.
 
 A list is cut into chunks by a hash of the id, so that a list (or a group of equal vectors) of
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from daygrain.llm.common import as_table
 
 SAMPLE_ROWS = 20_000
-MAX_LISTS = 1024
-LIST_ROWS = 128
+MAX_LISTS = 2048
+LIST_ROWS = 64
 CHUNK_ROWS = 4096
 QUERY_ROWS = 4096
 REPLICAS = 3
 BOUNDARY = 1.06
-RATIO = 1.2
+RECALL = 0.94  # of the sample's own neighbours; the ratio follows from it
+RATIOS = np.arange(1.0, 1.61, 0.02)
+TRIED = 300  # queries of the sample
 DEGREE = 24
 BEAM = 160  # the graph search expands at least so many centroids
 ROUNDS = 12
@@ -51,11 +54,15 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS, price:
     points = np.unique(sample, axis=0)
     k = min(k, len(points))
     centroids = points[np.random.default_rng(7).permutation(len(points))[:k]].copy()
-    extra = np.zeros(k)
+    extra, scale = np.zeros(k), None
     for step in range(rounds):
-        d = _squared(points, centroids)
-        scale = float(np.median(d.min(axis=1))) or 1.0
-        own = (d + extra * scale).argmin(axis=1)
+        own, least = np.zeros(len(points), int), np.zeros(len(points))
+        for at, x in zip(range(0, len(points), 2048), _blocks(points)):
+            d = _squared(x, centroids)
+            least[at:at + 2048] = d.min(axis=1)
+            scale = scale or float(np.median(least[:at + 2048])) or 1.0
+            own[at:at + 2048] = (d + extra * scale).argmin(axis=1)
+        scale = float(np.median(least)) or 1.0
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, points)
@@ -91,7 +98,7 @@ class CentroidGraph:
         linked[np.arange(len(centroids))[:, None], ahead] = True
         return CentroidGraph(centroids, [np.flatnonzero(x) for x in linked | linked.T])
 
-    def search(self, v: np.ndarray, ratio: float = RATIO, radius: np.ndarray | None = None, rows: np.ndarray | None = None,
+    def search(self, v: np.ndarray, ratio: float, radius: np.ndarray | None = None, rows: np.ndarray | None = None,
                least: int = 0) -> np.ndarray:
         """The centroids within ``ratio`` of the reach of ``v``, nearest first, and as many more as hold ``least`` rows.
 
@@ -129,9 +136,48 @@ class CentroidGraph:
 
 @dataclass(frozen=True)
 class Index:
-    """The graph with each list's radius."""
+    """The graph with each list's radius, and the ratio that the sample asks for."""
     graph: CentroidGraph
     radius: np.ndarray
+    ratio: float
+
+
+def lists_of(x: np.ndarray, c: np.ndarray, between: np.ndarray, boundary: float, replicas: int) -> list[list[int]]:
+    """The lists of each row: the nearest centroid's, and for a boundary row some more."""
+    d = _squared(x, c)
+    near = np.argpartition(d, min(4 * replicas, d.shape[1]) - 1, axis=1)[:, :4 * replicas]
+    out = []
+    for row, at in zip(d, near):
+        at = at[np.argsort(row[at], kind="stable")]
+        kept = [at[0]]
+        for i in at[1:]:
+            if len(kept) == replicas or row[i] > boundary ** 2 * row[at[0]]:
+                break
+            if row[i] <= boundary ** 2 * min(between[i, j] for j in kept):
+                kept.append(i)
+        out.append([int(i) for i in kept])
+    return out
+
+
+def fitted_ratio(sample: np.ndarray, centroids: np.ndarray, radius: np.ndarray, recall: float = RECALL, k: int = 10,
+                 boundary: float = BOUNDARY, replicas: int = REPLICAS) -> float:
+    """The least of ``RATIOS`` with which queries of the sample reach ``recall``; the largest if none does."""
+    points = np.unique(sample, axis=0)
+    if len(points) <= k or len(centroids) < 2:
+        return float(RATIOS[-1])
+    tried = points[np.random.default_rng(5).permutation(len(points))[:TRIED]]
+    between, to = _squared(centroids, centroids), np.sqrt(_squared(tried, centroids))
+    nearest = to.argmin(axis=1)
+    reach = np.maximum(to.min(axis=1), radius[nearest])
+    reach = np.where(reach > 0, reach, np.where(to > 0, to, np.inf).min(axis=1))
+    needed = []
+    for v, row, r, d in zip(tried, to, reach, _squared(tried, points)):
+        near = np.argsort(d, kind="stable")[:k + 1]
+        near = near[(points[near] != v).any(axis=1)][:k]
+        # a neighbour is found once the nearest of its lists is visited
+        needed += [min(row[i] for i in held) / r for held in lists_of(points[near], centroids, between, boundary, replicas)]
+    wanted = float(np.quantile(needed, recall, method="higher"))
+    return float(next((x for x in RATIOS if x >= wanted), RATIOS[-1]))
 
 
 def _valid(vector: Column) -> Column:
@@ -151,19 +197,7 @@ def lists_column(vector: Column, shared, boundary: float = BOUNDARY, replicas: i
     def run(vectors: pa.Array) -> pa.Array:
         c = shared.value.graph.centroids
         between = _squared(c, c)
-        out = []
-        for x in _blocks(_matrix(vectors)):
-            d = _squared(x, c)
-            near = np.argpartition(d, min(4 * replicas, d.shape[1]) - 1, axis=1)[:, :4 * replicas]
-            for row, at in zip(d, near):
-                at = at[np.argsort(row[at], kind="stable")]
-                kept = [at[0]]
-                for i in at[1:]:
-                    if len(kept) == replicas or row[i] > boundary ** 2 * row[at[0]]:
-                        break
-                    if row[i] <= boundary ** 2 * min(between[i, j] for j in kept):
-                        kept.append(i)
-                out.append([int(i) for i in kept])
+        out = [held for x in _blocks(_matrix(vectors)) for held in lists_of(x, c, between, boundary, replicas)]
         return pa.array(out, pa.list_(pa.int32()))
     return run(vector)
 
@@ -185,12 +219,12 @@ def radius_of(sample: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1)
 
 
-def probes_column(vector: Column, shared, ratio: float = RATIO, rows: np.ndarray | None = None, least: int = 0) -> Column:
-    """The lists that a query visits: all within ``ratio`` of its reach, and more until they hold ``least`` of ``rows``."""
+def probes_column(vector: Column, shared, ratio: float | None = None, rows: np.ndarray | None = None, least: int = 0) -> Column:
+    """The lists that a query visits: all within ``ratio`` of its reach (None: the index's), and more until they hold ``least`` of ``rows``."""
     @F.arrow_udf("array<int>")
     def run(vectors: pa.Array) -> pa.Array:
-        graph, radius = shared.value.graph, shared.value.radius
-        out = [[int(i) for i in graph.search(v, ratio, radius, rows, least)] for v in _matrix(vectors)]
+        graph, radius, within = shared.value.graph, shared.value.radius, shared.value.ratio if ratio is None else ratio
+        out = [[int(i) for i in graph.search(v, within, radius, rows, least)] for v in _matrix(vectors)]
         return pa.array(out, pa.list_(pa.int32()))
     return run(vector)
 
@@ -202,18 +236,28 @@ def _best_of_chunk(k: int):
         if len(queries) and len(rows):
             rows = rows.sort_values("vec_id", kind="stable")
             ids, x = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float)
-            for query_id, v in zip(queries["query_id"].tolist(), queries["vector"]):
-                d = np.sqrt(((x - v.astype(float)) ** 2).sum(axis=1))
-                d[ids == query_id] = np.inf
-                best = np.argsort(d, kind="stable")[:k]
-                best = best[np.isfinite(d[best])]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": d[best]}))
+            asked, v = queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(float)
+            for at in range(0, len(v), 256):
+                out += [_nearest(q, w, d, ids, x, k) for q, w, d in zip(asked[at:at + 256].tolist(), v[at:at + 256], _squared(v[at:at + 256], x))]
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     return run
 
 
+def _nearest(query_id: int, v: np.ndarray, squared: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of other ids, exact: ``squared`` from a matrix product only tells which rows may be among them."""
+    squared[ids == query_id] = np.inf
+    near = np.flatnonzero(np.isfinite(squared))
+    if len(near) > k:
+        # the product's error grows with the vectors' squared length
+        slack = 1e-9 * (float(v @ v) + float((x[near] * x[near]).sum(axis=1).max()))
+        near = near[squared[near] <= np.partition(squared[near], k - 1)[k - 1] + slack]
+    d = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
+    best = np.argsort(d, kind="stable")[:k]
+    return pd.DataFrame({"query_id": query_id, "vec_id": ids[near[best]], "score": d[best]})
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS,
-                max_lists: int = MAX_LISTS, list_rows: int = LIST_ROWS, chunk_rows: int = CHUNK_ROWS):
+                max_lists: int = MAX_LISTS, list_rows: int = LIST_ROWS, chunk_rows: int = CHUNK_ROWS, recall: float = RECALL):
     """(valid rows, postings, chunks, index): every valid row is in one or more lists.
 
     The centroids are fitted on at most ``sample_rows`` rows of smallest hashed id; there are at most ``max_lists``.
@@ -228,7 +272,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").collect()], float)
     k = max(1, min(max_lists, sizes["count"] // list_rows))
     centroids = balanced_centroids(sample, k)
-    shared = spark.sparkContext.broadcast(Index(CentroidGraph.build(centroids), radius_of(sample, centroids)))
+    radius = radius_of(sample, centroids)
+    shared = spark.sparkContext.broadcast(Index(CentroidGraph.build(centroids), radius, fitted_ratio(sample, centroids, radius, recall)))
     postings = as_table(rows.select("vec_id", "vector", F.posexplode(lists_column(F.col("vector"), shared)).alias("place", "list")))
     # one row a list: at most max_lists; own: the rows for which it is the nearest
     chunks = as_table(postings.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"),
@@ -237,7 +282,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           ratio: float = RATIO, query_rows: int = QUERY_ROWS, **index_options) -> DataFrame:
+           ratio: float | None = None, query_rows: int = QUERY_ROWS, **index_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (of ``vec_id``) holds.
 
     Smallest Euclidean distance first, ties to the smaller id; a query is not its own candidate. A query has
