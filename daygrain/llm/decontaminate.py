@@ -4,7 +4,8 @@ An item of length m may occur with ``budget = m * error_rate`` edits. Cut into b
 at least one piece of such an occurrence is unchanged. The pieces of all items form one
 automaton; each hit proposes a window of the document, hits of an item on close diagonals share
 a window, and Myers' bit-parallel distance decides. Texts are compared lower-cased, with each run
-of characters that are neither letters nor digits as one space.
+of characters that are neither letters nor digits as one space. An item too short for an edit counts only as whole words, and
+items of fewer than ``least_chars`` characters are not looked for.
 
 Items are read in blocks of at most ``block_chars`` characters (or one item), equal texts together and once, so what is
 broadcast has a fixed bound; each block makes one pass over the documents, and what it found is written before the
@@ -73,11 +74,12 @@ def myers(pattern_bits: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """The pieces of one block of (item_id, text) as an automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_chars: int = 1):
         by_text = defaultdict(list)
         for item_id, text in items:
-            by_text[normal(text)].append(item_id)
-        by_text.pop("", None)
+            text = normal(text)
+            if len(text) >= max(1, least_chars):
+                by_text[text].append(item_id)
         self.items, at = [], defaultdict(list)
         for text, ids in by_text.items():
             errors = budget(len(text), error_rate)
@@ -105,9 +107,14 @@ class Matcher:
         for k, starts in diagonals.items():
             ids, item, errors, masks = self.items[k]
             best = None
+            if not errors:  # too short for an edit: only as whole words
+                around = lambda i: not 0 <= i < len(text) or text[i] == " "
+                if any(text.startswith(item, s) and around(s - 1) and around(s + len(item)) for s in starts):
+                    found += [{"item_id": i, "errors": 0} for i in ids]
+                continue
             for lo, hi in self._windows(sorted(starts), len(item), errors):
                 window = text[max(0, lo):hi]
-                got = 0 if item in window else myers(masks, len(item), window) if errors else 1
+                got = 0 if item in window else myers(masks, len(item), window)
                 if got <= errors and (best is None or got < best):
                     best = got
             if best is not None:
@@ -132,12 +139,12 @@ class Matcher:
 _matchers: dict[str, Matcher] = {}  # the last block's
 
 
-def _matches_column(text: Column, shared: Shared, error_rate: float) -> Column:
+def _matches_column(text: Column, shared: Shared, error_rate: float, least_chars: int) -> Column:
     @F.arrow_udf(MATCHES)
     def run(texts: pa.Array) -> pa.Array:
         if shared.key not in _matchers:  # one automaton a worker
             _matchers.clear()
-            _matchers[shared.key] = Matcher(shared.value, error_rate)
+            _matchers[shared.key] = Matcher(shared.value, error_rate, least_chars)
         find = _matchers[shared.key].matches
         return pa.array([find(t.as_py()) for t in texts],
                         pa.list_(pa.struct([("item_id", pa.int64()), ("errors", pa.int32())])))
@@ -165,7 +172,7 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
-                  out: str = "matches") -> DataFrame:
+                  out: str = "matches", least_chars: int = 1) -> DataFrame:
     """``docs`` with ``out``: the items found in its text, each with its fewest errors, by item id.
 
     Null and empty texts and items match nothing; equal items are all reported; null item ids
@@ -181,7 +188,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             before.broadcast.destroy()
         before = Shared(spark, block)
         name = fresh(docs, f"_{out}_{len(cols)}")
-        docs = docs.withColumn(name, _matches_column(F.col(text_col), before, error_rate))
+        docs = docs.withColumn(name, _matches_column(F.col(text_col), before, error_rate, least_chars))
         cols.append(name)
     none = F.array().cast(MATCHES)
     return docs.withColumn(out, F.concat(none, *cols) if cols else none).drop(*cols)

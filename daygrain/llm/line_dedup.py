@@ -5,17 +5,21 @@ stripping and lower-casing ASCII letters) becomes one narrow row of hash, docume
 position; no text is shuffled to find duplicates.
 
 1. The rows are range-partitioned by (hash, salt) and sorted by (hash, salt, document,
-   position). A running first value streams over each (hash, salt) run: rows of a later
+   position). A running first value goes over each (hash, salt) run (the window keeps one run, and spills it if it is long): rows of a later
    document than the run's first are dropped. The salt comes from the document, so a line
    that a third of all documents hold is spread over ``salts`` runs.
 2. What is left, at most ``salts`` documents of each hash, goes through the same pass by hash alone.
 
+The salts grow with the square root of the number of documents, so neither pass has a run of more documents than about that.
+
 The dropped positions become one bitmap a document: (word index, 64 bits) for the words with a
 dropped line, sorted; an absent word keeps all its lines. ``apply_bitmaps`` joins them with the texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.llm.common import NULL_ID, as_table, ascii_lower, fresh
@@ -23,7 +27,7 @@ from daygrain.llm.common import NULL_ID, as_table, ascii_lower, fresh
 #: Stripped at both ends of a line (fixed values): space and U+0009 to U+000D.
 BLANK = " \t\n\x0b\f\r"
 MIN_CHARS = 10
-SALTS = 32
+LEAST_SALTS = 32
 
 
 def lines_of(text: Column) -> Column:
@@ -48,7 +52,7 @@ def _later_than_first(rows: DataFrame, *run: str) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+                 min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """(doc, text_hash, dropped) for each document that loses lines.
 
     ``dropped`` is an array of (word, bits): bit ``p % 64`` of word ``p // 64`` is set if line
@@ -56,6 +60,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document for the decision and keep a bitmap for each distinct text. An empty table gives no rows.
     """
     doc, text_hash = _row_key(docs, id_col, text_col)
+    salts = salts or max(LEAST_SALTS, math.isqrt(docs.count()))
     keys = docs.select(doc.alias("doc"), text_hash.alias("text_hash"),
                        F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
     rows = as_table(keys.where(F.length("key") >= min_chars).select(
@@ -102,7 +107,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+                min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept``.
 
     Keys of at least ``min_chars`` code points that two or more documents hold lose all their

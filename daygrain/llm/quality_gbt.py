@@ -161,7 +161,7 @@ def statistics_column(text: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           fit_rows: int = FIT_ROWS) -> Forest:
-    """Fits on at most ``fit_rows`` labelled documents, those of smallest hashed id.
+    """Fits on at most ``fit_rows`` labelled rows, those of smallest hashed id; where ids repeat, so many rows of them.
 
     Rows with a null id, label or another label than 0 and 1 teach nothing. The ids, labels and statistics
     of these rows are all that is collected (bounded by ``fit_rows``).
@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = (texts.join(F.broadcast(chosen), "id").select("id", "label", statistics_column(F.col("text")).alias("x"))
-            .orderBy("id", "label", F.hash("x")).limit(2 * fit_rows).collect())
+            .orderBy(F.xxhash64("id"), "id", "label", F.hash("x")).limit(fit_rows).collect())
+    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit_forest(x, np.array([r["label"] for r in rows], float))
 

@@ -1,13 +1,14 @@
 """WARC records in seekable Zstandard bundles.
 
-Rows are dealt to tasks by a range of their id. A task streams its rows into bundles: a bundle is a
+A task streams its rows into bundles: a bundle is a
 file of independent Zstandard frames, each of whole WARC records, closed by a skippable frame
 with the seek table of the seekable format (compressed and plain size of each frame). The index has,
 for each record, the bundle, the frame's offset and the record's place within the plain frame, so one
 record is read with one seek and one frame.
 
 A payload that several rows share is stored once: the smallest id is the response, later ids are
-revisit records that refer to it. Only digests meet in the shuffle that finds them. Bundles get a
+revisit records that refer to it. Only digests meet in the shuffle that finds them; the join that tells each row whether it is one
+moves the payloads once, unless Spark broadcasts the revisits. Bundles get a
 new name on every attempt and the index, which Spark commits, names the files that count:
 a lost task leaves a file that nothing refers to.
 """
