@@ -237,23 +237,28 @@ def _best_of_chunk(k: int):
             rows = rows.sort_values("vec_id", kind="stable")
             ids, x = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float)
             asked, v = queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(float)
-            for at in range(0, len(v), 256):
-                out += [_nearest(q, w, d, ids, x, k) for q, w, d in zip(asked[at:at + 256].tolist(), v[at:at + 256], _squared(v[at:at + 256], x))]
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            out = [_nearest(asked[at:at + 256], v[at:at + 256], ids, x, k) for at in range(0, len(v), 256)]
+        query, vec, score = (np.concatenate(c) for c in zip(*out)) if out else ([], [], [])
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
     return run
 
 
-def _nearest(query_id: int, v: np.ndarray, squared: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of other ids, exact: ``squared`` from a matrix product only tells which rows may be among them."""
-    squared[ids == query_id] = np.inf
-    near = np.flatnonzero(np.isfinite(squared))
-    if len(near) > k:
+def _nearest(asked: np.ndarray, v: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's k nearest rows of other ids, exact; a matrix product only tells which rows may be among them."""
+    squared = _squared(v, x)
+    squared[asked[:, None] == ids] = np.inf
+    most = np.full(len(v), np.finfo(float).max)
+    if len(ids) > k:
         # the product's error grows with the vectors' squared length
-        slack = 1e-9 * (float(v @ v) + float((x[near] * x[near]).sum(axis=1).max()))
-        near = near[squared[near] <= np.partition(squared[near], k - 1)[k - 1] + slack]
-    d = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
-    best = np.argsort(d, kind="stable")[:k]
-    return pd.DataFrame({"query_id": query_id, "vec_id": ids[near[best]], "score": d[best]})
+        slack = 1e-9 * ((v * v).sum(axis=1) + (x * x).sum(axis=1).max())
+        most = np.minimum(most, np.partition(squared, k - 1, axis=1)[:, k - 1] + slack)
+    query, row = np.nonzero(squared <= most[:, None])
+    d = np.sqrt(((x[row] - v[query]) ** 2).sum(axis=1))
+    order = np.lexsort((row, d, query))  # the rows come by id
+    query, row, d = query[order], row[order], d[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
+    best = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)])) < k
+    return asked[query[best]], ids[row[best]], d[best]
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS,
