@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrain.constants import N_SPLITS, SEED
 from daygrain.functions.ranks import bucketed_row_number
+from daygrain.operators.ranges import running_sums
 
 HASH_BUCKET_CHARS = 3   # 4096 sub-buckets per (target, class)
 
@@ -48,6 +49,22 @@ def stratified_folds(labels: DataFrame, n_splits: int = N_SPLITS, seed: int = SE
                             (F.pmod(F.col("_rn") - 1 + F.col("_off"), F.col("_k")) + 1).cast("int").alias("fold")))
 
 
+def ordered_folds(labels: DataFrame, n_splits: int = N_SPLITS, order: str = "ord", key: str = "key", target: str = "target", y: str = "y",
+                  ranges: int | None = None) -> DataFrame:
+    """(target, key, y, ord, fold): folds 1..k of about equal size in the order of time, for training on earlier folds alone."""
+    lab = labels.where(F.col(y).isNotNull()).select(target, key, y, F.col(order).alias("ord")).withColumn("one", F.lit(1))
+    numbered = running_sums(lab, [target], ["ord", key], ["one"], ranges)
+    sizes = lab.groupBy(target).agg(F.count("*").alias("_n"))  # one row a target
+    return numbered.join(F.broadcast(sizes), target).select(
+        target, key, y, "ord", (F.floor((F.col("one_upto") - 1) * n_splits / F.col("_n")) + 1).cast("int").alias("fold"))
+
+
+def fold_history(folds: DataFrame, gap=0, target: str = "target") -> DataFrame:
+    """C6 in time: for every fold vf, the rows whose position is below the fold's first by more than ``gap``."""
+    first = folds.groupBy(target, F.col("fold").alias("vf")).agg(F.min("ord").alias("_first"))  # targets x folds rows
+    return folds.join(F.broadcast(first), target).where(F.col("ord") < F.col("_first") - F.lit(gap)).drop("_first")
+
+
 def fold_table(folds: DataFrame, target: str = "target") -> DataFrame:
     """Distinct (target, fold) pairs: at most targets x 10 rows."""
     return folds.select(target, F.col("fold").alias("vf")).distinct()

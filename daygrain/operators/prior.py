@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from daygrain.constants import (DEFAULT_RECENT_WEIGHT, RECENT_DAYS, RECENT_SMOOTHING, SUBJECT_SMOOTHING,
                                 TARGET_PRIOR_SETTINGS)
 from daygrain.functions.exprs import clip_proba, dlit
+from daygrain.operators import ranges as rg
 from daygrain.session import materialize
 
 
@@ -158,6 +159,38 @@ def prior_predict(labels: DataFrame, settings, **kw) -> DataFrame:
     return comp.join(F.broadcast(_settings_df(settings, labels.sparkSession)), "target").select("target", "key", prior_value().alias("prior"))
 
 
+# --- as of a day ---------------------------------------------------------------------------
+def _history(rows: DataFrame, group: list[str], gap, ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """As-of merge by prefix sums: (queries with n and s of the group's labels before ord - gap, labels with their number and sum so far)."""
+    label = rows.select("target", "subject_id", "key", F.col("ord").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n"), F.col("y").cast("long").alias("s"))
+    # a query stands before the labels of its own position
+    query = rows.select("target", "subject_id", "key", (F.col("ord") - F.lit(gap)).alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"))
+    merged = rg.running_sums(label.unionByName(query), group, ["at", "kind", "key"], ["n", "s"], ranges)
+    sums = [F.col("n_upto").alias("n"), F.col("s_upto").alias("s")]
+    return merged.where("kind = 0").select("target", "key", "subject_id", *sums), merged.where("kind = 1").select(*group, *sums)
+
+
+def prior_as_of(labels: DataFrame, settings, gap=0, subject: str = "subject_id", ord_col: str = "ord", ranges: int | None = None) -> DataFrame:
+    """(target, key, hist_n, rec_n, prior) of every labelled row from labels strictly before it: those with ord < ord - gap.
+
+    The global mean, the subject's history and its last N labels are all as of that position (0.5 before any label), so no
+    label of the same or a later position reaches a prior. Sums come from ranges of (target, subject, position); a tail
+    is the difference of two prefix sums, N labels apart. ``ord`` must be a number and (ord, key) unique in a target.
+    """
+    settings = _settings_df(settings, labels.sparkSession)
+    rows = materialize(labels.where(F.col("split") == "train").where("y is not null").select(
+        "target", F.col(subject).alias("subject_id"), "key", F.col(ord_col).alias("ord"), "y"), as_table=True)
+    every, _ = _history(rows, ["target"], gap, ranges)
+    own, sums = _history(rows, ["target", "subject_id"], gap, ranges)
+    own = own.join(F.broadcast(settings), "target").withColumn("from_n", F.col("n") - F.col("recent_days"))
+    start = sums.select(F.col("target").alias("_t"), F.col("subject_id").alias("_s"), F.col("n").alias("_n"), F.col("s").alias("start_s"))
+    tail = own.join(start, (F.col("target") == F.col("_t")) & F.col("subject_id").eqNullSafe(F.col("_s")) & (F.col("from_n") == F.col("_n")), "left")
+    mu = every.select("target", "key", F.when(F.col("n") > 0, F.col("s").cast("double") / F.col("n")).otherwise(dlit(0.5)).alias("mu"))
+    comp = tail.join(mu, ["target", "key"]).withColumns({
+        "hist_n": F.col("n"), "hist_s": F.col("s"), "rec_n": F.least("n", "recent_days"), "rec_s": F.col("s") - F.coalesce("start_s", F.lit(0))})
+    return comp.select("target", "key", F.col("hist_n").cast("long").alias("hist_n"), F.col("rec_n").cast("long").alias("rec_n"), prior_value().alias("prior"))
+
+
 # --- D16 / D17 / C3 on their own ---------------------------------------------------------
 def subject_prior(labels: DataFrame, smoothing: float = SUBJECT_SMOOTHING, subject: str = "subject_id") -> DataFrame:
     """(target, subject, global mean, smoothed subject mean) over all training rows."""

@@ -57,6 +57,23 @@ def offsets(table: DataFrame, group: list[str], first: str | None = None) -> Dat
                         *([F.min("_first").over(Window.partitionBy(*group)).alias("_first")] if first else []))
 
 
+def running_sums(df: DataFrame, group: list[str], order: list[str], values: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``<value>_upto``: the sums over the group's rows up to and with this one, by ``order``."""
+    table = in_ranges(df, group, order, ranges)
+    # of the groups that go on from range to range, each range's sums: at most two rows a range
+    parts = _only(table, _open_groups(table, group).select(*group).distinct()).groupBy(RANGE, *group).agg(*[F.sum(v).alias(v) for v in values])
+    w = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col(RANGE).alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in group],
+                          *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_before_{v}") for v in values])
+    on = F.col(RANGE) == F.col("_of")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    own = Window.partitionBy(RANGE, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = table.withColumns({f"{v}_upto": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values}).join(F.broadcast(before), on, "left")
+    return out.withColumns({f"{v}_upto": F.col(f"{v}_upto") + F.coalesce(f"_before_{v}", F.lit(0)) for v in values}).drop(
+        RANGE, "_of", *[f"_of_{c}" for c in group], *[f"_before_{v}" for v in values])
+
+
 def global_rank(df: DataFrame, order: list[str], out: str = "idx", ranges: int | None = None) -> DataFrame:
     """``df`` with its 0-based position by ``order``, numbered inside ranges."""
     table = in_ranges(df, [], order, ranges)

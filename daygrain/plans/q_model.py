@@ -39,8 +39,8 @@ def _oof_preds(spark, sf_dir):
                        .select("target", "key", "y", "model", "pred"))
 
 
-def _tuned(spark, sf_dir):
-    lab = _labels(spark, sf_dir)
+def _tuned(spark, sf_dir, lab=None):
+    lab = lab if lab is not None else _labels(spark, sf_dir)
     prior = pr.prior_oof(lab, fo.stratified_folds(lab, N_SPLITS, SEED), _settings(spark)).drop("fold")
     return ens.tune(spark, _oof_preds(spark, sf_dir), prior)
 
@@ -256,6 +256,41 @@ def prior_predict_per_target(spark, sf_dir):
     return pr.prior_predict(_labels(spark, sf_dir), pr.prior_settings(spark, TARGETS, target_settings=PER_TARGET))
 
 
+# --- C6 / G9 in the order of time ---------------------------------------------------------------
+GAP = 3
+
+
+def _as_of_sql() -> str:
+    return CHAIN + f""",
+until AS (SELECT v.target, v.key, count(h.key) AS hist_n, coalesce(sum(h.y), 0) AS hist_s
+         FROM tr v LEFT JOIN tr h ON h.target = v.target AND h.subject_id = v.subject_id AND h.ord < v.ord - {GAP} GROUP BY v.target, v.key),
+asof_mu AS (SELECT v.target, v.key, coalesce(avg(CAST(h.y AS DOUBLE)), 0.5::DOUBLE) AS mu
+            FROM tr v LEFT JOIN tr h ON h.target = v.target AND h.ord < v.ord - {GAP} GROUP BY v.target, v.key),
+asof_tail AS (SELECT target, key, sum(y) AS rec_s, count(*) AS rec_n FROM (
+                SELECT v.target, v.key, h.y, row_number() OVER (PARTITION BY v.target, v.key ORDER BY h.ord DESC, h.key DESC) AS rn
+                FROM tr v JOIN tr h ON h.target = v.target AND h.subject_id = v.subject_id AND h.ord < v.ord - {GAP})
+              WHERE rn <= {N_REC} GROUP BY target, key),
+prior_as_of AS (SELECT a.target, a.key, CAST(hist_n AS BIGINT) AS hist_n, CAST(coalesce(rec_n, 0) AS BIGINT) AS rec_n, {_prior_formula(S_SM, R_SM, W_DEF)} AS prior
+                FROM until a JOIN asof_mu USING (target, key) LEFT JOIN asof_tail USING (target, key)),
+in_time AS (SELECT target, key, y, ord, CAST(floor((row_number() OVER (PARTITION BY target ORDER BY ord, key) - 1) * {N_SPLITS} / count(*) OVER (PARTITION BY target)) + 1
+                   AS INTEGER) AS fold FROM tr),
+firsts AS (SELECT target, fold AS vf, min(ord) AS first_ord FROM in_time GROUP BY target, fold)"""
+
+
+@register("prior_as_of", S.rounded(S.with_views(_as_of_sql(), "SELECT target, key, hist_n, rec_n, prior FROM prior_as_of"), ["target", "key", "hist_n", "rec_n"]))
+def prior_as_of(spark, sf_dir):
+    """G9 as of each row: only labels more than three positions before it, by prefix sums over ranges."""
+    return pr.prior_as_of(_labels(spark, sf_dir), _settings(spark), gap=GAP)
+
+
+@register("fold_history", S.with_views(_as_of_sql(), f"""SELECT t.target, t.key, t.y, t.ord, t.fold, f.vf
+FROM in_time t JOIN firsts f ON t.target = f.target AND t.ord < f.first_ord - {GAP}"""))
+def fold_history(spark, sf_dir):
+    """C6 in time: the training rows of every fold of ordered folds, with a gap of three positions."""
+    folds = materialize(fo.ordered_folds(_labels(spark, sf_dir).where("split = 'train'")), as_table=True)
+    return fo.fold_history(folds, GAP).select("target", "key", "y", "ord", "fold", "vf")
+
+
 # --- D18 / G5 / D21 -------------------------------------------------------------------------------
 @register("logloss", _q("SELECT target, model, score AS logloss FROM scores", ["target", "model"]))
 def logloss(spark, sf_dir):
@@ -309,10 +344,11 @@ def calibrated(spark, sf_dir):
                             ["target", "key"]))
 def final_blend(spark, sf_dir):
     """Prediction rows blended with CV weights and alpha, plus prior and calibration."""
-    t = _tuned(spark, sf_dir)
+    lab = _labels(spark, sf_dir)
+    t = _tuned(spark, sf_dir, lab)
     preds = views.model_predictions(spark, sf_dir).where(F.col("split") == "predict") \
                  .select("target", "key", "model", "pred")
-    prior = pr.prior_predict(_labels(spark, sf_dir), _settings(spark))
+    prior = pr.prior_predict(lab, _settings(spark))
     out = ens.final_blend(preds, prior, t["weights"], t["alphas"], t["calibration"])
     return out.select("target", "key", "model_pred", "prior", "final_pred", "calibrated")
 
