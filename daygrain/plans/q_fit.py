@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from daygrain.operators import train
 from daygrain.plans.registry import register
 from daygrain.plans.run import full_run
+from daygrain.session import scratch_path
+from daygrain.sources import files
 
 _RUNS: dict = {}
 
@@ -54,3 +57,14 @@ def model_report(spark, sf_dir):
     return run["report"].select("target", "oof_logloss", "model_only_logloss", "prior_only_logloss", "model_alpha",
                       F.col("postprocess.method").alias("method"), F.col("postprocess.value").alias("value"),
                       "n_rows", F.lit(len(run["features"])).alias("n_features"), "average_logloss")
+
+
+@register("scored_without_refit")
+def scored_without_refit(spark, sf_dir):
+    """The prediction rows scored from the saved bundle of the run's refits, without a fit; equal to ``refit_predictions``."""
+    run = _run(spark, sf_dir)
+    if "bundle" not in run:
+        run["bundle"] = scratch_path(spark, "bundle")
+        files.save_bundle(run["bundle"], run, {})
+    rows = run["labels"].where("split = 'predict'").select("target", "key")
+    return train.score_saved(spark, run["bundle"], run["matrix"].join(rows.select("key").distinct(), "key", "left_semi")).join(rows, ["target", "key"])

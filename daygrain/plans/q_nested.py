@@ -6,6 +6,7 @@ from daygrain.operators import nested
 from daygrain.plans import views_sql as S
 from daygrain.plans.registry import register
 from daygrain.sources import views
+from daygrain.sources.tables import read_table
 
 GK = ["subject_id", "bucket"]
 NKEYS = views.NESTED_KEYS
@@ -112,6 +113,15 @@ def array_row_stats(spark, sf_dir):
     return nested.array_row_stats(views.sensor_array(spark, sf_dir), "readings", ["row_id"])
 
 
+@register("vector_row_stats", S.rounded(S.with_views("""sensor_array AS (
+  SELECT 0 AS subject_id, 0 AS bucket, vec_id AS row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS readings FROM embeddings)""",
+    "SELECT * EXCLUDE (subject_id, bucket) FROM (" + _hr_rows_sql() + ")"), ["row_id"]))
+def vector_row_stats(spark, sf_dir):
+    """D8 on vectors: n, sum, mean, pop std, min, max, median of each embedding's components."""
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return nested.array_row_stats(vectors.withColumnRenamed("vec_id", "row_id"), "embedding", ["row_id"])
+
+
 def _d9_sql() -> str:
     body = (f"SELECT subject_id, bucket, {', '.join(_agg_sql(D9_STATS, 'w_hr'))}, "
             f"CASE WHEN sum(hr_n) <> 0 THEN sum(hr_sum) / sum(hr_n) END AS w_hr_daily_mean "

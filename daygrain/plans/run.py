@@ -13,7 +13,7 @@ from daygrain.constants import MODEL_BLEND_POWER, N_SPLITS, QUICK_N_SPLITS, SEED
 from daygrain.operators import ensemble as ens, folds as fo, matrix as mx, prior as pr, train
 from daygrain.plans.features import cached_document_features
 from daygrain.session import materialize
-from daygrain.sources import views
+from daygrain.sources import files, views
 
 
 def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = None, n_splits: int | None = None,
@@ -64,3 +64,16 @@ def full_run(spark: SparkSession, sf_dir: str, *, models: list[str] | None = Non
     final = ens.final_blend(pred_rows, prior_p, weights, alphas, cal)
     out.update({"refit": preds, "importance": fits["importance"], "final": final, "weights": weights, "models": fits["models"]})
     return out
+
+
+def publish(run: dict, base: str, single_file: bool = False) -> tuple[str, int]:
+    """The final predictions as the next version (one row a key, one column a target), and beside the versions the
+    out-of-fold rows, the importance and the report. Returns the version's path and number; concurrent runs get versions of their own."""
+    targets = [r[0] for r in run["final"].select("target").distinct().orderBy("target").collect()]
+    wide = run["final"].groupBy("key").pivot("target", targets).agg(F.first("calibrated"))
+    path, n = files.write_versioned(wide, f"{base.rstrip('/')}/predictions")
+    files.write_csv(run["importance"], f"{base.rstrip('/')}/reports/version={n}/importance", single_file)
+    if "oof" in run:
+        files.write_csv(run["oof"].select("target", "key", "fold", "model", "pred", "y"), f"{base.rstrip('/')}/reports/version={n}/oof", single_file)
+        files.write_json(run["report"], f"{base.rstrip('/')}/reports/version={n}/cv_results", single_file=True)
+    return path, n

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -87,13 +88,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
 
 
-def materialize(df, as_table: bool = False):
+#: Tables written by ``materialize`` and not yet removed, in order.
+_WRITTEN: list[str] = []
+
+
+def materialize(df, as_table: bool = True):
     """Cut the lineage of a reused intermediate table in the shared checkpoint folder.
 
-    Default: a reliable ``checkpoint()`` (cheapest for the many small jobs of model
-    fits that re-read it). ``as_table=True`` writes parquet there and reads it back,
-    the better choice for wide or nested tables (columnar, compressed). Either way a
-    lost executor re-reads files instead of recomputing from the sources.
+    The table is written there as parquet and read back, so a lost executor re-reads files instead of recomputing from
+    the sources; ``scratch`` removes it. ``as_table=False`` makes a reliable ``checkpoint()``, which Spark's own cleaner removes.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -101,4 +104,19 @@ def materialize(df, as_table: bool = False):
         return df.checkpoint(eager=True)
     path = scratch_path(spark, "tables")
     df.write.mode("error").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the intermediate tables that were written inside; what is still needed must be written elsewhere before."""
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _WRITTEN[start:]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        del _WRITTEN[start:]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from daygrain.constants import SEARCH_SPACE
 from daygrain.operators import train
-from daygrain.plans.run import full_run
+from daygrain.plans.run import full_run, publish
+from daygrain import session
+from daygrain.plans import search as search_plan
 from daygrain.plans.search import fit_config, search
 from daygrain.sources import files
 
@@ -41,6 +43,11 @@ def test_cv_run_and_bundle(spark, tmpdir_path):
     assert both.count() == run["refit"].count() > 0
     assert both.where(F.abs(F.col("pred") - F.col("again")) > 1e-9).count() == 0
     rep = run["report"].collect()
+    base = os.path.join(tmpdir_path, "out")
+    assert [publish(run, base)[1] for _ in range(2)] == [1, 2]
+    sent = files.read_csv(spark, files.latest_version(spark, f"{base}/predictions"), "key long, quality double, toxic double")
+    both = sent.unpivot(["key"], ["quality", "toxic"], "target", "p").join(run["final"], ["target", "key"])
+    assert both.count() == n_pred and both.where(F.abs(F.col("p") - F.col("calibrated")) > 1e-12).count() == 0
     assert abs(rep[0]["average_logloss"] - sum(r["oof_logloss"] for r in rep) / len(rep)) < 1e-12
 
 
@@ -54,6 +61,7 @@ def test_fit_free_mode(spark):
 def test_search_loop(spark, tmpdir_path):
     space = [s for s in SEARCH_SPACE if not s[0].startswith("training.models")]
     hist, best = os.path.join(tmpdir_path, "hist"), os.path.join(tmpdir_path, "best")
+    before = list(session._WRITTEN)
     out = search(spark, SF_SMALL, 3, hist, best, space=space, models=["logistic"], workers=2)
     ids = [r["trial_id"] for r in out["records"]]
     assert ids == [1, 2, 3] and out["records"][0]["param_overrides"] == {}
@@ -61,10 +69,28 @@ def test_search_loop(spark, tmpdir_path):
     h = files.load_history(spark, hist)
     assert h.count() == 3
     assert files.load_best(spark, best)[1] == min(r["logloss"] for r in out["records"])
+    assert session._WRITTEN[len(before):] == []
     out2 = search(spark, SF_SMALL, 1, hist, best, space=space, models=["logistic"], workers=2)
     assert out2["records"][0]["trial_id"] == 4
 
 
+def test_each_trial_follows_the_incumbent_and_shares_fits(spark, tmpdir_path, monkeypatch):
+    """The second trial perturbs what the first one left; trials of one fit configuration are fitted once."""
+    fits, drawn = [], []
+    real, trials = search_plan._fit, search_plan.sw.trials
+    monkeypatch.setattr(search_plan, "_fit", lambda *a: fits.append(a[2]) or real(*a))
+    monkeypatch.setattr(search_plan.sw, "trials", lambda *a, **k: drawn.append(k["incumbent"]) or trials(*a, **k))
+    space = [s for s in SEARCH_SPACE if not s[0].startswith("training.models") and s[0] != "training.n_splits"]
+    out = search(spark, SF_SMALL, 3, os.path.join(tmpdir_path, "h"), os.path.join(tmpdir_path, "b"), space=space, models=["logistic"], workers=2)
+    assert len(fits) == 1 and len(drawn) == 3
+    best = (None, math.inf)
+    for r, incumbent in zip(out["records"], drawn):
+        assert incumbent == best[0]
+        if r["logloss"] < best[1]:
+            best = (r["param_overrides"], r["logloss"])
+    assert all(math.isfinite(r["logloss"]) for r in out["records"])
+
+
 def test_fit_config_groups_trials():
     a = fit_config({"training.model_blend_power": 3.0})
     b = fit_config({"training.prior.subject_smoothing": 5.0})
