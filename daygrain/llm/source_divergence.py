@@ -26,7 +26,7 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 SMOOTHING = 5
 UNIT = 10**9
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 BLOCK_TERMS = 2048
 CHUNK_SOURCES = 256
 BLOCK_CELLS = 1 << 21
