@@ -38,24 +38,24 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # --- A3 -------------------------------------------------------------------------------
-def create_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small file unless it exists; of several writers at once one gets True."""
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file unless it exists; of several writers at once one gets True.
+
+    Distributed file systems create without overwriting in one step; on a local one the Java call that does so is used.
+    """
     fs, p = _fs(spark, path)
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(p.getParent())
+        return bool(spark.sparkContext._jvm.java.io.File(p.toUri().getPath()).createNewFile())
     try:
-        out = fs.create(p, False)
+        fs.create(p, False).close()
     except Py4JJavaError:
         if fs.exists(p):
             return False
         raise
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
     return True
 
 
-def read_small(spark: SparkSession, path: str) -> str:
-    return "\n".join(r["value"] for r in spark.read.text(path).collect())
-
-
 def fingerprint(spark: SparkSession, name: str, inputs: list[str], **params) -> str:
     """A digest of a plan's name and parameters and of its input files' paths, sizes and times."""
     files = []
@@ -68,23 +68,32 @@ def fingerprint(spark: SparkSession, name: str, inputs: list[str], **params) ->
     return hashlib.sha256(json.dumps([name, params, sorted(files)], sort_keys=True, default=str).encode()).hexdigest()[:32]
 
 
+def _built(spark: SparkSession, key: str) -> list[str]:
+    """The finished tables of a key, the one that was finished first in front."""
+    if not exists(spark, key):
+        return []
+    fs, p = _fs(spark, key)
+    marks = [(st.getModificationTime(), st.getPath().getName()) for st in fs.listStatus(p)]
+    return [n.removeprefix("ready-") for _, n in sorted(marks) if n.startswith("ready-")]
+
+
 def cached_table(spark: SparkSession, base: str, name: str, inputs: list[str], build: Callable[[], DataFrame], force: bool = False, **params) -> DataFrame:
     """Read-through cache by content: the table built from the same plan, parameters and input files, or a new one.
 
-    Changed inputs have another key, so a stale table is never read. Data are written first, into a folder of their own, and a
-    manifest names that folder last: a build that is cut short is not seen, and of several builders at once the first one's
-    table is read by all. ``force`` builds anew and replaces the manifest.
+    Changed inputs have another key, so a stale table is never read. Data are written first, into a folder of their own, and an empty
+    file that names the folder is made last: a build that is cut short is not seen, and of several builders at once the table that
+    was finished first is read from then on. ``force`` builds anew and drops the marks of earlier tables.
     """
     key = f"{base.rstrip('/')}/{name}-{fingerprint(spark, name, inputs, **params)}"
-    manifest = f"{key}/MANIFEST"
-    if force or not exists(spark, manifest):
-        data = f"{key}/data-{uuid.uuid4().hex}"
-        build().write.parquet(data)
-        if force and exists(spark, manifest):
-            fs, p = _fs(spark, manifest)
+    before = _built(spark, key)
+    if force or not before:
+        own = uuid.uuid4().hex
+        build().write.parquet(f"{key}/data-{own}")
+        for old in before if force else ():
+            fs, p = _fs(spark, f"{key}/ready-{old}")
             fs.delete(p, False)
-        create_new(spark, manifest, data)
-    return spark.read.parquet(read_small(spark, manifest))
+        create_new(spark, f"{key}/ready-{own}")
+    return spark.read.parquet(f"{key}/data-{_built(spark, key)[0]}")
 
 
 # --- A4 / A5 ---------------------------------------------------------------------------
@@ -163,7 +172,7 @@ def claim_version(spark: SparkSession, base: str) -> int:
     """The next number that no other writer has: its claim is a file that only one of them can create."""
     claims = f"{base.rstrip('/')}/_claims"
     n = max([0, *_numbered(spark, claims, r"(\d+)"), *_numbered(spark, base, r"version=(\d+)")]) + 1
-    while not create_new(spark, f"{claims}/{n}", ""):
+    while not create_new(spark, f"{claims}/{n}"):
         n += 1
     return n
 
