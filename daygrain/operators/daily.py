@@ -49,24 +49,30 @@ def daily_stat_exprs(value: str, prefix: str, median: str = "exact") -> list[Col
     ]
 
 
-def daily_stats_table(df: DataFrame, sensors: list[tuple[str, str, Column | None]], keys: list[str] = DAY_KEYS, extra: list[Column] = ()) -> DataFrame:
-    """D1 of several sensors of one table: (value column, prefix, condition of its readings or None), with exact medians.
-
-    One aggregate, written once; its buffers are of bounded size whatever a day's number of readings (``medians``), and only days
-    of more than ``HOT_ROWS`` readings are looked at again. A day without any reading of a sensor has null statistics.
-    """
-    aggs, values, names = list(extra), {}, []
+def daily_stats_aggregate(df: DataFrame, sensors: list[tuple[str, str, Column | None]], keys: list[str] = DAY_KEYS, extra: list[Column] = ()):
+    """(aggregate, medians to add): D1 of all sensors in one grouped pass over ``df``, with a sketch for each median."""
+    aggs, values = list(extra), {}
     for i, (value, prefix, condition) in enumerate(sensors):
         v = F.col(value).cast("double")
         v = v if condition is None else F.when(condition, v)
         name = f"{prefix}_{value}"
-        there = (lambda c, of=condition: c) if condition is None else (lambda c, of=condition: F.when(F.count_if(of) > 0, c))
+        there = (lambda c: c) if condition is None else (lambda c, of=condition: F.when(F.count_if(of) > 0, c))
         aggs += [there(F.count(v)).alias(f"{name}_count"), F.avg(v).alias(f"{name}_mean"), F.stddev_samp(v).alias(f"{name}_std"),
                  F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), sketch(v).alias(f"_q{i}"),
                  there(F.coalesce(F.sum(v), dlit(0.0))).alias(f"{name}_sum")]
         values[f"{name}_median"] = (v, f"{name}_count", f"_q{i}")
-        names += [f"{name}_{s}" for s in ("count", "mean", "std", "min", "max", "median", "sum")]
-    stats = materialize(df.groupBy(*keys).agg(*aggs), as_table=True)
+    return df.groupBy(*keys).agg(*aggs), values
+
+
+def daily_stats_table(df: DataFrame, sensors: list[tuple[str, str, Column | None]], keys: list[str] = DAY_KEYS, extra: list[Column] = ()) -> DataFrame:
+    """D1 of several sensors of one table: (value column, prefix, condition of its readings or None), with exact medians.
+
+    One aggregate, written once; its buffers are of bounded size whatever a day's number of readings (``medians``), and only days
+    of more than ``HOT_ROWS`` readings are looked at again. A day without any reading of a sensor has null statistics.
+    """
+    whole, values = daily_stats_aggregate(df, sensors, keys, extra)
+    stats = materialize(whole, as_table=True)
+    names = [f"{p}_{v}_{s}" for v, p, _ in sensors for s in ("count", "mean", "std", "min", "max", "median", "sum")]
     others = [c for c in stats.columns if c not in names and c not in keys and not c.startswith("_q")]
     return add_medians(stats, df, list(keys), values).select(*keys, *names, *others)
 

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from daygrain.operators import daily, folds as fo
@@ -13,15 +15,22 @@ def _plan(df) -> str:
 
 
 def test_daily_stats_partial_aggregation_and_pruned_scan(spark):
-    plan = _plan(E.queries()["daily_stats"](spark, SF_SMALL))
-    assert "partial_count" in plan and "partial_stddev_samp" in plan
-    scan = [l for l in plan.split("\n") if "FileScan parquet" in l][0]
-    assert "event_type" not in scan and "event_id" not in scan     # projection reached the reader
-
-
-def test_sparse_sensor_filter_pushed_to_scan(spark):
-    plan = _plan(E.queries()["spine_join"](spark, SF_SMALL))
-    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,error\)", plan)
+    """Both sensors' statistics come from one scan and one partially aggregated pass; queries read what it wrote."""
+    v1 = daily.with_date_keys(views.sensor_scalar(spark, SF_SMALL))
+    sensors = [("value", "v1", None), ("value", "v1err", F.col("category") == "error")]
+    plan = _plan(daily.daily_stats_aggregate(v1, sensors)[0])
+    assert "partial_count" in plan and "partial_stddev_samp" in plan and "partial_percentile_approx" in plan
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
+    assert len(scans) == 1 and "event_id" not in scans[0]     # projection reached the reader
+    only = [line for line in _plan(daily.daily_stats_aggregate(v1, sensors[:1])[0]).split("\n") if "FileScan parquet" in line]
+    assert len(only) == 1 and "event_type" not in only[0]
+    for name in ("daily_stats", "spine_join", "relative_features"):
+        assert "events.parquet" not in _plan(E.queries()[name](spark, SF_SMALL))
+
+
+def test_searches_multiply_no_rows_by_a_grid(spark):
+    for name in ("alpha_search", "calibration_search", "oof_sweep"):
+        assert not re.search("BroadcastNestedLoopJoin|CartesianProduct", _plan(E.queries()[name](spark, SF_SMALL))), name
 
 
 def test_recent_tail_is_limited_before_the_shuffle(spark):
