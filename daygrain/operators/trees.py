@@ -325,8 +325,10 @@ def random_cuts(names: np.ndarray, low: np.ndarray, high: np.ndarray, layout: La
     last = max(1, int(share * n)) - 1
     chosen = varies & (order <= np.partition(order, last, axis=1)[:, last:last + 1])
     u = uniform(np.broadcast_to(names[:, None], low.shape), 8, np.arange(n))
-    cuts = np.zeros(low.shape, np.int64)
+    cuts = low.copy()
     for f, values in enumerate(layout.values):
+        if len(values) < 3:
+            continue  # two values have one cut
         a, b = values[np.minimum(low[:, f], len(values) - 1)], values[np.minimum(high[:, f], len(values) - 1)]
         cuts[:, f] = np.searchsorted(values, a + u[:, f] * (b - a), side="right") - 1
     return chosen, np.clip(cuts, low, np.maximum(high - 1, low))
