@@ -291,3 +291,45 @@ def test_rows_without_labels_or_keys_in_the_matrix(spark):
                         profile_overrides={"xgboost": {"trees": 3}, "extra_trees": {"trees": 3}})
     pred = got["predictions"].collect()
     assert {r["pred"] for r in pred if r["target"] == "c"} == {0.5} and sum(r["target"] == "a" for r in pred) == 3 * 12
+
+
+def _coded(n=3000, seed=3):
+    """Readings, a transform of one, and the one-hot columns of a category."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2)).round(2)
+    kind = rng.integers(0, 9, n)
+    x = np.concatenate([x, np.exp(x[:, :1]), kind[:, None] == np.arange(9)], axis=1)
+    x[rng.random(n) < 0.1, 1] = np.nan
+    x = x.round(1)
+    return x, _layout(x), rng
+
+
+def test_bundled_histograms_are_those_of_each_feature():
+    """Dependent features are counted once, and the sums are the same whole numbers."""
+    x, layout, rng = _coded()
+    codes = layout.code(x)
+    bundles = tr.Bundles(codes, layout, limit=300)
+    assert len(bundles.parts) < 6  # 12 features
+    pair = [rng.integers(-2**40, 2**40, len(x)).astype(float), rng.integers(0, 2**40, len(x)).astype(float)]
+    flat = (codes + layout.offset).astype(np.int32)
+    for rows in (np.arange(len(x)), np.flatnonzero(rng.random(len(x)) < 0.3), np.zeros(0, np.int64)):
+        assert (bundles.histogram(rows, pair) == tr.histogram(flat, rows, pair, layout.size)).all()
+
+
+def test_leaves_of_a_random_tree_cost_no_look_at_their_features():
+    """Nodes of one class or of too few rows for two sides are leaves at once; the rows' values are those of their leaves."""
+    x, layout, rng = _coded()
+    x[np.isnan(x)] = 0.0
+    codes, y = layout.code(x), (rng.random(len(x)) < 0.4).astype(float)
+    drawn = tr.bootstrap(tr.mix(np.arange(len(x))), 1, 2)
+    columns, seen = tr.Columns(codes, layout), []
+
+    class Seen(tr.Columns):
+        def best_splits(self, rows, sizes, weights, total, *rest):
+            seen.append((sizes.min(), total[:, 1:].min(), len(rows) == sizes.sum()))
+            return columns.best_splits(rows, sizes, weights, total, *rest)
+    profile = {"min_rows": 4, "column_share": 0.65}
+    scored = np.flatnonzero(rng.random(len(x)) < 0.5)
+    tree, pred = tr.random_tree(Seen(codes, layout), y, drawn, scored, tr.root_name(1, 2), layout, profile, np.ones(2))
+    assert all(size >= 8 and least > 0 and whole for size, least, whole in seen)
+    assert (tree.leaf_values(x[scored]) == pred).all() and len(set(pred)) > 20
