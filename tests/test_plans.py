@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from daygrain.operators import daily, folds as fo
+from daygrain.operators import daily, folds as fo, matrix as mx
 from daygrain.sources import views
 
 
@@ -58,3 +58,12 @@ def test_list_sensors_read_only_their_fields(spark):
         assert "l_linenumber" in plan and "p_partkey" not in plan and "part.parquet" not in plan
         assert not any(c in plan for c in absent), name
     assert "p_brand" in _plan(E.queries()["daily_usage"](spark, SF_SMALL))
+
+
+def test_dense_one_hot_compares_no_row_with_the_vocabulary(spark):
+    """A row's array is filled around its value's place; neither the vocabulary nor a comparison an element is part of a row's work."""
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "c"), (5, "b")], "id int, v string")
+    out = mx.one_hot_array(df, "v", "hot")
+    plan = _plan(out)
+    assert "transform(" not in plan and "lambda" not in plan and "collect_set" not in plan and "NestedLoop" not in plan
+    assert {r["id"]: r["hot"] for r in out.collect()} == {1: [0.0, 1.0, 0.0], 2: [0.0, 0.0, 0.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 0.0, 1.0], 5: [0.0, 1.0, 0.0]}
