@@ -19,9 +19,14 @@ from daygrain.functions.exprs import col, dlit, finite
 
 def non_null_values(arr, field: str | None = None) -> Column:
     """Values of ``field`` (or the elements) cast to double, nulls and bad numbers dropped."""
-    a = F.coalesce(col(arr), F.array())
-    vals = F.transform(a, (lambda x: finite(x[field].try_cast("double"))) if field else (lambda x: finite(x.try_cast("double"))))
-    return F.filter(vals, lambda v: v.isNotNull())
+    vals = doubles(arr, field)
+    return F.coalesce(F.filter(vals, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.array().cast("array<double>"))
+
+
+def doubles(arr, field: str | None = None) -> Column:
+    """``field`` of all elements (or the elements) as doubles without a call for each element; what is no number is null."""
+    a = col(arr)
+    return (a[field] if field else a).try_cast("array<double>")
 
 
 def array_sum(vals) -> Column:
@@ -70,7 +75,7 @@ def add_list_key_stats(df: DataFrame, items, keys: list[str], prefix: str) -> tu
 def add_numeric_array_stats(df: DataFrame, arr, prefix: str = "hr") -> tuple[DataFrame, list[str]]:
     """N, sum, mean, population std, min, max, median; an empty list gives n = 0, sum = 0, rest null."""
     df = df.withColumn("_hv", non_null_values(arr))
-    df = df.withColumns({"_hn": F.size("_hv"), f"{prefix}_sum": array_sum("_hv"), "_hs": F.array_sort("_hv")})
+    df = df.withColumns({"_hn": F.size("_hv"), f"{prefix}_sum": array_sum("_hv"), "_hs": F.sort_array("_hv")})
     has = F.col("_hn") > 0
     df = df.withColumns({
         f"{prefix}_n": F.col("_hn").cast("double"),
@@ -88,10 +93,10 @@ def add_usage_stats(df: DataFrame, items, app_field: str = "app_name",
     """D10 per row: events, total time, max time (floor 0), distinct non-null apps; a bad time counts 0.0."""
     a = F.coalesce(col(items), F.array())
     df = df.withColumns({
-        "_ut": F.transform(a, lambda x: F.coalesce(finite(x[time_field].try_cast("double")), dlit(0.0))),
+        "_ut": F.transform(F.coalesce(doubles(items, time_field), F.array().cast("array<double>")), lambda v: F.coalesce(finite(v), dlit(0.0))),
         "usage_events": F.size(a).cast("double"),
-        "usage_unique_apps": F.size(F.array_distinct(F.filter(F.transform(a, lambda x: x[app_field].cast("string")),
-                                                              lambda v: v.isNotNull()))).cast("double"),
+        "usage_unique_apps": F.size(F.coalesce(F.array_distinct(F.filter(col(items)[app_field].cast("array<string>"), lambda v: v.isNotNull())),
+                                               F.array().cast("array<string>"))).cast("double"),
     })
     df = df.withColumns({
         "usage_total_time": array_sum("_ut"),
@@ -108,8 +113,8 @@ def add_label_distribution_stats(df: DataFrame, items, label_field: str = "label
     an empty list gives the label ``missing``.
     """
     a = F.coalesce(col(items), F.array())
-    df = df.withColumns({"_la": a, "_lp": F.transform(a, lambda x: F.coalesce(finite(x[prob_field].try_cast("double")),
-                                                                               dlit(0.0)))})
+    df = df.withColumns({"_la": a, "_lp": F.transform(F.coalesce(doubles(items, prob_field), F.array().cast("array<double>")),
+                                                     lambda v: F.coalesce(finite(v), dlit(0.0)))})
     df = df.withColumns({"_ln": F.size("_lp"), "ambience_prob_sum": array_sum("_lp"), "_lmax": F.array_max("_lp")})
     has = F.col("_ln") > 0
     tot = F.col("ambience_prob_sum")

@@ -15,6 +15,7 @@ from daygrain.constants import AMBIENCE_PLAN, HR_PLAN, MISSING_LABEL, ROW_OTHER_
     TOP_APPS, USAGE_PLAN
 from daygrain.functions import lists
 from daygrain.functions.exprs import dlit, safe_ratio, tokens
+from daygrain.session import materialize
 
 _AGG = {
     "sum": lambda c: F.coalesce(F.sum(c), dlit(0.0)),   # pandas: sum of all-missing is 0
@@ -73,8 +74,7 @@ def daily_nested_distinct(df: DataFrame, list_col: str, unique_key: str, keys: l
     group never holds more than its distinct values. ``approx`` switches to a
     fixed-size HyperLogLog++ sketch per group.
     """
-    ex = df.select(*keys, F.explode_outer(F.transform(F.coalesce(F.col(list_col), F.array()),
-                                                       lambda x: x[unique_key])).alias("_v"))
+    ex = df.select(*keys, F.explode_outer(F.col(list_col)[unique_key]).alias("_v"))
     cnt = F.approx_count_distinct("_v") if approx else F.count_distinct("_v")
     return ex.groupBy(*keys).agg(cnt.cast("long").alias(f"{prefix}_{unique_key}_nunique"))
 
@@ -105,11 +105,11 @@ def daily_usage(df: DataFrame, items: str, keys: list[str], prefix: str = "m_usa
     return usage_row_stats(df, items, keys).groupBy(*keys).agg(*agg_plan(USAGE_PLAN, prefix))
 
 
-def app_records(df: DataFrame, items: str, keys: list[str]) -> DataFrame:
+def app_records(df: DataFrame, items: str, keys: list[str], app_field: str = "app_name", time_field: str = "total_time") -> DataFrame:
     """(keys, app, time) for every item with a non-null app; a bad time counts 0.0."""
-    ex = df.select(*keys, F.explode(F.coalesce(F.col(items), F.array())).alias("_it"))
-    return (ex.select(*keys, F.col("_it.app_name").cast("string").alias("app"),
-                      F.coalesce(F.col("_it.total_time").try_cast("double"), dlit(0.0)).alias("time"))
+    ex = df.select(*keys, F.explode(F.col(items)).alias("_it"))
+    return (ex.select(*keys, F.col(f"_it.{app_field}").cast("string").alias("app"),
+                      F.coalesce(F.col(f"_it.{time_field}").try_cast("double"), dlit(0.0)).alias("time"))
               .where(F.col("app").isNotNull()))
 
 
@@ -134,9 +134,12 @@ def top_app_long(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_AP
 
 
 def top_app_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_APPS,
-                  prefix: str = "m_usage_app_time") -> DataFrame:
-    """D11 wide form: one 0-filled column per top app; groups without any top app are absent."""
-    rec = app_records(df, items, keys)
+                  prefix: str = "m_usage_app_time", app_field: str = "app_name", time_field: str = "total_time") -> DataFrame:
+    """D11 wide form: one 0-filled column per top app; groups without any top app are absent.
+
+    The items are read once: the top-N and the columns both come from the written totals of (group, app).
+    """
+    rec = materialize(app_records(df, items, keys, app_field, time_field).groupBy(*keys, "app").agg(F.sum("time").alias("time")))
     # the top-N is found once; its at most ``top_n`` values are the columns and the filter
     vocab = sorted(r[0] for r in top_values(rec, "app", F.col("time"), top_n).collect())
     wide = rec.where(F.col("app").isin(vocab)).groupBy(*keys).pivot("app", vocab).agg(F.sum("time"))
@@ -165,10 +168,12 @@ def top_label_long(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_
 
 
 def top_label_pivot(df: DataFrame, items: str, keys: list[str], top_n: int = TOP_AMBIENCE,
-                    prefix: str = "m_ambience_top_count") -> DataFrame:
-    rows = label_row_stats(df, items, keys).select(*keys, "ambience_top_label")
-    vocab = sorted(r[0] for r in top_values(rows, "ambience_top_label", None, top_n).collect())
-    wide = rows.where(F.col("ambience_top_label").isin(vocab)).groupBy(*keys).pivot("ambience_top_label", vocab).agg(F.count(F.lit(1)))
+                    prefix: str = "m_ambience_top_count", label_field: str = "label", prob_field: str = "prob") -> DataFrame:
+    """D14 wide form: one 0-filled column per top label; the lists are read once, for the written counts of (group, label)."""
+    rows, _ = lists.add_label_distribution_stats(df, items, label_field, prob_field)
+    rows = materialize(rows.groupBy(*keys, "ambience_top_label").agg(F.count(F.lit(1)).alias("_n")))
+    vocab = sorted(r[0] for r in top_values(rows, "ambience_top_label", F.col("_n"), top_n).collect())
+    wide = rows.where(F.col("ambience_top_label").isin(vocab)).groupBy(*keys).pivot("ambience_top_label", vocab).agg(F.sum("_n"))
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long")
                                 .alias(f"{prefix}_{t}") for v, t in zip(vocab, tokens(vocab, 40))])
 

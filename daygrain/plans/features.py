@@ -63,13 +63,12 @@ def bucket_feature_table(spark, sf_dir: str, top_apps: int = TOP_APPS, top_label
     aggregates; all results leave hash-partitioned on the bucket key.
     """
     orders = materialize(views.sensor_orders(spark, sf_dir), as_table=True)
-    v2 = views.sensor_nested(spark, sf_dir, orders)
-    v4 = views.sensor_usage(spark, sf_dir, orders)
-    v5 = views.sensor_labels(spark, sf_dir, orders)
-    rows, c2 = lists.add_list_key_stats(orders, views.nested_items("items"), views.NESTED_KEYS, "v2")
-    rows, c3 = lists.add_numeric_array_stats(rows, views.price_readings("items"), "hr")
-    rows, c4 = lists.add_usage_stats(rows, views.usage_items("items"))
-    rows, c5 = lists.add_label_distribution_stats(rows, views.label_items("items"))
+    # the sensors are fields of the same items: no view's lists are built anew for each row
+    usage, label = ("p_brand", "l_quantity"), ("l_returnflag", "l_discount")
+    rows, c2 = lists.add_list_key_stats(orders, "items", views.NESTED_KEYS, "v2")
+    rows, c3 = lists.add_numeric_array_stats(rows, F.col("items")["l_extendedprice"], "hr")
+    rows, c4 = lists.add_usage_stats(rows, "items", *usage)
+    rows, c5 = lists.add_label_distribution_stats(rows, "items", *label)
     rows = rows.select(*GK, *c2, *c3, *c4, *[c for c in c5 if c != "ambience_top_label"])
     v2_cols = c2
     aggs = (nested.agg_plan(nested.row_stat_plan(v2_cols), "v2") + nested.agg_plan(nested.HR_PLAN, "w_hr")
@@ -78,9 +77,9 @@ def bucket_feature_table(spark, sf_dir: str, top_apps: int = TOP_APPS, top_label
     stats = rows.groupBy(*GK).agg(*aggs)
     tables = [
         stats,
-        nested.daily_nested_distinct(v2, "items", "l_partkey", GK, "v2"),
-        nested.top_app_pivot(v4, "items", GK, top_apps),
-        nested.top_label_pivot(v5, "items", GK, top_labels),
+        nested.daily_nested_distinct(orders, "items", "l_partkey", GK, "v2"),
+        nested.top_app_pivot(orders, "items", GK, top_apps, app_field=usage[0], time_field=usage[1]),
+        nested.top_label_pivot(orders, "items", GK, top_labels, label_field=label[0], prob_field=label[1]),
     ]
     spine = orders.select(*GK).distinct()
     feats = sp.join_daily(spine, tables, GK)

@@ -47,7 +47,7 @@ def sensor_orders(spark: SparkSession, sf_dir: str, fields: list[str] = ORDER_IT
     if "p_brand" in cols:
         part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
         li = li.join(part, li.l_partkey == part.p_partkey, "left")
-    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))
+    items = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("items"))
     return _attach_orders(spark, sf_dir, items)
 
 

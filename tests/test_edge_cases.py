@@ -165,3 +165,17 @@ def test_output_rounding_equals_decimal_rounding_and_is_quick(spark):
     # the decimal form is written once in the expression, and only where a value may be a tie
     text = exprs.round_value("v")._jc.toString()
     assert text.count("round(") == 1 and "CASE WHEN" in text and text.index("round(") > text.index("ELSE")
+
+
+def test_list_fields_of_other_types_null_lists_and_null_items(spark):
+    """Fields are taken from whole lists: texts that are no numbers, null items and null lists count as before."""
+    df = spark.createDataFrame([(1, [("a", "2.5"), None, ("a", "x"), (None, "NaN"), ("b", "Infinity")]), (2, None), (3, [])],
+                               "id int, items array<struct<app_name:string, total_time:string>>")
+    rows = {r["id"]: r for r in nested.usage_row_stats(df, "items", ["id"]).collect()}
+    assert rows[1]["usage_events"] == 5.0 and rows[1]["usage_total_time"] == 2.5 and rows[1]["usage_unique_apps"] == 2.0
+    assert all(rows[i][c] == 0.0 for i in (2, 3) for c in ("usage_events", "usage_total_time", "usage_max_time", "usage_unique_apps"))
+    stats = {r["id"]: r for r in nested.list_row_stats(df, "items", ["total_time"], ["id"], "m").collect()}
+    assert stats[1]["m_row_total_time_sum"] == 2.5 and stats[1]["m_row_n"] == 5.0 and stats[2]["m_row_total_time_sum"] is None
+    assert [tuple(r) for r in nested.top_app_pivot(df, "items", ["id"], 2).collect()] == [(1, 2.5, math.inf)]
+    distinct = {r["id"]: r["m_app_name_nunique"] for r in nested.daily_nested_distinct(df, "items", "app_name", ["id"], "m").collect()}
+    assert distinct == {1: 2, 2: 0, 3: 0}

@@ -67,3 +67,13 @@ def test_dense_one_hot_compares_no_row_with_the_vocabulary(spark):
     plan = _plan(out)
     assert "transform(" not in plan and "lambda" not in plan and "collect_set" not in plan and "NestedLoop" not in plan
     assert {r["id"]: r["hot"] for r in out.collect()} == {1: [0.0, 1.0, 0.0], 2: [0.0, 0.0, 0.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 0.0, 1.0], 5: [0.0, 1.0, 0.0]}
+
+
+def test_bucket_features_read_the_lists_as_they_are(spark):
+    """No list of the written orders is built anew for a sensor: the aggregate over the rows makes no structs of items, and the pivots
+    read the written totals of their groups instead of the lists a second time."""
+    from daygrain.plans import features as ft
+    plan = ft.bucket_feature_table(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct(" not in plan
+    lists_read = [c for c in re.findall(r"Relation \[([^\]]*)\] parquet", plan) if "items#" in c]
+    assert len(lists_read) == 3  # spine, row statistics, distinct values
