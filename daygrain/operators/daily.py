@@ -151,17 +151,18 @@ def daily_changes(df: DataFrame, values: list[str], prefix: str, keys: list[str]
                      *[F.col(v).cast("double").alias(v) for v in values])
     w_in = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     first_in_chunk = F.row_number().over(w_in) == 1
+    ends = {"_is_first": first_in_chunk, "_is_last": F.lead(F.lit(1)).over(w_in).isNull()}
     flags = {}
     for v in values:
         prev = F.lag(v).over(w_in)
         changed = F.col(v).isNull() | prev.isNull() | (F.col(v) != prev)
         flags[f"_c_{v}"] = F.when(first_in_chunk, F.lit(0)).when(changed, F.lit(1)).otherwise(F.lit(0))
-    flagged = base.withColumns(flags)
-    okey = F.struct(*order)
+    flagged = base.withColumns(ends | flags)
+    # a chunk has one first and one last row; numbers alone are kept of them, so the aggregate needs no sort of its own
     chunks = flagged.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_c_{v}").alias(f"_n_{v}") for v in values],
-        *[F.min_by(v, okey).alias(f"_first_{v}") for v in values],
-        *[F.max_by(v, okey).alias(f"_last_{v}") for v in values],
+        *[F.max(F.when(F.col("_is_first"), F.col(v))).alias(f"_first_{v}") for v in values],
+        *[F.max(F.when(F.col("_is_last"), F.col(v))).alias(f"_last_{v}") for v in values],
     )
     w_ch = Window.partitionBy(*keys).orderBy("_chunk")
     is_first_chunk = F.row_number().over(w_ch) == 1

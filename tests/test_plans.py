@@ -77,3 +77,10 @@ def test_bucket_features_read_the_lists_as_they_are(spark):
     assert "named_struct(" not in plan
     lists_read = [c for c in re.findall(r"Relation \[([^\]]*)\] parquet", plan) if "items#" in c]
     assert len(lists_read) == 3  # spine, row statistics, distinct values
+
+
+def test_change_count_keeps_numbers_alone(spark):
+    """The chunks' first and last values are plain numbers in a hash aggregate, not (order, value) structs that need a sort."""
+    v1 = daily.with_date_keys(views.sensor_scalar(spark, SF_SMALL))
+    plan = _plan(daily.daily_changes(v1, ["value", "k"], "v"))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
