@@ -20,10 +20,15 @@ DAY, GK = ["subject_id", "lifelog_date"], ["subject_id", "bucket"]
 
 
 def cells(feats: DataFrame, keys: list[str]) -> DataFrame:
-    """A feature table as (keys, feature, feature_value) of its non-null numbers."""
+    """A feature table as (keys, feature, feature_value) of its non-null numbers.
+
+    A row's numbers are one array, taken apart in generated code: unpivoting writes a wide row and has a projection for each column.
+    """
     columns = [c for c in mx.numeric_columns(feats) if c not in keys]
-    wide = feats.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return wide.unpivot(keys, columns, "feature", "feature_value").where("feature_value is not null")
+    wide = feats.select(*keys, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("_values"))
+    long = wide.select(*keys, F.posexplode("_values").alias("_place", "feature_value")).where("feature_value is not null")
+    names = F.array(*[F.lit(c) for c in columns])
+    return long.select(*keys, F.element_at(names, F.col("_place") + 1).alias("feature"), "feature_value")
 
 
 def _relative_cells(date: str) -> str:

@@ -84,3 +84,13 @@ def test_change_count_keeps_numbers_alone(spark):
     v1 = daily.with_date_keys(views.sensor_scalar(spark, SF_SMALL))
     plan = _plan(daily.daily_changes(v1, ["value", "k"], "v"))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_cells_are_taken_from_one_array_a_row(spark):
+    """The cells' plan has no projection for each column, and no name, null or type is lost."""
+    from daygrain.plans.q_cells import cells
+    df = spark.createDataFrame([(1, 2.5, None, 7, "x"), (2, None, None, None, "y"), (3, float("nan"), -1.0, 0, None)], "k int, `a.b` double, c double, d int, s string")
+    out = cells(df, ["k"])
+    assert "Expand" not in _plan(out) and out.dtypes == [("k", "int"), ("feature", "string"), ("feature_value", "double")]
+    assert sorted((r["k"], r["feature"], str(r["feature_value"])) for r in out.collect()) == [
+        (1, "a.b", "2.5"), (1, "d", "7.0"), (3, "a.b", "nan"), (3, "c", "-1.0"), (3, "d", "0.0")]
