@@ -333,3 +333,43 @@ def test_leaves_of_a_random_tree_cost_no_look_at_their_features():
     tree, pred = tr.random_tree(Seen(codes, layout), y, drawn, scored, tr.root_name(1, 2), layout, profile, np.ones(2))
     assert all(size >= 8 and least > 0 and whole for size, least, whole in seen)
     assert (tree.leaf_values(x[scored]) == pred).all() and len(set(pred)) > 20
+
+
+def test_one_hot_columns_share_a_column_of_the_random_trees():
+    """Two-valued features of which a row has at most one are moved and counted as one column; others have columns of their own."""
+    x, layout, rng = _coded()
+    x[np.isnan(x)] = 0.0
+    assert len(tr.Columns(layout.code(x), layout).by_column) == 3 + 1
+    both = np.concatenate([x, rng.integers(0, 2, (len(x), 2))], axis=1)
+    layout = _layout(both)
+    columns = tr.Columns(layout.code(both), layout)
+    assert len(columns.by_column) == 3 + 1 + 2
+    rows = [np.arange(len(x)), np.flatnonzero(rng.random(len(x)) < 0.3)]
+    for own in rows:
+        for f in range(3, both.shape[1]):
+            at = columns.by_column[:, own]
+            assert (columns.goes_right(at, np.array([len(own)]), np.array([f]), np.array([0])) == (both[own, f] > 0)).all()
+
+
+@pytest.mark.parametrize("big,products", [(1, 7), (40, 100), (10**9, 4096)])
+def test_random_trees_do_not_depend_on_how_nodes_are_summed(monkeypatch, big, products):
+    """Matrix products of big nodes and running sums of small ones give the same tree, with counts in one number or in three."""
+    x, layout, rng = _coded(n=2000)
+    x[np.isnan(x)] = 0.0
+    codes, y = layout.code(x), (rng.random(len(x)) < 0.3 + 0.4 * (x[:, 0] > 0)).astype(float)
+    drawn, scored = tr.bootstrap(tr.mix(np.arange(len(x))), 1, 2), np.arange(len(x))
+    profile, name = {"min_rows": 4, "column_share": 0.65}, tr.root_name(1, 2)
+    grow = lambda: tr.random_tree(codes, y, drawn, scored, name, layout, profile, np.ones(2))
+    want, pred = grow()
+    assert len(want.feature) > 100
+    monkeypatch.setattr(tr, "BIG_NODE", big)
+    monkeypatch.setattr(tr, "PRODUCT_ROWS", products)
+    for apart in (False, True):
+        if apart:
+            class Apart(tr.Counts):
+                def __init__(self, zeros, ones):
+                    super().__init__(zeros, ones)
+                    self.packed, self.channels = False, [np.ones(len(zeros)), zeros.astype(float), ones.astype(float)]
+            monkeypatch.setattr(tr, "Counts", Apart)
+        tree, again = grow()
+        assert all((getattr(tree, c) == getattr(want, c)).all() for c in ("feature", "cut", "left", "right", "value")) and (again == pred).all()
