@@ -69,6 +69,17 @@ def test_dense_one_hot_compares_no_row_with_the_vocabulary(spark):
     assert {r["id"]: r["hot"] for r in out.collect()} == {1: [0.0, 1.0, 0.0], 2: [0.0, 0.0, 0.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 0.0, 1.0], 5: [0.0, 1.0, 0.0]}
 
 
+def test_dense_one_hot_rows_are_dealt_by_their_numbers(spark, monkeypatch):
+    """Rows of few bytes that grow to many numbers are not left to the one task that their bytes would ask for."""
+    monkeypatch.setattr(mx, "TASK_NUMBERS", 2000, raising=False)
+    df = spark.range(300).select("id", F.pmod("id", F.lit(97)).alias("v"))
+    out = mx.one_hot_array(df, "v", "hot")
+    rows = out.select("id", "hot", F.spark_partition_id().alias("p")).collect()
+    per_task = [sum(len(r["hot"]) for r in rows if r["p"] == p) for p in {r["p"] for r in rows}]
+    assert len(rows) == 300 and len(per_task) >= 12 and max(per_task) <= 2 * 2000
+    assert all(sum(r["hot"]) == 1.0 and r["hot"][r["id"] % 97] == 1.0 and len(r["hot"]) == 97 for r in rows)
+
+
 def test_bucket_features_read_the_lists_as_they_are(spark):
     """No list of the written orders is built anew for a sensor: the aggregate over the rows makes no structs of items, and the pivots
     read the written totals of their groups instead of the lists a second time."""
