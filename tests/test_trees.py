@@ -373,3 +373,32 @@ def test_random_trees_do_not_depend_on_how_nodes_are_summed(monkeypatch, big, pr
             monkeypatch.setattr(tr, "Counts", Apart)
         tree, again = grow()
         assert all((getattr(tree, c) == getattr(want, c)).all() for c in ("feature", "cut", "left", "right", "value")) and (again == pred).all()
+
+
+def test_bundles_keep_few_bytes_a_row():
+    """A histogram reads every part's numbers for each node: at most 1024 combinations need no eight bytes."""
+    x, layout, _ = _coded()
+    bundles = tr.Bundles(layout.code(x), layout, limit=300)
+    assert {p[0].dtype.itemsize for p in bundles.parts} <= {1, 2}
+
+
+def test_linear_fits_have_no_more_tasks_than_their_numbers_ask_for(spark, monkeypatch):
+    """Each step of a linear fit is a job over all rows, so small tables are read by few tasks, large ones by many."""
+    matrix, labels, _ = _frames(spark, 60, ("a",))
+    data, seen = train.model_input(matrix.repartition(4), labels, None), []
+
+    class Seen(train.LogisticRegression):
+        def fit(self, rows, *rest):
+            seen.append(rows.rdd.getNumPartitions())
+            return super().fit(rows, *rest)
+    monkeypatch.setattr(train, "LogisticRegression", Seen)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        small = train.fit_all(data, ["logistic"], cv=False)["predictions"].collect()
+        monkeypatch.setattr(train, "LINEAR_CELLS", 16)
+        large = train.fit_all(data, ["logistic"], cv=False)["predictions"].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert seen[0] == 1 and seen[-1] > 1
+    assert {r["key"]: round(r["pred"], 4) for r in small} == {r["key"]: round(r["pred"], 4) for r in large}
